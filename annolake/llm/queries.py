@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.llm.canonical import canonical_fields
+from annolake.functions.text import blank
 from annolake.llm.copies import copies
+from annolake.llm.mapping import map_values, parts, stands_in
 from annolake.sources.tables import table
 
 
@@ -51,5 +53,35 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("src", "first_id").agg((F.count("*") + 1).alias("copies"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts}
+#: Least Jaccard similarity of letter pairs; two slips in a name of seven letters still reach it.
+LEAST = 0.25
+#: A brand name has up to three words, and a slip may part one of them.
+BRAND_WORDS = 4
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    labels, nodes, found = table(spark, d, "hasaki_labelled_full"), table(spark, d, "intent_nodes"), []
+    for k in (1, 2, 3):
+        entries = nodes.filter(F.col("node_level") == f"l{k}").select(F.col("node_id").alias("id"), F.expr("substring(node_id, instr(node_id, ':') + 1)").alias("text"))
+        values = labels.select("row_id", F.col(f"intent_3_level.level_{k}").alias("val")).filter(~blank(F.col("val")))
+        typed = values.join(entries.select(F.col("text").alias("val")).distinct(), "val", "left_anti").select("row_id", "val")
+        found.append(map_values(typed, entries, LEAST).select(F.lit("hasaki_labelled_full").alias("src"), "row_id", F.lit(f"level_{k}").alias("field_name"), "val", "canonical_id", "similarity"))
+    brands = table(spark, d, "brand_list").select(F.col("brand_id").alias("id"), F.col("brand_name").alias("text"))
+    names = [r.text for r in brands.filter("text is not null").toLocalIterator()]
+    products = table(spark, d, "crawl_hasaki").select("row_id", F.col("product_name_raw").alias("val"))
+    free = products.filter(~blank(F.col("val")) & ~stands_in(F.col("val"), names))
+    found.append(map_values(free, brands, LEAST, parts(BRAND_WORDS)).select(F.lit("crawl_hasaki").alias("src"), "row_id", F.lit("product_name_raw").alias("field_name"), "val", "canonical_id", "similarity"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("src", "row_id", "field_name", "canonical_id")
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The typed values that match no entry, with the number of their rows."""
+    return _mapped(spark, d).filter("canonical_id = ''").groupBy("src", "field_name", "val").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 ORACLES: dict[str, str] = {}
