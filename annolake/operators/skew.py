@@ -21,3 +21,16 @@ def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: i
     left = rows.join(F.broadcast(flags), on, "left").withColumn("_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).otherwise(0)).drop("_hot")
     right = groups.withColumn("_slice", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*on, "_slice"]).drop("_slice")
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], total: int, spread: str) -> DataFrame:
+    """left inner-joined to right, where right may have many rows per key.
+
+    Keys that hold more than HOT_SHARE of total (the rows of right, or more) are counted first; their rows of right are spread over SLICES by a
+    hash of the column `spread`, and their rows of left are repeated for each slice.
+    """
+    hot = right.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(HOT_LEAST, total * HOT_SHARE)).select(*on, F.lit(True).alias("_hot"))
+    flagged = lambda df: df.join(F.broadcast(hot), on, "left")
+    each = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0))))
+    one = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).otherwise(0)
+    return flagged(left).withColumn("_slice", each).drop("_hot").join(flagged(right).withColumn("_slice", one).drop("_hot"), [*on, "_slice"]).drop("_slice")
