@@ -8,12 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.llm.canonical import canonical_fields
-from annolake.functions.text import blank
+from annolake.functions.text import blank, strip
 from annolake.llm.copies import copies
+from annolake.llm.leaks import leaks
 from annolake.llm.mapping import map_values, parts, stands_in
+from annolake.llm.overlap import near_same
+from annolake.operators.skew import spread_join
 from annolake.sources.tables import table
 
 
+#: Words by which two sentences may differ and still be the same.
+MOST_WORDS = 6
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    gold, train = table(spark, d, "d3_human_gold"), table(spark, d, "d1_annotator_train")
+    n = train.count()
+    key = F.regexp_replace(F.lower(strip(F.col("sample_id"))), r"_q0+(?=\d)", "_q")
+    named = [df.select(F.col(i).alias(i), key.alias("key")).filter("key <> ''") for df, i in ((gold, "gold_id"), (train, "train_id"))]
+    by_id = spread_join(*named, ["key"], n, "train_id").select("gold_id", "train_id", F.lit("sample_id").alias("by"))
+    texts = [df.select(F.col(i).alias("id"), F.col("sentence").alias("text")) for df, i in ((gold, "gold_id"), (train, "train_id"))]
+    by_text = near_same(*texts, MOST_WORDS, n).select(F.col("id").alias("gold_id"), F.col("other_id").alias("train_id"), F.lit("sentence").alias("by"))
+    return by_id.unionByName(by_text).groupBy("gold_id", "train_id").agg(F.array_sort(F.collect_set("by")).alias("by"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select("gold_id", "train_id")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps and overlapping rows per split of the gold rows and source of the training rows."""
+    pairs = _overlaps(spark, d)
+    named = pairs.join(table(spark, d, "d3_human_gold").select("gold_id", "split"), "gold_id").join(table(spark, d, "d1_annotator_train").select("train_id", "label_source"), "train_id")
+    return named.groupBy("split", "label_source").agg(F.count("*").alias("pairs"), F.countDistinct("gold_id").alias("gold_rows"), F.countDistinct("train_id").alias("train_rows"))
+
+
 def _forms(spark: SparkSession, d: str) -> DataFrame:
     parts = (("crawl_hasaki", ["question", "product_name_raw"]), ("hasaki_labelled_full", ["sentence"]))
     return reduce(DataFrame.unionByName, (canonical_fields(table(spark, d, t), "row_id", fields).withColumn("src", F.lit(t)) for t, fields in parts))
@@ -83,5 +112,25 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).filter("canonical_id = ''").groupBy("src", "field_name", "val").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+def _searched(spark: SparkSession, d: str, **how) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return leaks(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text"), **how)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(spark, d, least=12).select("doc_id", "item_id")
+
+
+def p9_proximity(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages with up to three other words between runs of five words or more."""
+    return _searched(spark, d, least=12, seed=5, slack=3)
+
+
+def p9_leaked(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items, with the number of documents that hold them."""
+    items = table(spark, d, "eval_items").select("item_id", "split")
+    return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents")).join(items, "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked}
 ORACLES: dict[str, str] = {}
