@@ -13,6 +13,9 @@ from annolake.llm.copies import copies
 from annolake.llm.leaks import leaks
 from annolake.llm.mapping import map_values, parts, stands_in
 from annolake.llm.overlap import near_same
+from annolake.llm.packing import counter, pack
+from annolake.llm.residue import residue
+from annolake.llm.sampling import proportional_sample
 from annolake.operators.skew import spread_join
 from annolake.sources.tables import table
 
@@ -132,5 +135,60 @@ def p9_leaked(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents")).join(items, "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked}
-ORACLES: dict[str, str] = {}
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    host = F.coalesce(F.regexp_extract("url", r"^\w+://([^/?#]+)", 1), F.col("source"))
+    return residue(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", host.alias("host")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and lines per kind of evidence."""
+    return _residue(spark, d).groupBy("kind").agg(F.countDistinct("id").alias("documents"), F.count("*").alias("lines"))
+
+
+#: Rows of the sample, the least of a category, and the seed of its order.
+SAMPLE, FLOOR, SEED = 1000, 2, 7
+
+
+def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "hasaki_labelled_full").select("row_id", "sample_id", F.col("intent_3_level.level_3").alias("level_3"))
+    targets = table(spark, d, "intent_distribution").select(F.col("l3").alias("category"), F.col("count").alias("weight"))
+    return proportional_sample(rows, "row_id", strip(F.col("level_3")), targets, SAMPLE, FLOOR, SEED, rows.count())
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sampled(spark, d)[0].select("row_id", "category")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per category: rows available, target weight, rows wanted and drawn, and whether the target was met."""
+    return _sampled(spark, d)[1]
+
+
+#: The public tokenizer; its file stays where it is.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    sizes = docs.mapInArrow(counter(str(tokenizers.path(VOCABULARY)), tokenizers.PATTERN), "id bigint, tokens bigint")
+    capacities = [r.capacity for r in table(spark, d, "pack_sizes").select("capacity").distinct().toLocalIterator() if r.capacity]
+    return pack(sizes, capacities, docs.count() * max(1, len(capacities)))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: containers, and the share of their room that is used."""
+    used = _packed(spark, d).filter("container > 0").groupBy("capacity").agg(F.max("container").alias("containers"), F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    return used.withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p5_sample": p5_sample, "p5_report": p5_report, "p7_unmatched": p7_unmatched, "p8_packed": p8_packed, "p8_usage": p8_usage, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked, "p10_found": p10_found, "p10_report": p10_report}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from annolake.llm import queries as q
+from annolake.llm import sql
 
 
 def queries() -> dict:
@@ -10,4 +11,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return dict(q.ORACLES)
+    return dict(sql.ORACLES)
