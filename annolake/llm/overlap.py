@@ -1,110 +1,29 @@
 """Same or near-same records across splits (problem 2): an exact prefix-filter join of two sides on rare shingles.
 
 Two texts are the same if they differ in at most `most` words added, dropped, altered or moved; case, accents, marks and blanks do not matter.
-Of two such texts the shingles of SHINGLE words differ in at most LOST of them, so that they share one among the LOST + 1 rarest of either.
-Those of the evaluation side are the index, those of the training side probe it. The order of rarity comes from the counts of hashed
-shingles in a table of fixed size: any order that both sides share keeps the filter exact. Texts with few words use their single words.
+Shingles are of one word here, as an edit then changes one shingle of a text and a move none: two such texts share all but `most` of the
+shingles of either, so that of the rarest most + SHARED shingles of both they share SHARED. The evaluation side's rarest shingles are the index;
+training texts are streamed past it, probe it with theirs, and are filtered by length and by what the places of the shared shingles still allow. What remains
+is verified by the longest common subsequence. The index is sent to the executors in blocks of a fixed size, so that neither side is shuffled.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.text import words
-from annolake.operators.skew import spread_join
 
-SHINGLE = 3
-#: Entries of the table of counts; it is sent to the executors whatever the size of the data.
-COUNTS = 1 << 18
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-
-
-def lost(most: int) -> int:
-    """Shingles that `most` edits can change: a word dropped or altered breaks SHINGLE of them, a word put between breaks SHINGLE - 1."""
-    return most * (2 * SHINGLE - 1)
-
-
-def wide(most: int) -> int:
-    """Words from which a text of the evaluation side uses shingles."""
-    return lost(most) + most
-
-
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words; the second and later ones of a kind count as shingles of their own."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(MULTIPLIERS[0]) + hashes[i : i + n] * np.uint64(MULTIPLIERS[1])
-    order = np.argsort(out, kind="stable")
-    ranked = out[order]
-    begins = np.r_[True, ranked[1:] != ranked[:-1]]
-    place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    out[order] = ranked + place.astype(np.uint64) * np.uint64(MULTIPLIERS[2])
-    return out
-
-
-def _kinds(n: int, most: int, index: bool) -> list[int]:
-    """Shingle lengths that a text of n words uses: the evaluation side one, the training side those of all texts it may be the same as."""
-    if index:
-        return [SHINGLE if n >= wide(most) else 1]
-    return [k for k, used in ((SHINGLE, n >= wide(most) - most), (1, n < wide(most) + most)) if used]
-
-
-def _texts(batch: pa.RecordBatch, known: _Words) -> Iterator[np.ndarray]:
-    for text in batch.column("text").to_pylist():
-        yield np.fromiter((known[w] for w in text.split(" ")), np.uint64)
-
-
-def _counter(most: int, index: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Words(), np.zeros(COUNTS, np.int64)
-        for b in batches:
-            for hashes in _texts(b, known):
-                for k in _kinds(len(hashes), most, index):
-                    np.add.at(counts, (_shingles(hashes, k) % np.uint64(COUNTS)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
-
-    return run
-
-
-def _prefixes(most: int, index: bool, table: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Words(), table.value
-        for b in batches:
-            keys, kinds, tokens, places, sizes = [], [], [], [], []
-            for key, hashes in zip(b.column("key").to_pylist(), _texts(b, known)):
-                for k in _kinds(len(hashes), most, index):
-                    own = _shingles(hashes, k)
-                    n = min(len(own), (lost(most) if k > 1 else min(most, len(hashes) // 2 + most // 2)) + 1)
-                    rank = np.lexsort((own, counts[(own % np.uint64(COUNTS)).astype(np.int64)]))[:n]
-                    keys += [key] * n
-                    kinds.append(np.full(n, k, np.int32))
-                    tokens.append(own[rank])
-                    places.append(np.arange(n, dtype=np.int32))
-                    sizes.append(np.full(n, len(hashes), np.int32))
-            if keys:
-                columns = [np.concatenate(x) for x in (kinds, tokens, places, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(columns[0]), pa.array(columns[1].view(np.int64)), pa.array(columns[2]), pa.array(columns[3])], ["key", "k", "token", "place", "size"])
-
-    return run
+#: Rare shingles that two texts must share. More make candidates fewer and the index longer.
+SHARED = 6
+#: Evaluation texts that are sent at once, and pairs that are given out at once.
+BLOCK, PAIRS = 40_000, 100_000
 
 
 def common(a: list[str], b: list[str]) -> int:
@@ -119,50 +38,99 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - left.bit_count()
 
 
+def allowed(longer: int, most: int) -> int:
+    """Words by which two texts may differ, of which the longer has so many: at most `most`, and less than half."""
+    return min(most, max(longer - 1, 0) // 2)
+
+
 def same(a: list[str], b: list[str], most: int) -> bool:
-    """Whether the texts differ in at most `most` words, and in less than half of them."""
+    """Whether two texts with words are the same but for the words allowed."""
     longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > most:
-        return False
-    differing = longer - common(a, b)
-    return differing <= most and 2 * differing < longer
+    return abs(len(a) - len(b)) <= allowed(longer, most) and longer - common(a, b) <= allowed(longer, most)
+
+
+def shingles(text: list[str]) -> list[tuple[str, int]]:
+    """The words, each with how often it came before, so that a repeated word counts as often as it stands there."""
+    seen: Counter = Counter()
+    out = []
+    for w in text:
+        out.append((w, seen[w]))
+        seen[w] += 1
+    return out
 
 
-def _verified(most: int):
+class Index:
+    """The rarest shingles of the evaluation texts of a block."""
+
+    def __init__(self, block: list[tuple[list[int], list[str]]], most: int) -> None:
+        """block: ids that share a text, and its words."""
+        self.most, self.ids, self.texts = most, [ids for ids, _ in block], [text for _, text in block]
+        held = [shingles(t) for t in self.texts]
+        self.rarity = Counter(s for own in held for s in own)
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        postings: dict[tuple[str, int], list[int]] = {}
+        for at, own in enumerate(held):
+            for s in self.prefix(own):
+                postings.setdefault(s, []).append(at)
+        self.postings = {s: np.array(own, np.int32) for s, own in postings.items()}
+
+    def prefix(self, own: list[tuple[str, int]]) -> list[tuple[str, int]]:
+        """The rarest shingles by their number in the index; those that it lacks are the rarest."""
+        return sorted(own, key=lambda s: (self.rarity[s] if s in self.rarity else 0, s))[: self.most + SHARED]
+
+    def matches(self, text: list[str]) -> list[int]:
+        """Numbers of the index's texts that are the same as this one."""
+        met = [self.postings[s] for s in self.prefix(shingles(text)) if s in self.postings]
+        if not met:
+            return []
+        count = np.bincount(np.concatenate(met), minlength=len(self.texts))
+        longer = np.maximum(self.sizes, len(text))
+        may = np.minimum(self.most, (longer - 1) // 2)
+        # Shingles shared so far, and as many as could still come after the prefixes, must reach what two such texts share.
+        close = np.flatnonzero((count >= np.minimum(SHARED, longer - may)) & (np.abs(self.sizes - len(text)) <= may))
+        return [int(k) for k in close if same(self.texts[k], text, self.most)]
+
+
+def _probe(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
         for b in batches:
-            pairs = zip(b.column("text").to_pylist(), b.column("other_text").to_pylist())
-            hit = pa.array([same(x.split(" "), y.split(" "), most) for x, y in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("key").filter(hit), b.column("other").filter(hit)], ["key", "other"])
+            left: list[int] = []
+            right: list[int] = []
+            for other, text in zip(b.column("other_id").to_pylist(), b.column("text").to_pylist()):
+                if text not in known:
+                    if len(known) > 1 << 14:
+                        known.clear()
+                    known[text] = index.matches(text.split(" "))
+                for k in known[text]:
+                    for begin in range(0, len(index.ids[k]), PAIRS):
+                        ids = index.ids[k][begin : begin + PAIRS]
+                        left += ids
+                        right += [other] * len(ids)
+                        if len(left) >= PAIRS:
+                            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "other_id"])
+                            left, right = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "other_id"])
 
     return run
 
 
-def near_same(evaluation: DataFrame, training: DataFrame, most: int, rows: int) -> DataFrame:
-    """Pairs (id, other_id) of rows (id, text) of both sides whose texts are the same but for `most` words.
+def near_same(evaluation: DataFrame, training: DataFrame, most: int) -> DataFrame:
+    """Pairs (id, other_id) of rows (id, text) of both sides whose texts are the same but for `most` words, and less than half of their words.
 
-    Texts without a word, and null ones, have no partner. Repeated texts are compared once and their rows put back at the end; repeated rows give
-    repeated pairs. Empty tables give no pairs. rows: how many rows training has, about; it tells which keys are hot.
+    Texts without a word, null texts and null ids have no partner. Repeated rows give repeated pairs; a text that recurs is compared once for a task.
+    Empty tables give no pairs.
     """
-    spark = evaluation.sparkSession
-    sides = []
-    for df in (evaluation, training):
-        plain = df.select("id", F.array_join(words(F.coalesce("text", F.lit(""))), " ").alias("text")).filter("text <> ''").withColumn("key", F.md5("text"))
-        sides.append((plain.select("id", "key"), plain.groupBy("key").agg(F.min("text").alias("text"))))
-    (members, texts), (other_members, other_texts) = sides
-    counted = texts.mapInArrow(_counter(most, True), "at bigint, n bigint").union(other_texts.mapInArrow(_counter(most, False), "at bigint, n bigint"))
-    counts = np.zeros(COUNTS, np.int64)
-    for r in counted.groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTS rows at most
-        counts[r.at] = r.n
-    table = spark.sparkContext.broadcast(counts)
-    shape = "key string, k int, token bigint, place int, size int"
-    index = texts.mapInArrow(_prefixes(most, True, table), shape)
-    probe = other_texts.mapInArrow(_prefixes(most, False, table), shape).withColumnsRenamed({"key": "other", "place": "other_place", "size": "other_size"})
-    tokens = F.when(F.col("k") > 1, F.greatest("size", "other_size") - SHINGLE + 1 - lost(most)).otherwise(F.greatest("size", "other_size") - most)
-    rest = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place")) - F.when(F.col("k") > 1, SHINGLE - 1).otherwise(0)
-    met = spread_join(index, probe, ["k", "token"], rows * (lost(most) + 1), "other")
-    candidates = met.filter((F.abs(F.col("size") - F.col("other_size")) <= most) & (rest >= tokens)).select("key", "other").distinct()
-    facing = candidates.join(texts, "key").join(other_texts.withColumnsRenamed({"key": "other", "text": "other_text"}), "other")
-    hits = facing.mapInArrow(_verified(most), "key string, other string")
-    pairs = members.join(hits, "key").select("id", "other")
-    return spread_join(pairs, other_members.withColumnsRenamed({"id": "other_id", "key": "other"}), ["other"], rows, "other_id").select("id", "other_id")
+    plain = lambda df, name: df.select(F.col("id").cast("bigint").alias(name), F.array_join(words(F.coalesce("text", F.lit(""))), " ").alias("text")).filter(f"text <> '' and {name} is not null")
+    probe, found, block = plain(training, "other_id"), [], []
+
+    def search() -> None:
+        found.append(probe.mapInArrow(_probe(Index(block, most)), "id bigint, other_id bigint"))
+
+    for r in plain(evaluation, "id").groupBy("text").agg(F.array_sort(F.collect_list("id")).alias("ids")).toLocalIterator():
+        block.append((list(r.ids), r.text.split(" ")))
+        if len(block) == BLOCK:
+            search()
+            block = []
+    search()
+    return reduce(DataFrame.unionByName, found)
