@@ -9,6 +9,7 @@ is verified by the longest common subsequence. The index is sent to the executor
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.text import words
+from annolake.operators.skew import spread_join
 
 #: Rare shingles that two texts must share. More make candidates fewer and the index longer.
 SHARED = 6
-#: Evaluation texts that are sent at once, and pairs that are given out at once.
-BLOCK, PAIRS = 40_000, 100_000
+#: Evaluation texts that are sent at once.
+BLOCK = 40_000
 
 
 def common(a: list[str], b: list[str]) -> int:
@@ -62,9 +64,9 @@ def shingles(text: list[str]) -> list[tuple[str, int]]:
 class Index:
     """The rarest shingles of the evaluation texts of a block."""
 
-    def __init__(self, block: list[tuple[list[int], list[str]]], most: int) -> None:
-        """block: ids that share a text, and its words."""
-        self.most, self.ids, self.texts = most, [ids for ids, _ in block], [text for _, text in block]
+    def __init__(self, block: list[tuple[str, list[str]]], most: int) -> None:
+        """block: the key of a text, and its words."""
+        self.most, self.keys, self.texts = most, [key for key, _ in block], [text for _, text in block]
         held = [shingles(t) for t in self.texts]
         self.rarity = Counter(s for own in held for s in own)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
@@ -95,42 +97,37 @@ def _probe(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for b in batches:
-            left: list[int] = []
+            left: list[str] = []
             right: list[int] = []
             for other, text in zip(b.column("other_id").to_pylist(), b.column("text").to_pylist()):
                 if text not in known:
                     if len(known) > 1 << 14:
                         known.clear()
                     known[text] = index.matches(text.split(" "))
-                for k in known[text]:
-                    for begin in range(0, len(index.ids[k]), PAIRS):
-                        ids = index.ids[k][begin : begin + PAIRS]
-                        left += ids
-                        right += [other] * len(ids)
-                        if len(left) >= PAIRS:
-                            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "other_id"])
-                            left, right = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "other_id"])
+                left += [index.keys[k] for k in known[text]]
+                right += [other] * len(known[text])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.int64())], ["key", "other_id"])
 
     return run
 
 
-def near_same(evaluation: DataFrame, training: DataFrame, most: int) -> DataFrame:
+def near_same(evaluation: DataFrame, training: DataFrame, most: int, rows: int) -> DataFrame:
     """Pairs (id, other_id) of rows (id, text) of both sides whose texts are the same but for `most` words, and less than half of their words.
 
-    Texts without a word, null texts and null ids have no partner. Repeated rows give repeated pairs; a text that recurs is compared once for a task.
-    Empty tables give no pairs.
+    Texts without a word, null texts and null ids have no partner. Repeated rows give repeated pairs; a text that recurs is compared once for a task, and
+    the rows of the evaluation side that share a text are put back at the end. Empty tables give no pairs. rows: how many rows evaluation has, about.
     """
     plain = lambda df, name: df.select(F.col("id").cast("bigint").alias(name), F.array_join(words(F.coalesce("text", F.lit(""))), " ").alias("text")).filter(f"text <> '' and {name} is not null")
-    probe, found, block = plain(training, "other_id"), [], []
+    known, probe, found, block = plain(evaluation, "id"), plain(training, "other_id"), [], []
 
     def search() -> None:
-        found.append(probe.mapInArrow(_probe(Index(block, most)), "id bigint, other_id bigint"))
+        found.append(probe.mapInArrow(_probe(Index(block, most)), "key string, other_id bigint"))
 
-    for r in plain(evaluation, "id").groupBy("text").agg(F.array_sort(F.collect_list("id")).alias("ids")).toLocalIterator():
-        block.append((list(r.ids), r.text.split(" ")))
+    for r in known.select("text").distinct().toLocalIterator():
+        block.append((hashlib.md5(r.text.encode()).hexdigest(), r.text.split(" ")))
         if len(block) == BLOCK:
             search()
             block = []
     search()
-    return reduce(DataFrame.unionByName, found)
+    hits = reduce(DataFrame.unionByName, found)
+    return spread_join(hits, known.select("id", F.md5("text").alias("key")), ["key"], rows, "id").select("id", "other_id")

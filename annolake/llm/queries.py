@@ -31,7 +31,7 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     named = [df.select(F.col(i).alias(i), key.alias("key")).filter("key <> ''") for df, i in ((gold, "gold_id"), (train, "train_id"))]
     by_id = spread_join(*named, ["key"], n, "train_id").select("gold_id", "train_id", F.lit("sample_id").alias("by"))
     texts = [df.select(F.col(i).alias("id"), F.col("sentence").alias("text")) for df, i in ((gold, "gold_id"), (train, "train_id"))]
-    by_text = near_same(*texts, MOST_WORDS).select(F.col("id").alias("gold_id"), F.col("other_id").alias("train_id"), F.lit("sentence").alias("by"))
+    by_text = near_same(*texts, MOST_WORDS, gold.count()).select(F.col("id").alias("gold_id"), F.col("other_id").alias("train_id"), F.lit("sentence").alias("by"))
     return by_id.unionByName(by_text).groupBy("gold_id", "train_id").agg(F.array_sort(F.collect_set("by")).alias("by"))
 
 
