@@ -150,9 +150,16 @@ def suspects() -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _runs(frozenset(touched))) + "]"
 
 
+@cache
+def strangers() -> str:
+    """A short class for all but the most ordinary characters, which tells most texts apart at once."""
+    ordinary = [chr(cp) for span in (range(0x20, 0x7F), range(0xC0, 0x180), range(0x1A0, 0x1B1), range(0x1E00, 0x1F00)) for cp in span]
+    return "[^\\t\\n\\r" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _runs(frozenset({*ordinary, *"₫“”‘’–—…«»•"} - {*table(), *LOOKS}))) + "]"
+
+
 def suspect(c: Column) -> Column:
     """Whether c holds a character that any rule may touch; null does not."""
-    return F.coalesce(c.rlike(suspects()), F.lit(False))
+    return F.coalesce(c.rlike(strangers()) & c.rlike(suspects()), F.lit(False))
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
