@@ -6,10 +6,14 @@ slots left unfilled, filler, draft notes, failure messages, and demands for scri
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.text import fold
+from annolake.session import cut_lineage
 
 #: Share of a host's documents from which a line is boilerplate, and the least number of documents.
 SHARE, LEAST = 0.05, 50
@@ -55,22 +59,35 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(fold(whole), r"\n+|(?<=[.!?]) "), F.trim), lambda x: x != "")
 
 
-def evidence(line: Column) -> Column:
+#: What a line must hold for a pattern of its kind to be tried at all; looked for as it is.
+TRIGGERS = {
+    "slot": ("{", "<", "@@", "__", "[", "%", "(dien ", "(nhap ", "(chen ", "(thay ", "(them ", "(bo sung ", "(insert ", "(fill in ", "(your ", "|", "undefined", "null", "nan", "none", "n/a", ": na", "........", "……", "xxxxx"),
+    "filler": ("lorem", "ipsum", "dolor", "amet", "labor", "elit", "adipisc", "nostrud", "tempor", "consequat", "aliqu", "veniam", "fugiat", "pariatur", "ullamco", "voluptate", "cillum", "eiusmod", "incididunt", "commodo", "irure", "magna", "vestibulum", "asdf", "noi dung", "van ban", "thu nghiem", "tieu de", "sample text", "texte", "placeholder", "filler", "dummy", " here", "chu "),
+    "draft": ("todo", "fixme", "tbd", "nhap", "draft", "brouillon", "viet ", "bo sung", "thay ", "to be ", "coming soon", "cap nhat", "complete", "remplacer"),
+    "failure": ("error", "erreur", "loi", "http", "oops", "tiec", "sorry", "thong bao", "status", "canh bao", "warning", "gateway", "unavailable", "denied", "forbidden", "not found", "too many", "timed out", "upstream", "the page", "something went", "was blocked", "introuvable", "serveur", "n'existe", "traceback", "exception", "stack trace", "at line", "on line", ".php", "refused", "khong tim thay", "khong con", "khong ton tai", "da bi", "bi doi", "di lac", "phan hoi", "dang ban", "bao tri", "su co", "khong tai duoc", "khong the", "bi ngat", "bi tu choi", "tam ngung", "khong ket noi", "qua nhieu", "co quyen", "het han", "expired", "bad request", "unauthorized"),
+    "script": ("script", "kich ban", "cookie", "captcha", "robot", "nguoi may", "khong phai", "browser", "human", " js"),
+}
+#: A word four times over is tried in any line.
+REPEATED = FILLERS[1:4]
+
+
+def evidence(line: Column, triggered: bool = True) -> Column:
     """The kind of evidence that a folded line holds, or null. What is told about messages, scripts and filler is none."""
     told = line.rlike(TOLD)
     found = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        hit = line.rlike("|".join(f"(?:{p})" for p in KINDS[kind])) if kind != "filler" else _any(line, KINDS[kind])
+        hit = _any(line, KINDS[kind]) if kind == "filler" else line.rlike("|".join(f"(?:{p})" for p in KINDS[kind]))
+        if triggered:
+            hit = reduce(or_, (F.contains(line, F.lit(t)) for t in TRIGGERS[kind])) & hit
+            if kind == "filler":
+                hit = hit | _any(line, REPEATED)
         found = F.when(hit if kind in ("slot", "draft") else hit & ~told, kind).otherwise(found)
     return found
 
 
 def _any(line: Column, patterns: tuple[str, ...]) -> Column:
     """Patterns with groups of their own can't be joined."""
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | line.rlike(p)
-    return hit
+    return reduce(or_, (line.rlike(p) for p in patterns))
 
 
 def residue(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -81,6 +98,7 @@ def residue(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> D
     """
     judged = F.transform(lines(F.coalesce("text", F.lit(""))), lambda line: F.struct(line.alias("line"), evidence(line).alias("kind")))
     proven = documents.select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode(F.filter(judged, lambda x: x.kind.isNotNull())).alias("x")).select("id", "host", "x.*")
+    proven = cut_lineage(proven)
     # Only lines with evidence matter, so only their recurrence is counted; the hosts' sizes come from all documents.
     sizes = documents.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("documents"))
     shape = F.regexp_replace("line", r"\d+", "0").alias("shape")
