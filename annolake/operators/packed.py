@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +32,28 @@ def split_packed(c: Column, comma: bool) -> Column:
     between quoted values (whole sentences, which hold commas).
     Null and blank text give an empty array; blank pieces do not count, repeated values stay.
     """
-    text = strip(F.regexp_replace(c, "\r\n?", "\n"))
-    listed = text.rlike(r"(?s)^\[.*\]$") & text.rlike(r"(?sU)^\[\s*(?:[\"'“].*)?\]$")
-    single = text.rlike(r"^\[\s*'")
-    text = F.when(listed, F.regexp_replace(F.regexp_replace(text, r"^\[\s*|\s*\]$", ""), r"\\([\"'])", INNER)).otherwise(text)
-    quote = F.when(listed & single, F.lit("'")).otherwise(F.lit('"'))
-    text = F.when(listed & single, text).otherwise(F.regexp_replace(text, "[“”]", '"'))
-    numbered = text.rlike(rf"(?U)^{NUMBER}")
-    pieces = F.split(text, quote)
+    plain = strip(F.regexp_replace(c, "\r\n?", "\n"))
+    return F.coalesce(_let(plain, lambda text: _let(_unwrapped(text), lambda t: _values(t, comma))), F.array().cast("array<string>"))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _unwrapped(text: Column) -> Column:
+    """struct(text without list brackets, its quote, whether its values are numbered, its pieces)."""
+    listed = text.rlike(r"(?sU)^\[\s*(?:[\"'“].*)?\]$")
+    single = listed & text.rlike(r"^\[\s*'")
+    inside = F.when(listed, F.regexp_replace(F.regexp_replace(text, r"^\[\s*|\s*\]$", ""), r"\\([\"'])", INNER)).otherwise(text)
+    inside = F.when(single, inside).otherwise(F.translate(inside, "“”", '""'))
+    quote = F.when(single, F.lit("'")).otherwise(F.lit('"'))
+    return _let(inside, lambda t: F.struct(quote.alias("quote"), t.rlike(rf"(?U)^{NUMBER}").alias("numbered"), F.split(t, quote).alias("pieces")))
+
+
+def _values(t: Column, comma: bool) -> Column:
+    """The values of the pieces of t."""
+    pieces, quote, numbered = t.pieces, t.quote, t.numbered
     last = F.size(pieces) - 1
     before = rf"(?U)(?:^|[|;；、•,\n\t\[]|\s/|^[-*+]|{NUMBER})\s*$"
     after = r"(?U)^\s*(?:$|[|;；、•,\n\t\]]|/\s)"
@@ -52,8 +68,8 @@ def split_packed(c: Column, comma: bool) -> Column:
 
     whole = F.aggregate(F.transform(pieces, mapped), F.lit(""), lambda done, piece: F.concat(done, piece))
     values = F.transform(F.split(whole, CUT), lambda v: strip(F.regexp_replace(strip(v), BULLET, "")))
-    values = F.transform(values, lambda v: F.replace(v, F.lit(INNER), quote))
-    return F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>"))
+    return F.filter(F.transform(values, lambda v: F.replace(v, F.lit(INNER), quote)), lambda v: v != "")
+
 
 def explode_packed(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFrame:
     """One row (key, field_name, pos, val) per value of each field; pos is the value's place in its field, from 1.
