@@ -41,15 +41,16 @@ FAILURES = (
     rf"{LEAD}(?: ma| code)?[ :#\-]*(?:[45]\d\d|\d{{4}})\b(?! lan| ngay| gio| phut)", r"\bhttp [45]\d\d\b", rf"{LEAD}\b[ :,\-!.]*(?:da xay ra|trang|yeu cau|may chu|he thong|noi dung|ket noi|dich vu|khong|the page|request|too many|upstream|le serveur|page)\b",
     r"\b[45]\d\d[ :\-,.(]*(?:bad gateway|gateway time-?out|not found|forbidden|internal server|service (?:temporarily )?unavailable|too many requests|unauthorized|bad request)", r"\bbad gateway\b", r"\bgateway time-?out\b", r"\binternal server error\b", r"\bservice (?:temporarily )?unavailable\b", r"\baccess denied\b", r"\b403 forbidden\b", r"\bpage not found\b", r"\btoo many requests\b", r"\b(?:request|connection) timed out\b", r"\bupstream (?:connect error|server did not)\b",
     r"\bthe page could not be (?:loaded|found)\b", r"\bsomething went wrong on (?:our|this)\b", r"^\W*something went wrong\b", r"\byour request was blocked\b", r"\bpage introuvable\b", r"\ble serveur ne repond pas\b", r"\bcette page n'existe\b", r"\btraceback \(most recent", r"\bkeyerror:|\bnullpointerexception\b|\bstack trace:|\bat line \d+ of file\b", r"\bon line \d+\b.*|\.php on line", r"\bconnection refused\b",
-    r"^\W*(?:ma loi|loi)? ?[\d: \-]*(?:khong tim thay trang|dich vu tam ngung|ket noi bi ngat|yeu cau bi tu choi)\b", r"\btrang (?:ban|nay)? ?(?:ban )?(?:tim|can|yeu cau|truy cap)\b.{0,20}\b(?:khong con|khong ton tai|da bi|bi doi)\b", r"\btrang (?:nay )?(?:di lac|khong ton tai|khong con o day)\b", r"\b(?:may chu|he thong) (?:khong phan hoi|dang ban|dang bao tri|gap su co)\b", r"\bnoi dung khong tai duoc\b", r"\bkhong the (?:tai|hien thi|ket noi)\b.{0,30}\b(?:trang|noi dung|may chu|co so du lieu)\b", r"\bket noi bi ngat giua chung\b", r"\byeu cau bi tu choi\b", r"\bdich vu tam ngung\b", r"\btrang (?:web )?dang bao tri\b", r"\bkhong ket noi duoc\b.{0,30}\b(?:co so du lieu|may chu)\b", r"\bqua nhieu yeu cau\b", r"\bban khong co quyen\b", r"\bphien (?:lam viec|dang nhap) (?:da )?het han\b", r"\bsession (?:has )?expired\b", r"\bda xay ra loi\b",
+    r"^\W*(?:ma loi|loi)? ?[\d: \-]*(?:khong tim thay trang|dich vu tam ngung|ket noi bi ngat|yeu cau bi tu choi)\b", r"\btrang (?:ban|nay)? ?(?:ban )?(?:tim|can|yeu cau|truy cap)\b.{0,20}\b(?:khong con|khong ton tai|da bi|bi doi)\b", r"\btrang (?:nay )?(?:di lac|khong ton tai|khong con o day)\b", r"\b(?:may chu|he thong) (?:khong phan hoi|dang ban|dang bao tri|gap su co)\b", r"\bnoi dung khong tai duoc\b", r"\bkhong the (?:tai|hien thi|ket noi)\b.{0,30}\b(?:trang|noi dung|may chu|co so du lieu)\b", r"\bket noi bi ngat giua chung\b", r"\byeu cau bi tu choi\b", r"\bdich vu tam ngung\b", r"\btrang (?:web )?dang bao tri\b", r"\bkhong ket noi duoc\b.{0,30}\b(?:co so du lieu|may chu)\b", r"\bqua nhieu yeu cau\b", r"\bban khong co quyen\b", r"\bphien (?:lam viec|dang nhap) (?:da )?het han\b", r"\bsession (?:has )?expired\b", r"\bda xay ra loi\b", r"\b(?:san pham|trang|noi dung|bai viet)\b.{0,10}\bkhong (?:con )?ton tai (?:hoac|nua)\b", r"\b(?:hoac|va) da bi (?:go|xoa)\b", r"\bdoes(?: not|n't) exist or\b", r"\bhas been removed or\b",
 )
 SCRIPTS = (
     r"\b(?:vui long|hay|xin|can|phai|moi ban) (?:bat|kich hoat|mo|cho phep) (?:javascript|script|cookie|js)\b", r"\bcan (?:co )?(?:javascript|js|script)\b", r"\bcan (?:chay|bat) (?:ma kich ban|script|javascript)\b", r"\bcho phep ma kich ban\b", r"\btrinh duyet\b.{0,30}\b(?:tat|chan|khong ho tro|bat)\b.{0,12}\b(?:javascript|scripts?|js)\b", r"\bkhi (?:java)?scripts? (?:bi chan|duoc cho phep|bi tat)\b", r"\bkiem tra cai dat (?:java)?script\b", r"\bnoscript\b",
     r"\b(?:please |must |need to )?(?:enable|turn on|activate|allow) (?:your )?(?:javascript|scripts?|cookies)\b", r"\brequires? (?:a browser with )?(?:javascript|scripts?|scripting)\b", r"\b(?:works?|available) (?:only )?(?:once|with|when|if) (?:javascript|scripts?)\b", r"\bonly works once\b.{0,20}script", r"\b(?:javascript|scripts?|scripting) (?:is|are) (?:disabled|required|needed|blocked|off)\b", r"\bactivez (?:le )?javascript\b", r"\bjavascript (?:est )?(?:desactive|requis|necessaire)\b", r"\bcocher? .{0,20}pas un robot\b",
     r"\bchecking your browser\b", r"\bverif(?:y|ying) (?:that )?you are (?:a )?human\b", r"\b(?:xac minh|xac nhan|chung minh)\b.{0,20}\bkhong phai (?:la )?(?:nguoi may|robot|may)\b", r"\bi'?m not a robot\b", r"\bcomplete the captcha\b", r"\bnhap (?:ma )?captcha\b",
 )
-#: Somebody tells of such a thing: words of a report, or the thing in quotes.
-TOLD = r"\b(?:toi|minh|nhieu khach|khach bao|to ky thuat|hom truoc|hom qua|luc truoc|bua do|bua truoc|tung hoi|nhan vien|sua xong|binh thuong|we saw|once,|yesterday|last week|was fixed|nous avons)\b|\"[^\"]{3,80}\""
+#: Somebody tells of such a thing: words of a report. A short part in quotes is a mention and is left out.
+TOLD = r"\b(?:nhieu khach bao|khach bao|to ky thuat|sua xong|hom truoc|hom qua|luc truoc|bua do|bua truoc|tung hoi|we saw|once,|yesterday|last week|was fixed|nous avons)\b"
+QUOTED = r'"[^"]{1,60}"|“[^”]{1,60}”'
 KINDS = {"slot": SLOTS, "filler": FILLERS, "draft": DRAFTS, "failure": FAILURES, "script": SCRIPTS}
 
 
@@ -64,7 +65,7 @@ TRIGGERS = {
     "slot": ("{", "<", "@@", "__", "[", "%", "(dien ", "(nhap ", "(chen ", "(thay ", "(them ", "(bo sung ", "(insert ", "(fill in ", "(your ", "|", "undefined", "null", "nan", "none", "n/a", ": na", "........", "……", "xxxxx"),
     "filler": ("lorem", "ipsum", "dolor", "amet", "labor", "elit", "adipisc", "nostrud", "tempor", "consequat", "aliqu", "veniam", "fugiat", "pariatur", "ullamco", "voluptate", "cillum", "eiusmod", "incididunt", "commodo", "irure", "magna", "vestibulum", "asdf", "noi dung", "van ban", "thu nghiem", "tieu de", "sample text", "texte", "placeholder", "filler", "dummy", " here", "chu "),
     "draft": ("todo", "fixme", "tbd", "nhap", "draft", "brouillon", "viet ", "bo sung", "thay ", "to be ", "coming soon", "cap nhat", "complete", "remplacer"),
-    "failure": ("error", "erreur", "loi", "http", "oops", "tiec", "sorry", "thong bao", "status", "canh bao", "warning", "gateway", "unavailable", "denied", "forbidden", "not found", "too many", "timed out", "upstream", "the page", "something went", "was blocked", "introuvable", "serveur", "n'existe", "traceback", "exception", "stack trace", "at line", "on line", ".php", "refused", "khong tim thay", "khong con", "khong ton tai", "da bi", "bi doi", "di lac", "phan hoi", "dang ban", "bao tri", "su co", "khong tai duoc", "khong the", "bi ngat", "bi tu choi", "tam ngung", "khong ket noi", "qua nhieu", "co quyen", "het han", "expired", "bad request", "unauthorized"),
+    "failure": ("error", "erreur", "loi", "http", "oops", "tiec", "sorry", "thong bao", "status", "canh bao", "warning", "gateway", "unavailable", "denied", "forbidden", "not found", "too many", "timed out", "upstream", "the page", "something went", "was blocked", "introuvable", "serveur", "n'existe", "traceback", "exception", "stack trace", "at line", "on line", ".php", "refused", "khong tim thay", "khong con", "ton tai", "bi go", "bi xoa", "removed", " exist", "da bi", "bi doi", "di lac", "phan hoi", "dang ban", "bao tri", "su co", "khong tai duoc", "khong the", "bi ngat", "bi tu choi", "tam ngung", "khong ket noi", "qua nhieu", "co quyen", "het han", "expired", "bad request", "unauthorized"),
     "script": ("script", "kich ban", "cookie", "captcha", "robot", "nguoi may", "khong phai", "browser", "human", " js"),
 }
 #: A word four times over is tried in any line.
@@ -76,7 +77,8 @@ def evidence(line: Column, triggered: bool = True) -> Column:
     told = line.rlike(TOLD)
     found = F.lit(None).cast("string")
     for kind in reversed(KINDS):
-        hit = _any(line, KINDS[kind]) if kind == "filler" else line.rlike("|".join(f"(?:{p})" for p in KINDS[kind]))
+        said = line if kind in ("slot", "draft") else F.regexp_replace(line, QUOTED, '""')
+        hit = _any(said, KINDS[kind]) if kind == "filler" else said.rlike("|".join(f"(?:{p})" for p in KINDS[kind]))
         if triggered:
             hit = reduce(or_, (F.contains(line, F.lit(t)) for t in TRIGGERS[kind])) & hit
             if kind == "filler":
