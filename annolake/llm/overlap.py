@@ -64,12 +64,12 @@ def shingles(text: list[str]) -> list[tuple[str, int]]:
 class Index:
     """The rarest shingles of the evaluation texts of a block."""
 
-    def __init__(self, block: list[tuple[str, list[str]]], most: int) -> None:
-        """block: the key of a text, and its words."""
+    def __init__(self, block: list[tuple[str, str]], most: int) -> None:
+        """block: the key of a text, and its words with blanks between."""
         self.most, self.keys, self.texts = most, [key for key, _ in block], [text for _, text in block]
-        held = [shingles(t) for t in self.texts]
+        held = [shingles(t.split(" ")) for t in self.texts]
         self.rarity = Counter(s for own in held for s in own)
-        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.sizes = np.array([t.count(" ") + 1 for t in self.texts], np.int64)
         postings: dict[tuple[str, int], list[int]] = {}
         for at, own in enumerate(held):
             for s in self.prefix(own):
@@ -90,7 +90,7 @@ class Index:
         may = np.minimum(self.most, (longer - 1) // 2)
         # Shingles shared so far, and as many as could still come after the prefixes, must reach what two such texts share.
         close = np.flatnonzero((count >= np.minimum(SHARED, longer - may)) & (np.abs(self.sizes - len(text)) <= may))
-        return [int(k) for k in close if same(self.texts[k], text, self.most)]
+        return [int(k) for k in close if same(self.texts[k].split(" "), text, self.most)]
 
 
 def _probe(index: Index):
@@ -124,7 +124,7 @@ def near_same(evaluation: DataFrame, training: DataFrame, most: int, rows: int)
         found.append(probe.mapInArrow(_probe(Index(block, most)), "key string, other_id bigint"))
 
     for r in known.select("text").distinct().toLocalIterator():
-        block.append((hashlib.md5(r.text.encode()).hexdigest(), r.text.split(" ")))
+        block.append((hashlib.md5(r.text.encode()).hexdigest(), r.text))
         if len(block) == BLOCK:
             search()
             block = []
