@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annolake.functions.text import strip
 
@@ -30,7 +31,7 @@ def first_of(c: Column) -> Column:
     return F.when(c.startswith("["), listed).otherwise(F.coalesce(c, F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(texts: pd.Series) -> pd.Series:
     """Text with letters and accents composed; the JVM has no function for it."""
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))

@@ -67,7 +67,7 @@ def confidence(c: Column) -> Column:
 
 
 def is_slug(c: Column) -> Column:
-    return F.coalesce(c.rlike("^[a-z][a-z0-9_]+$"), F.lit(False))
+    return F.coalesce(c.rlike(r"^[a-z][a-z0-9_]+\z"), F.lit(False))
 
 
 def titled(slug: Column) -> Column:

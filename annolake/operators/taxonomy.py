@@ -34,7 +34,7 @@ def merge_triples(df: DataFrame, texts: list[str]) -> DataFrame:
     member = F.struct(kind.alias("kind"), number.alias("number"), "ord", "id", "name", *texts)
     groups = whole.groupBy("l1", "l2", "l3").agg(F.array_sort(F.collect_list(member)).alias("m"))
     first = F.col("m")[0]
-    merged = groups.select("l1", "l2", "l3", F.size("m").alias("members"), first.id.alias("primary_id"), first.number.alias("number"), first.name.alias("name"), *(merged_text(F.transform("m", lambda x, t=t: x[t])).alias(t) for t in texts))
+    merged = groups.select("l1", "l2", "l3", F.size("m").alias("members"), first["id"].alias("primary_id"), first["number"].alias("number"), first["name"].alias("name"), *(merged_text(F.col(f"m.{t}")).alias(t) for t in texts))
     used = whole.select(number.alias("k")).filter(f"k < {10**9}").distinct()
     lacking = merged.filter(f"number = {10**9}").select("l1", "l2", "l3").withColumn("r", F.row_number().over(Window.orderBy("l1", "l2", "l3")))
     # Of the numbers from FIRST_NEW on, as many as could be needed; those in use are taken out.

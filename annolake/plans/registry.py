@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from annolake.plans import quality
+from annolake.plans import graph, labels, labels_sql, quality, runs
 
-MODULES = (quality,)
+MODULES = (quality, labels, graph, runs)
+SQL = (quality, labels_sql, graph, runs)
 
 
 def queries() -> dict:
@@ -12,4 +13,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for m in SQL for name, sql in m.ORACLES.items()}

@@ -22,18 +22,19 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written once to the reliable checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only where that is unset, on one machine as in tests, a local folder is made."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "annolake-checkpoints")
+
 
-    The folder is the one in spark.checkpoint.dir. Only where that is unset, as in tests, a local folder is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written once to the reliable checkpoint folder and read from there."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), "annolake-checkpoints")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
