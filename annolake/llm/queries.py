@@ -160,7 +160,7 @@ def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
-    return _sampled(spark, d)[0].select("row_id", "category")
+    return _sampled(spark, d)[0].select("row_id", F.col("drawn_as").alias("category"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.operators.ranks import group_rank
+from annolake.operators.splits import order_hash
 
 #: Rows that one bucket of ranks holds on the average.
 BUCKET_ROWS = 50_000
@@ -21,11 +22,6 @@ def _start(seed: int) -> float:
     return (seed * 2654435761 % 2**32) / 2**32
 
 
-def order_hash(seed: int, key: str) -> Column:
-    """The random order: 60 bits of an MD5 of the seed and the key."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("bigint")
-
-
 def plan(counts: DataFrame, targets: DataFrame, size: int, floor: int, seed: int) -> DataFrame:
     """One row per category of counts (category, available) or targets (category, weight): how many of its first rows are drawn, and why not as many as wanted.
 
@@ -56,21 +52,21 @@ def plan(counts: DataFrame, targets: DataFrame, size: int, floor: int, seed: int
 
 
 def proportional_sample(rows: DataFrame, key: str, category: Column, targets: DataFrame, size: int, floor: int, seed: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """(sample, report). sample: rows with columns category and rank; report: a row per category with available, weight, wanted, kept, status.
+    """(sample, report). sample: rows with columns drawn_as (the category) and drawn_rank; report: a row per category with available, weight, wanted, kept, status.
 
     rows: key unique, else its copies are told apart by nothing but chance; category null counts as ''. targets: (category, weight), weights of a category that
     occurs twice add up, null and negative ones count as none. Categories without a target get nothing. status: met (to less than a row), short (fewer available than
     wanted), absent (wanted, but none available), floor (raised to the floor), reduced (for floors elsewhere), untargeted. total: how many rows there are, about.
     Empty tables give an empty sample, and a report of the targets.
     """
-    named = rows.withColumn("category", F.coalesce(category, F.lit("")))
+    named = rows.select(F.struct(*rows.columns).alias("_row"), F.col(key).alias("_key"), F.coalesce(category, F.lit("")).alias("category"))
     counts = named.groupBy("category").agg(F.count("*").alias("available"))
     clean = targets.select("category", F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight")).filter("category is not null")
     drawn = plan(counts, clean, size, floor, seed)
     status = F.when(F.col("weight") <= 0, "untargeted").when(F.col("available") == 0, "absent").when(F.col("available") < F.col("wanted"), "short").when(F.col("added") > 0, "floor").when(F.abs(F.col("kept") - F.col("wanted")) < 1, "met").otherwise("reduced")
     report = drawn.select("category", "available", "weight", F.round("wanted", 6).alias("wanted"), "kept", status.alias("status"))
     buckets = max(1, min(1 << 16, total // BUCKET_ROWS + 1))
-    ranked = group_rank(named, "category", order_hash(seed, key), [key], "rank", buckets)
+    ranked = group_rank(named, "category", order_hash(seed, "_key"), ["_key"], "rank", buckets)
     # The k-th row of a category is passed at begin + k x expected / available; drawn rows, then the next ones for floors, the last drawn ones taken back.
     limits = drawn.select("category", "available", "expected", "begin", "drawn", "added", "kept")
     at = ranked.join(limits, "category").filter("kept > 0")
@@ -80,4 +76,4 @@ def proportional_sample(rows: DataFrame, key: str, category: Column, targets: Da
     crossed = number > (up(F.col("rank") - 1) - F.floor("begin")).cast("bigint")
     spareless = F.col("rank") - number  # place among the rows not drawn
     chosen = F.when(crossed, number <= F.col("kept")).otherwise((F.col("added") > 0) & (spareless <= F.col("added")))
-    return at.filter(chosen).select(*rows.columns, "category", "rank"), report
+    return at.filter(chosen).select("_row.*", F.col("category").alias("drawn_as"), F.col("rank").alias("drawn_rank")), report
