@@ -40,8 +40,9 @@ def split(df: DataFrame, key: str, train: float, val: float, least: int, seed: i
     strata = with_stratum(df, least)
     sizes = split_sizes(strata.groupBy("stratum").agg(F.count("*").alias("n")), train, val)
     ranked = group_rank(strata, "stratum", order_hash(seed, key), [key], "_rank", total // BUCKET_ROWS + 1)
-    name = F.when(F.col("_rank") <= F.col("n_train"), "train").when(F.col("_rank") <= F.col("n_train") + F.col("n_val"), "val").otherwise("test")
-    return ranked.join(sizes, "stratum").withColumn("split", name).drop("_rank", "n", "n_train", "n_val", "n_test")
+    name = F.when(F.col("_rank") <= F.col("_a"), "train").when(F.col("_rank") <= F.col("_a") + F.col("_b"), "val").otherwise("test")
+    sizes = sizes.select("stratum", F.col("n_train").alias("_a"), F.col("n_val").alias("_b"))
+    return ranked.join(sizes, "stratum").withColumn("split", name).drop("_rank", "_a", "_b")
 
 
 def coverage_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:

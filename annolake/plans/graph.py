@@ -129,8 +129,8 @@ WITH i AS (SELECT *, coalesce(TRY_CAST(regexp_extract(id, '^INT-(\d{{1,18}})$',
 o AS (SELECT *, CASE WHEN num < 1000000000 THEN 0 WHEN starts_with(id, 'AUTO-') THEN 1 ELSE 2 END AS kind FROM i),
 r AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY kind, num, ord) AS rn FROM o),
 e AS (SELECT l1, l2, l3, rn, f, regexp_replace(coalesce(v, ''), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g') AS v FROM (SELECT l1, l2, l3, rn, unnest(['d', 'e']) AS f, unnest([description, examples]) AS v FROM r)),
-u AS (SELECT l1, l2, l3, f, v, min(rn) AS at FROM e WHERE v <> '' GROUP BY ALL),
-t AS (SELECT l1, l2, l3, f, substr(string_agg(v, ' | ' ORDER BY at), 1, 2000) AS v FROM u GROUP BY l1, l2, l3, f),
+u AS (SELECT l1, l2, l3, f, v, min(rn) AS place FROM e WHERE v <> '' GROUP BY ALL),
+t AS (SELECT l1, l2, l3, f, substr(string_agg(v, ' | ' ORDER BY place), 1, 2000) AS v FROM u GROUP BY l1, l2, l3, f),
 m AS (SELECT l1, l2, l3, count(*) AS members, max(id) FILTER (rn = 1) AS primary_id, max(num) FILTER (rn = 1) AS num, max(name) FILTER (rn = 1) AS name FROM r GROUP BY l1, l2, l3),
 n AS (SELECT l1, l2, l3, row_number() OVER (ORDER BY l1, l2, l3) AS k FROM m WHERE num = 1000000000),
 f AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT unnest(range(133, 133 + 2 * (SELECT count(*) FROM unified_intents) + 2)) AS x) WHERE x NOT IN (SELECT num FROM i)),
