@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annolake.functions.text import blank, strip
 from annolake.operators.compare import diff, latest
 from annolake.operators.packed import explode_packed
-from annolake.sources.tables import table
+from annolake.sources.tables import spread, table
 
 #: Field -> whether a bare comma parts its values: signals are words or short phrases, the others whole sentences.
 PACKED = {"detection_signals": True, "examples": False, "description": False}
@@ -16,7 +16,7 @@ COMPARED = ("sentence", "category", "level_1", "level_2", "level_3", "confidence
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return explode_packed(table(spark, d, "unified_intents"), "row_id", PACKED)
+    return explode_packed(spread(table(spark, d, "unified_intents").select("row_id", *PACKED)), "row_id", PACKED)
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
