@@ -17,7 +17,7 @@ from annolake.llm.packing import counter, pack
 from annolake.llm.residue import residue
 from annolake.llm.sampling import proportional_sample
 from annolake.operators.skew import spread_join
-from annolake.sources.tables import table
+from annolake.sources.tables import spread, table
 
 
 #: Words by which two sentences may differ and still be the same.
@@ -30,7 +30,7 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     key = F.regexp_replace(F.lower(strip(F.col("sample_id"))), r"_q0+(?=\d)", "_q")
     named = [df.select(F.col(i).alias(i), key.alias("key")).filter("key <> ''") for df, i in ((gold, "gold_id"), (train, "train_id"))]
     by_id = spread_join(*named, ["key"], n, "train_id").select("gold_id", "train_id", F.lit("sample_id").alias("by"))
-    texts = [df.select(F.col(i).alias("id"), F.col("sentence").alias("text")) for df, i in ((gold, "gold_id"), (train, "train_id"))]
+    texts = [spread(df.select(F.col(i).alias("id"), F.col("sentence").alias("text"))) for df, i in ((gold, "gold_id"), (train, "train_id"))]
     by_text = near_same(*texts, MOST_WORDS, gold.count()).select(F.col("id").alias("gold_id"), F.col("other_id").alias("train_id"), F.lit("sentence").alias("by"))
     return by_id.unionByName(by_text).groupBy("gold_id", "train_id").agg(F.array_sort(F.collect_set("by")).alias("by"))
 
@@ -48,7 +48,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
     parts = (("crawl_hasaki", ["question", "product_name_raw"]), ("hasaki_labelled_full", ["sentence"]))
-    return reduce(DataFrame.unionByName, (canonical_fields(table(spark, d, t), "row_id", fields).withColumn("src", F.lit(t)) for t, fields in parts))
+    return reduce(DataFrame.unionByName, (canonical_fields(spread(table(spark, d, t).select("row_id", *fields)), "row_id", fields).withColumn("src", F.lit(t)) for t, fields in parts))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _records(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
         ("hasaki_labelled_full", table(spark, d, "hasaki_labelled_full"), "row_id", F.array("category", "sentence")),
         ("crawl_raw", raw, "rec_id", whole),
     )
-    rows = reduce(DataFrame.unionByName, (df.select(F.lit(t).alias("src"), F.col(key).alias("id"), fields.alias("fields")) for t, df, key, fields in tables))
+    rows = reduce(DataFrame.unionByName, (spread(df.select(F.lit(t).alias("src"), F.col(key).alias("id"), fields.alias("fields"))) for t, df, key, fields in tables))
     return rows, sum(df.count() for _, df, _, _ in tables)
 
 
@@ -101,7 +101,7 @@ def _mapped(spark: SparkSession, d: str) -> DataFrame:
     brands = table(spark, d, "brand_list").select(F.col("brand_id").alias("id"), F.col("brand_name").alias("text"))
     names = [r.text for r in brands.filter("text is not null").toLocalIterator()]
     products = table(spark, d, "crawl_hasaki").select("row_id", F.col("product_name_raw").alias("val"))
-    free = products.filter(~blank(F.col("val")) & ~stands_in(F.col("val"), names))
+    free = spread(products).filter(~blank(F.col("val")) & ~stands_in(F.col("val"), names))
     found.append(map_values(free, brands, LEAST, parts(BRAND_WORDS)).select(F.lit("crawl_hasaki").alias("src"), "row_id", F.lit("product_name_raw").alias("field_name"), "val", "canonical_id", "similarity"))
     return reduce(DataFrame.unionByName, found)
 
@@ -116,7 +116,7 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, d: str, **how) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     return leaks(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text"), **how)
 
 
@@ -137,7 +137,7 @@ def p9_leaked(spark: SparkSession, d: str) -> DataFrame:
 
 def _residue(spark: SparkSession, d: str) -> DataFrame:
     host = F.coalesce(F.regexp_extract("url", r"^\w+://([^/?#]+)", 1), F.col("source"))
-    return residue(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", host.alias("host")))
+    return residue(spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", host.alias("host"))))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +175,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     sizes = docs.mapInArrow(counter(str(tokenizers.path(VOCABULARY)), tokenizers.PATTERN), "id bigint, tokens bigint")
     capacities = [r.capacity for r in table(spark, d, "pack_sizes").select("capacity").distinct().toLocalIterator() if r.capacity]
     return pack(sizes, capacities, docs.count() * max(1, len(capacities)))
