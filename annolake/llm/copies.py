@@ -152,7 +152,7 @@ def copies(rows: DataFrame, total: int) -> DataFrame:
     key = ["src", "h1", "h2"]
     groups = hashed.groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
     groups = cut_lineage(groups)
-    members = hot_join(hashed, groups, key, "n", total, "id")
+    members = cut_lineage(hot_join(hashed, groups, key, "n", total, "id"))
     firsts = members.filter("id = first_id").select(*key, "first_id", "n", F.col("fields").alias("first_fields"))
     pairs = hot_join(members.filter("id > first_id").drop("n"), firsts, [*key, "first_id"], "n", total, "id")
     checked = cut_lineage(pairs.mapInArrow(_verified, "src string, id bigint, h1 bigint, h2 bigint, first_id bigint, other string"))
