@@ -85,11 +85,13 @@ class Index:
         met = [self.postings[s] for s in self.prefix(shingles(text)) if s in self.postings]
         if not met:
             return []
-        count = np.bincount(np.concatenate(met), minlength=len(self.texts))
-        longer = np.maximum(self.sizes, len(text))
+        count = np.bincount(np.concatenate(met))
+        # What two such texts share at least grows with the longer of them, so this text's own length rules out most of the index.
+        n = len(text)
+        some = np.flatnonzero(count >= min(SHARED, n - allowed(n, self.most)))
+        longer = np.maximum(self.sizes[some], n)
         may = np.minimum(self.most, (longer - 1) // 2)
-        # Shingles shared so far, and as many as could still come after the prefixes, must reach what two such texts share.
-        close = np.flatnonzero((count >= np.minimum(SHARED, longer - may)) & (np.abs(self.sizes - len(text)) <= may))
+        close = some[(count[some] >= np.minimum(SHARED, longer - may)) & (np.abs(self.sizes[some] - n) <= may)]
         return [int(k) for k in close if same(self.texts[k].split(" "), text, self.most)]
 
 
