@@ -22,7 +22,7 @@ NAME = r"[ ]?[a-z][\w\-. ]{0,40}"
 # Marks of template languages around a name, and bracketed calls to fill something in.
 SLOTS = (
     rf"\{{\{{\{{?{NAME}\}}\}}", rf"[$#]\{{{NAME}\}}", rf"<%[=\-]?{NAME}%>", rf"\{{%{NAME}%\}}", rf"<<{NAME}>>", rf"@@{NAME}@@", rf"\[\[{NAME}\]\]",
-    r"(?<!\w)__[a-z][\w\-]*[a-z0-9]__(?!\w)", r"(?<![{$#%\w\"'])\{[a-z][\w\-. ]*\}(?!\})", r"(?<![\w%])%[a-z][\w\-]*\w%(?![\w%])", r"(?<![\w%])%[sd](?!\w)", r"%\(\w+\)[sd]", r"\[%?=? ?\w+ ?%\]", r"\|\w+\|(?=\s*[,.!])",
+    r"(?<!\w)__[a-z][\w\-.]*[a-z0-9]__(?!\w)", r"(?<![{$#%\w\"'])\{[a-z][\w\-. ]*\}(?!\})", r"(?<![\w%])%[a-z][\w\-.]*\w%(?![\w%])", r"(?<![\w%])%[sd](?!\w)", r"%\(\w+\)[sd]", r"\[%?=? ?\w+ ?%\]", r"\|\w+\|(?=\s*[,.!])",
     r"\((?:dien|nhap|chen|thay|them|bo sung|insert|fill in|your) [^()]{0,60}\)", r"<(?:chen|dien|nhap|them|insert|your|ten|mo ta)\b[^<>]{0,60}>",
     r"\[(?:chen|dien|nhap|them|insert|enter|your|fill|add|ten|dung tich|mo ta|dia chi|so dien thoai|thuong hieu|placeholder|a completer|inserer|nom|votre)\b[^\[\]]{0,60}\]",
     r"\[object object\]", r"\bundefined\b", r":\s*(?:null|nan|none|n/?a)\s*(?:₫|$|[.,;])", r"(?:chao|hello|hi|dear|bonjour) (?:null|nan|none)\b", r"\.{8,}|…{4,}|_{5,}", r"\bx{5,}\b", r"\[\[?(?:todo|tbd|tk|xxx+)\]?\]",
