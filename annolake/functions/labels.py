@@ -46,3 +46,8 @@ def gold_or_machine(gold: list[Column], machine: list[Column]) -> list[Column]:
     """The gold levels where the first of them is given, else the machine's."""
     given = F.coalesce(gold[0], F.lit("")) != ""
     return [F.coalesce(F.when(given, g).otherwise(m), F.lit("")) for g, m in zip(gold, machine)]
+
+
+def prefer(first: list[Column], second: list[Column]) -> list[Column]:
+    """Per level the first label, or the second where that is blank."""
+    return [F.coalesce(F.nullif(a, F.lit("")), b, F.lit("")) for a, b in zip(first, second)]

@@ -73,3 +73,23 @@ def is_slug(c: Column) -> Column:
 def titled(slug: Column) -> Column:
     """A slug as a title."""
     return F.initcap(F.replace(slug, F.lit("_"), F.lit(" ")))
+
+
+def page_text(html: Column) -> Column:
+    """What a page shows: without scripts, styles, comments and tags, with single blanks."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    plain = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return strip(F.regexp_replace(plain, r"(?U)\s+", " "))
+
+
+def blocks(html: Column, tag: str, kind: str) -> Column:
+    """The texts of a page's elements of a tag whose class has the word `kind`, without those that hold the same tag again."""
+    whole = F.regexp_extract_all(html, F.lit(rf"""(?is)<{tag}\b[^>]*?\bclass\s*=\s*["'][^"']*\b{kind}\b[^"']*["'][^>]*>((?:(?!<{tag}\b).)*?)</{tag}\s*>"""), 1)
+    return F.filter(F.transform(whole, page_text), lambda t: t != "")
+
+
+def asked_questions(html: Column, tag: str, kind: str, least: int = 3) -> Column:
+    """Questions that a page's blocks hold: texts of `least` letters or more, each once."""
+    return F.array_distinct(F.filter(blocks(html, tag, kind), lambda t: F.length(t) >= least))

@@ -39,8 +39,10 @@ def confusion(df: DataFrame, true: str, predicted: str, top: int) -> DataFrame:
 
 
 def recall_at(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
-    """Per k: recall and mean reciprocal rank of ranked (query, id, rank) against relevant (query, id), over the queries with anything relevant."""
+    """Per k: recall, mean reciprocal rank and nDCG of ranked (query, id, rank) against relevant (query, id), over the queries with anything relevant."""
     hits = relevant.join(ranked, ["query", "id"], "left")
-    each = hits.groupBy("query").agg(F.count("*").alias("all"), *(F.count_if(F.col("rank") <= k).alias(f"hit{k}") for k in ks), F.min("rank").alias("first"))
-    rows = [F.struct(F.lit(k).alias("k"), F.avg(F.col(f"hit{k}") / F.col("all")).alias("recall"), F.avg(F.when(F.col("first") <= k, 1.0 / F.col("first")).otherwise(0.0)).alias("mrr")) for k in ks]
-    return each.agg(F.array(*rows).alias("r")).select(F.inline("r")).select("k", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+    gain = lambda k: F.coalesce(F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0))
+    each = hits.groupBy("query").agg(F.count("*").alias("all"), *(F.count_if(F.col("rank") <= k).alias(f"hit{k}") for k in ks), *(gain(k).alias(f"gain{k}") for k in ks), F.min("rank").alias("first"))
+    best = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("all"), F.lit(k)).cast("int")), F.lit(0.0), lambda done, i: done + 1 / F.log2(i + 1))
+    rows = [F.struct(F.lit(k).alias("k"), F.avg(F.col(f"hit{k}") / F.col("all")).alias("recall"), F.avg(F.when(F.col("first") <= k, 1.0 / F.col("first")).otherwise(0.0)).alias("mrr"), F.avg(F.col(f"gain{k}") / best(k)).alias("ndcg")) for k in ks]
+    return each.agg(F.array(*rows).alias("r")).select(F.inline("r")).select("k", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))

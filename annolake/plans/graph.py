@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.functions import labels as L
-from annolake.functions import rules
-from annolake.operators import curate, metrics, retrieval, taxonomy
+from annolake.functions import rules, vectors
+from annolake.operators import annotate, curate, metrics, retrieval, taxonomy
 from annolake.sources.tables import table
 
 
@@ -80,6 +80,28 @@ def vector_recall(spark, d):
     return metrics.recall_at(ranked, relevant, [1, 5, 10])
 
 
+def vector_norms(spark, d):
+    """Length of each vector, and its cosine with the first one of its label."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    first = curate.one_per_key(rows, ["label"], F.col("vec_id")).select("label", F.col("embedding").alias("other"))
+    return rows.join(F.broadcast(first), "label").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+def relabelled(spark, d):
+    """Verified labels, with those from before where a level is blank, and whether they changed."""
+    rows = table(spark, d, "hasaki_labelled_full_verified")
+    now, before = ([F.col(f"{c}.level_{k}") for k in (1, 2, 3)] for c in ("intent_3_level", "intent_3_level_before_reverify"))
+    chosen = L.prefer(now, before)
+    return rows.select("row_id", L.path(*chosen).alias("label"), (L.path(*chosen) != L.path(*before)).alias("changed"))
+
+
+def node_vectors(spark, d):
+    """How many labels of each level have a vector, by the encoder without weights."""
+    nodes = table(spark, d, "intent_nodes").select("node_level", F.concat_ws(" ", "name", "description").alias("text"))
+    made = annotate.encode(nodes, "text", "vector", annotate.hashed_words())
+    return made.groupBy("node_level").agg(F.count("vector").alias("n"), F.min(F.size("vector")).cast("bigint").alias("size"))
+
+
 def _keywords(spark: SparkSession, d: str, k: int) -> DataFrame:
     nodes = table(spark, d, "intent_nodes").filter("node_level = 'l3'")
     texts = nodes.select("node_id", F.concat_ws(" ", "name", "description", "l3").alias("text"), F.col("domain").alias("category"), L.path(F.col("l1"), F.col("l2"), F.col("l3")).alias("key"))
@@ -120,7 +142,7 @@ def parsed_props(spark, d):
     return table(spark, d, "events").select("event_id", rules.json_in(F.col("props"), "k bigint")["k"].alias("k"))
 
 
-NAMES = "taxonomy_merge id_migration graph_nodes graph_edges sibling_texts canonical_labels semantic_topk nearest_snap vector_recall keyword_retrieval union_retrieval resume_antijoin upsert_latest parsed_props".split()
+NAMES = "taxonomy_merge id_migration graph_nodes graph_edges sibling_texts canonical_labels semantic_topk nearest_snap vector_recall vector_norms relabelled node_vectors keyword_retrieval union_retrieval resume_antijoin upsert_latest parsed_props".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _I = "SELECT ma_intent AS id, row_id AS ord, intent_name AS name, l1_category AS l1, l2_intent AS l2, l3_specific_intent AS l3, description, examples, coalesce(nullif(trim(domain), ''), 'My pham') AS domain FROM unified_intents"
@@ -163,7 +185,12 @@ ORACLES = {
     + " ".join(f"LEFT JOIN c{k} ON c{k}.key = {_NORMAL.format(f'l{k}')}" for k in (1, 2, 3)),
     "semantic_topk": _SIMILAR.format("0.1") + " SELECT query_id, id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 10",
     "nearest_snap": _SIMILAR.format("0.2") + " SELECT query_id, id, round(s, 6) AS similarity FROM r WHERE rank = 1",
-    "vector_recall": _SIMILAR.format("-1") + ", h AS (SELECT query_id, count(*) AS a, min(rank) AS f, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10 FROM r WHERE ql = vl GROUP BY 1) " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(h{k} / a::DOUBLE), 6) AS recall, round(avg(CASE WHEN f <= {k} THEN 1.0::DOUBLE / f ELSE 0 END), 6) AS mrr FROM h" for k in (1, 5, 10)),
+    "vector_recall": _SIMILAR.format("-1") + ", h AS (SELECT query_id, count(*) AS a, min(rank) AS f, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, " + ", ".join(f"coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {k}), 0) AS g{k}" for k in (1, 5, 10)) + " FROM r WHERE ql = vl GROUP BY 1) " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg(h{k} / a::DOUBLE), 6) AS recall, round(avg(CASE WHEN f <= {k} THEN 1.0::DOUBLE / f ELSE 0 END), 6) AS mrr, round(avg(g{k} / list_sum(list_transform(range(1, least(a, {k}) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg FROM h" for k in (1, 5, 10)),
+    "vector_norms": "WITH f AS (SELECT label, embedding::DOUBLE[] AS o FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn = 1) SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_cosine_similarity(embedding::DOUBLE[], o), 6) AS cosine FROM embeddings JOIN f USING (label)",
+    "relabelled": "WITH r AS (SELECT row_id, "
+    + ", ".join(f"coalesce(nullif(intent_3_level.level_{k}, ''), intent_3_level_before_reverify.level_{k}, '') AS n{k}, coalesce(intent_3_level_before_reverify.level_{k}, '') AS b{k}" for k in (1, 2, 3))
+    + " FROM hasaki_labelled_full_verified) SELECT row_id, n1 || '::' || n2 || '::' || n3 AS label, n1 || '::' || n2 || '::' || n3 <> b1 || '::' || b2 || '::' || b3 AS changed FROM r",
+    "node_vectors": "SELECT node_level, count(*) AS n, 64 AS size FROM intent_nodes GROUP BY 1",
     "keyword_retrieval": _KEYWORDS + "SELECT * FROM kw WHERE rank <= 10",
     "union_retrieval": _KEYWORDS + """, u AS (SELECT product_id, 'l3:' || intent_3_level.level_3 AS node_id, count(*) AS n FROM hasaki_labelled_full WHERE intent_3_level.level_3 IS NOT NULL AND product_id IS NOT NULL GROUP BY 1, 2),
       b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, node_id) AS rank FROM u),

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolake.functions import labels, rules, text
-from annolake.operators import audit, curate, metrics, retrieval, splits, taxonomy
+from annolake.functions import labels, rules, text, vectors
+from annolake.operators import annotate, audit, curate, metrics, retrieval, splits, taxonomy
 from annolake.operators.ranks import group_rank
 from annolake.operators.skew import hot_join, spread_join
 from annolake.sources import files
@@ -166,3 +166,41 @@ def test_stream(spark, rows, tmp_path):
     run()
     run()
     assert sorted(map(tuple, latest_version(spark, where[0]).select("k", "o", "v").collect())) == [(1, 5, "new"), (2, 2, "b"), (3, 6, "c")]
+
+
+def test_pages(rows):
+    html = '<div class="qa item"><b>Giá&nbsp;sao?</b><script>x</script></div><div class="other">no</div><DIV CLASS=\'item\'> a &amp; b </DIV><div class="item"></div><div class="qa item">Giá sao?</div>'
+    assert values(rows, rules.blocks(F.col("t"), "div", "item"), [html, None]) == [["Giá sao?", "a & b", "Giá sao?"], None]
+    assert values(rows, rules.asked_questions(F.col("t"), "div", "item", 6), [html]) == [["Giá sao?"]]
+    assert values(rows, rules.page_text(F.col("t")), ["<p>a<!-- x --> b</p>\n<style>q</style>"]) == ["a b"]
+
+
+def test_vector_columns(rows):
+    table = rows([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0]), ([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
+    got = table.select(vectors.norm(F.col("a")), vectors.unit(F.col("a")), vectors.cosine(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [5.0, 0.0, None, 1.0] and got[0][1] == [0.6, 0.8] and got[1][1] is None
+    assert round(got[0][2], 6) == 0.96 and got[1][2] is None and got[2][2] is None and got[3][2] is None
+
+
+def test_models(rows):
+    table = rows([(1, "ok", 0.5), (2, "bad", 0.5), (3, None, 0.5), (4, "ok", 0.9), (5, "ok", None)], "id int, t string, c double")
+
+    def factory():
+        seen = []
+
+        def model(t):
+            seen.append(t)
+            if t == "bad":
+                raise ValueError(f"call {len(seen)}")
+            return t.upper()
+
+        return model
+
+    got = annotate.routed(table.coalesce(1), F.col("c") < 0.85, lambda df: annotate.call_model(df, "t", factory, 3, lambda s: None)).collect()
+    by = {r.id: (r.answer, r.failure) for r in got}
+    assert by == {1: ("OK", None), 2: (None, "ValueError: call 4"), 3: (None, None), 4: (None, None), 5: (None, None)}
+    made = annotate.encode(table, "t", "v", annotate.hashed_words(8))
+    again = annotate.encode(made.withColumn("v", F.when(F.col("id") == 1, F.array(F.lit(9.0).cast("float"))).otherwise(F.col("v"))), "t", "v", annotate.hashed_words(8)).collect()
+    assert {r.id: None if r.v is None else len(r.v) for r in again} == {1: 1, 2: 8, 3: None, 4: 8, 5: 8}
+    asked = table.limit(1).select(annotate.prompt("Which?", F.col("t"), F.array(F.lit("a"), F.lit("b"))).alias("p")).collect()[0].p
+    assert asked == "Which?\nok\n1. a\n2. b"
