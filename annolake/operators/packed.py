@@ -80,7 +80,7 @@ def explode_packed(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFram
     """
     packed = F.array(*(F.struct(F.lit(f).alias("field_name"), split_packed(F.col(f), comma).alias("vals")) for f, comma in fields.items()))
     return (
-        df.select(F.col(key), F.explode(packed).alias("p"))
+        df.select(F.col(key), F.explode_outer(packed).alias("p"))  # explode() would have the array worked out once more, to see that it isn't empty
         .select(key, "p.field_name", F.posexplode("p.vals").alias("at", "val"))
         .select(key, "field_name", (F.col("at") + 1).cast("bigint").alias("pos"), "val")
     )
