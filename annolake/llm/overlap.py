@@ -119,7 +119,10 @@ def near_same(evaluation: DataFrame, training: DataFrame, most: int, rows: int)
     Texts without a word, null texts and null ids have no partner. Repeated rows give repeated pairs; a text that recurs is compared once for a task, and
     the rows of the evaluation side that share a text are put back at the end. Empty tables give no pairs. rows: how many rows evaluation has, about.
     """
-    plain = lambda df, name: df.select(F.col("id").cast("bigint").alias(name), F.array_join(words(F.coalesce("text", F.lit(""))), " ").alias("text")).filter(f"text <> '' and {name} is not null")
+    def plain(df: DataFrame, name: str) -> DataFrame:
+        held = df.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))  # has a word; told from the raw text, which is cheap
+        return held.select(F.col("id").cast("bigint").alias(name), F.array_join(words(F.col("text")), " ").alias("text"))
+
     known, probe, found, block = plain(evaluation, "id"), plain(training, "other_id"), [], []
 
     def search() -> None:
