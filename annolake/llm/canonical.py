@@ -176,7 +176,8 @@ def canonical_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     suspect character leave the JVM. No shuffle.
     """
     cells = F.array(*(F.struct(F.lit(f).alias("field_name"), F.when(suspect(F.col(f)), F.col(f)).alias("val")) for f in fields))
-    rows = df.select(F.col(key).alias("key"), F.explode(F.filter(cells, lambda x: x.val.isNotNull())).alias("x")).select("key", "x.*")
+    # explode() would have the cells worked out once more, to see that there are any.
+    rows = df.select(F.col(key).alias("key"), F.explode_outer(cells).alias("x")).select("key", "x.*").filter(F.col("val").isNotNull())
     kind = df.schema[key].dataType.simpleString()
     formed = rows.mapInArrow(_forms, f"key {kind}, field_name string, val string, form string")
     return formed.filter(F.col("form") != F.col("val")).withColumnRenamed("key", key)
