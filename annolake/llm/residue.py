@@ -100,7 +100,7 @@ def residue(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> D
     """
     judged = F.transform(lines(F.coalesce("text", F.lit(""))), lambda line: F.struct(line.alias("line"), evidence(line).alias("kind")))
     # explode() would have the lines judged once more, to see that there are any.
-    proven = documents.select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode_outer(judged).alias("x")).select("id", "host", "x.*").filter("kind is not null")
+    proven = documents.select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode_outer(F.filter(judged, lambda x: x.kind.isNotNull())).alias("x")).select("id", "host", "x.*").filter("kind is not null")
     proven = cut_lineage(proven)
     # Only lines with evidence matter, so only their recurrence is counted; the hosts' sizes come from all documents.
     sizes = documents.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("documents"))
