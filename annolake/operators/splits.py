@@ -70,7 +70,7 @@ def coverage_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     target = target.withColumn("_t", F.col("_t") - F.least(F.col("_t"), F.greatest(F.lit(0), F.col("_off") - before))).select(F.col("l2").alias("_l2"), "_t")
     free = rows.join(taken.select("_h"), "_h", "left_anti")
     ranked = free.withColumn("_r", F.row_number().over(Window.partitionBy("l2").orderBy("_h"))).filter(F.col("_r") <= size)
-    three = ranked.join(F.broadcast(target), F.col("l2").eqNullSafe(F.col("_l2"))).filter("_r <= _t").select("_h")
+    three = ranked.join(target, F.col("l2").eqNullSafe(F.col("_l2"))).filter("_r <= _t").select("_h")
     some = taken.unionByName(three.withColumn("phase", F.lit(3)))
     missing = some.agg((F.lit(size) - F.count("*")).alias("_missing"))
     rest = rows.join(some.select("_h"), "_h", "left_anti").select("_h").orderBy("_h").limit(size)

@@ -38,7 +38,8 @@ def merge_triples(df: DataFrame, texts: list[str]) -> DataFrame:
     used = whole.select(number.alias("k")).filter(f"k < {10**9}").distinct()
     lacking = merged.filter(f"number = {10**9}").select("l1", "l2", "l3").withColumn("r", F.row_number().over(Window.orderBy("l1", "l2", "l3")))
     # Of the numbers from FIRST_NEW on, as many as could be needed; those in use are taken out.
-    need = merged.agg(F.count("*").alias("n")).crossJoin(used.agg(F.count("*").alias("u"))).select(F.explode(F.sequence(F.lit(FIRST_NEW).cast("bigint"), F.col("n") + F.col("u") + FIRST_NEW)).alias("k"))
+    most = merged.select(F.lit(1)).union(used.select(F.lit(1))).agg(F.count("*").alias("n"))
+    need = most.select(F.explode(F.sequence(F.lit(FIRST_NEW).cast("bigint"), F.col("n") + FIRST_NEW)).alias("k"))
     free = need.join(used, "k", "left_anti").withColumn("r", F.row_number().over(Window.orderBy("k")))
     given = lacking.join(free, "r").select("l1", "l2", "l3", F.concat(F.lit("INT-"), F.col("k").cast("string")).alias("given"))
     return merged.join(given, ["l1", "l2", "l3"], "left").select("l1", "l2", "l3", "members", "primary_id", F.coalesce("given", "primary_id").alias("new_id"), "name", *texts)

@@ -84,7 +84,7 @@ def vector_norms(spark, d):
     """Length of each vector, and its cosine with the first one of its label."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     first = curate.one_per_key(rows, ["label"], F.col("vec_id")).select("label", F.col("embedding").alias("other"))
-    return rows.join(F.broadcast(first), "label").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+    return rows.join(first, "label").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
 def relabelled(spark, d):

@@ -66,7 +66,7 @@ def dominant_labels(spark, d):
 
 
 def issue_table(spark, d):
-    rows = _labelled(spark, d).join(F.broadcast(_known(spark, d).distinct().withColumn("known", F.lit(True))), "l3", "left")
+    rows = _labelled(spark, d).join(_known(spark, d).distinct().withColumn("known", F.lit(True)), "l3", "left")
     status = F.coalesce("qa_status", F.lit(""))
     issues = {
         "invalid_slug": (F.col("l3") != "") & ~rules.is_slug(F.col("l3")), "skipped_ambiguous": status == "skipped_ambiguous", "needs_review": status.rlike("needs_review|pending"),
@@ -168,7 +168,7 @@ def bulk_update_dry(spark, d):
     """How many rows a renaming of level 1 would change: labels that are known but for case, marks and accents."""
     known = table(spark, d, "intent_nodes").filter("node_level = 'l1'").select(F.col("l1").alias("new"), F.regexp_replace("l1", "_", "").alias("key")).distinct()
     rows = _labelled(spark, d).select("l1", F.regexp_replace(fold(F.col("l1")), "[^a-z0-9]", "").alias("key"))
-    return rows.join(F.broadcast(known), "key").filter("l1 <> new").groupBy("new").agg(F.count("*").alias("matched"), F.countDistinct("l1").alias("spellings"))
+    return rows.join(known, "key").filter("l1 <> new").groupBy("new").agg(F.count("*").alias("matched"), F.countDistinct("l1").alias("spellings"))
 
 
 def _strata(spark, d) -> tuple[DataFrame, int]:

@@ -15,7 +15,7 @@ def fit_svm(train: DataFrame, text: str, label: str, words: int = 50_000, least:
     Give it a sample of labelled rows whose size is bounded; the model is then applied to any number of rows.
     """
     sizes = train.groupBy(label).agg(F.count("*").alias("_n"))
-    weighted = train.join(F.broadcast(sizes), label).withColumn("weight", 1.0 / F.col("_n"))
+    weighted = train.join(sizes, label).withColumn("weight", 1.0 / F.col("_n"))
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),

@@ -37,7 +37,7 @@ def tfidf_svm(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and F1 of level 1 and its prediction, fitted on verified rows and judged on others."""
     rows = table(spark, d, "hasaki_labelled_clean").select("row_id", "sentence", level("intent_3_level", 1).alias("l1")).filter("l1 rlike '^[a-z_]+$' and sentence is not null")
     known = table(spark, d, "intent_nodes").filter("node_level = 'l1'").select(F.col("l1").alias("k")).distinct()
-    rows = rows.join(F.broadcast(known), F.col("l1") == F.col("k"), "left_semi")
+    rows = rows.join(known, F.col("l1") == F.col("k"), "left_semi")
     train = rows.filter("row_id % 5 <> 0").orderBy(F.xxhash64("row_id")).limit(FITTED)
     judged = predict(fit_svm(train, "sentence", "l1"), rows.filter("row_id % 5 = 0"))
     return metrics.hierarchical(judged, {"l1": ("l1", "predicted")})
