@@ -34,17 +34,23 @@ def asks(c: Column) -> Column:
     return F.coalesce(strip(c).rlike(r"(?iU)\b(?:" + "|".join(QUESTIONS) + r")\b"), F.lit(False))
 
 
+# What stands before and behind a raw product name, in the order it is taken off; what follows a size; where a link holds a product's id.
+AROUND_NAME = (r"^-?\d+\s*%\s*", r"^\d[\d.,]*\s*₫\s*", r"^\d[\d.,]*\s*₫\s*", r"^Tặng:.*?₫\s*", r"\d+\.\d+\(\d+\)\d*$", r"\d+$")
+BEHIND_SIZE = r"(\d+(?:ml|g|L))[A-Z][a-z].*$"
+LINK_ID = r"/san-pham/([^/?#]+?)(?:\.html)?(?:[?#]|$)"
+
+
 def product_name(c: Column) -> Column:
     """The first line of a raw name, without discount, prices, gift, rating, counts behind it, and what follows its size."""
     name = strip(F.substring_index(c, "\n", 1))
-    for pattern in (r"^-?\d+\s*%\s*", r"^\d[\d.,]*\s*₫\s*", r"^\d[\d.,]*\s*₫\s*", r"^Tặng:.*?₫\s*", r"\d+\.\d+\(\d+\)\d*$", r"\d+$"):
+    for pattern in AROUND_NAME:
         name = strip(F.regexp_replace(name, pattern, ""))
-    return F.regexp_replace(name, r"(\d+(?:ml|g|L))[A-Z][a-z].*$", "$1")
+    return F.regexp_replace(name, BEHIND_SIZE, "$1")
 
 
 def link_id(c: Column) -> Column:
     """The product id in a link: what follows /san-pham/, else its last part, without .html."""
-    named = F.regexp_extract(c, r"/san-pham/([^/?#]+?)(?:\.html)?(?:[?#]|$)", 1)
+    named = F.regexp_extract(c, LINK_ID, 1)
     last = F.regexp_replace(F.regexp_extract(c, r"([^/]*)/?$", 1), r"\.html", "")
     return F.when(named != "", named).otherwise(last)
 
