@@ -19,7 +19,7 @@ BULLET = rf"(?U)^(?:(?:[-*+•·–]|{NUMBER})\s+)+|^[-*+•·–]$"
 def _outside(piece: Column, comma: bool, numbered: Column) -> Column:
     """A piece between quotes, with CUT for each delimiter. A comma on its own between two quoted values always parts them."""
     cut = F.regexp_replace(piece, rf"(?U){ALWAYS}" + ("|," if comma else ""), CUT)
-    cut = F.regexp_replace(cut, r"(?U)^\s*,\s*$", CUT)
+    cut = F.regexp_replace(cut, r"(?U)^\s*,\s*$|^\s+$", CUT)
     cut = F.regexp_replace(cut, rf"(?U)(?:,\s*)?({CUT})(?:\s*,)?", CUT)
     return F.when(numbered, F.regexp_replace(cut, rf"(?U)\s+(?={NUMBER})", CUT)).otherwise(cut)
 
@@ -30,7 +30,7 @@ def split_packed(c: Column, comma: bool) -> Column:
     at even places are split at delimiters, and a fold over the pieces puts the values together again. Two quotes in a row inside
     a quoted value, and \", are one quote of the value. comma: whether a bare comma parts values (short values), or only one
     between quoted values (whole sentences, which hold commas).
-    Null and blank text give an empty array; blank pieces do not count, repeated values stay.
+    A quote that is never closed stays in its value. Null and blank text give an empty array; blank pieces do not count, repeated values stay.
     """
     plain = strip(F.regexp_replace(c, "\r\n?", "\n"))
     return F.coalesce(_let(plain, lambda text: _let(_unwrapped(text), lambda t: _values(t, comma))), F.array().cast("array<string>"))
@@ -43,10 +43,12 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def _unwrapped(text: Column) -> Column:
     """struct(text without list brackets, its quote, whether its values are numbered, its pieces)."""
-    listed = text.rlike(r"(?sU)^\[\s*(?:[\"'“].*)?\]$")
+    listed = text.rlike(r"(?sU)^\[\s*(?:[\"'“].*)?\]$|^\[[^\[\]]*\]$")
     single = listed & text.rlike(r"^\[\s*'")
     inside = F.when(listed, F.regexp_replace(F.regexp_replace(text, r"^\[\s*|\s*\]$", ""), r"\\([\"'])", INNER)).otherwise(text)
-    inside = F.when(single, inside).otherwise(F.translate(inside, "“”", '""'))
+    # A JSON list with escapes is written anew with its characters; quotes within are doubled.
+    spelled = F.when(text.rlike(r'(?s)^\[\s*".*\\'), F.array_join(F.transform(F.from_json(text, "array<string>"), lambda v: F.concat(F.lit('"'), F.replace(F.coalesce(v, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))), ", "))
+    inside = F.when(single, inside).otherwise(F.translate(F.regexp_replace(F.coalesce(spelled, inside), r"”\s*“", '", "'), "“”", '""'))
     quote = F.when(single, F.lit("'")).otherwise(F.lit('"'))
     return _let(inside, lambda t: F.struct(quote.alias("quote"), t.rlike(rf"(?U)^{NUMBER}").alias("numbered"), F.split(t, quote).alias("pieces")))
 

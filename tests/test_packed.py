@@ -27,6 +27,11 @@ CASES = [
     ("  \n", True, []),
     (None, True, []),
     ("[]", True, []),
+    ("[a, b]", True, ["a", "b"]),
+    ('"a, b" "c"', True, ["a, b", "c"]),
+    ("“a”“b”", True, ["a", "b"]),
+    ('["\\u0111\\u1ed5i \\"x\\"", "c"]', True, ['đổi "x"', "c"]),
+    ('["broken \\" ]', True, ['"broken "']),
 ]
 
 
