@@ -1,6 +1,6 @@
 """Template residue and error-page text (problem 10).
 
-Lines that recur in a large share of a host's documents are its boilerplate and prove nothing. What remains of a document is searched for evidence:
+Lines that recur in a large share of a host's texts are its boilerplate and prove nothing beside other content. What remains of a document is searched for evidence:
 slots left unfilled, filler, draft notes, failure messages, and demands for scripts or a browser check. All of it stays in the JVM.
 """
 
@@ -95,16 +95,26 @@ def _any(line: Column, patterns: tuple[str, ...]) -> Column:
 def residue(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """Rows (id, line, kind): lines of documents (id, text, host) that hold evidence and are not boilerplate of the host.
 
-    A line (digits aside) is boilerplate from `share` of the host's documents, `least` at the least. Null texts have no lines, null hosts are one host,
-    repeated documents count each; empty tables give no rows.
+    A line (numbers aside, but for status codes) is boilerplate from `share` of the host's different texts, `least` at the least, and is left out only of documents
+    that hold something else too: a line that does not recur like this. What is nothing but an error page or a notice stays, however often it recurs. Null texts
+    have no lines, null hosts are one host, repeated documents count once for recurrence and each have their rows; empty tables give no rows.
     """
-    judged = F.transform(lines(F.coalesce("text", F.lit(""))), lambda line: F.struct(line.alias("line"), evidence(line).alias("kind")))
+    known = documents.select("id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    judged = F.transform(lines(F.col("text")), lambda line: F.struct(line.alias("line"), evidence(line).alias("kind")))
     # explode() would have the lines judged once more, to see that there are any.
-    proven = documents.select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode_outer(F.filter(judged, lambda x: x.kind.isNotNull())).alias("x")).select("id", "host", "x.*").filter("kind is not null")
-    proven = cut_lineage(proven)
-    # Only lines with evidence matter, so only their recurrence is counted; the hosts' sizes come from all documents.
-    sizes = documents.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("documents"))
-    shape = F.regexp_replace("line", r"\d+", "0").alias("shape")
-    recurring = proven.select("id", "host", shape).distinct().groupBy("host", "shape").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    boilerplate = recurring.join(sizes, "host").filter(F.col("n") >= share * F.col("documents")).select("host", "shape")
-    return proven.withColumn("shape", shape).join(boilerplate, ["host", "shape"], "left_anti").select("id", "line", "kind")
+    proven = known.select("id", "host", "key", F.explode_outer(F.filter(judged, lambda x: x.kind.isNotNull())).alias("x")).select("id", "host", "key", "x.*").filter("kind is not null")
+    proven = cut_lineage(proven.withColumn("shape", F.regexp_replace("line", r"\b(?![45]\d\d\b)\d+", "0")))
+    sizes = known.groupBy("host").agg(F.countDistinct("key").alias("texts"))
+
+    def recurring(held: DataFrame, line: str) -> DataFrame:
+        often = held.select("host", "key", line).distinct().groupBy("host", line).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        return often.join(sizes, "host").filter(F.col("n") >= share * F.col("texts")).select("host", line)
+
+    # Only lines with evidence matter at first; all lines are looked at only in hosts where one of those recurs.
+    boilerplate = cut_lineage(recurring(proven, "shape"))
+    if boilerplate.isEmpty():
+        return proven.select("id", "line", "kind")
+    suspect = proven.join(boilerplate, ["host", "shape"], "left_semi").select("host", "key", "shape", F.unhex(F.md5("line")).alias("mark")).distinct()
+    every = known.join(boilerplate.select("host").distinct(), "host", "left_semi").select("host", "key", F.explode(F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.unhex(F.md5(x))))).alias("mark"))
+    other = every.join(suspect, ["host", "key"], "left_semi").join(suspect, ["host", "key", "mark"], "left_anti").join(recurring(every, "mark"), ["host", "mark"], "left_anti")
+    return proven.join(suspect.join(other, ["host", "key"], "left_semi"), ["host", "key", "shape"], "left_anti").select("id", "line", "kind")

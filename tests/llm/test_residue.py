@@ -30,3 +30,14 @@ def test_boilerplate_is_subtracted(rows):
     texts = [(i, f"Bài {i} hay.\n{foot}", "a") for i in range(100)] + [(200 + i, f"Bài {i}.", "b") for i in range(100)] + [(300, f"Loading\n{foot}", "b")]
     got = [(x.id, x.kind) for x in r.residue(rows(texts, "id long, text string, host string")).collect()]
     assert got == [(300, "script")]
+
+
+def test_what_is_nothing_but_residue_stays(rows):
+    error, menu, foot = "Lỗi 404!\nTrang không tồn tại.", "Trang chủ | Giỏ hàng", "This page requires a browser with scripts enabled."
+    texts = [(i, f"{menu}\nBài {i} hay.\n{foot}", "a") for i in range(200)] + [(1000 + i, error, "a") for i in range(100)]
+    # Pages that differ, of lines that recur: none has anything else to show.
+    texts += [(2000 + i, "\n".join([menu] * (i + 1) + [foot]), "a") for i in range(60)]
+    # The codes of two messages are not one message.
+    texts += [(3000 + i, f"Bài viết {i}.\nLỗi {404 if i % 2 else 502}!", "b") for i in range(80)] + [(4000 + i, f"Tin {i}.", "b") for i in range(900)]
+    got = {x.id for x in r.residue(rows(texts, "id long, text string, host string")).collect()}
+    assert got == {*range(1000, 1100), *range(2000, 2060), *range(3000, 3080)}
