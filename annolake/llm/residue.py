@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from annolake.functions.text import fold
 from annolake.session import cut_lineage
 
-#: Share of a host's documents from which a line is boilerplate, and the least number of documents.
-SHARE, LEAST = 0.05, 50
+#: Share of a host's different texts from which a line is boilerplate.
+SHARE = 0.05
 
 NAME = r"[ ]?[a-z][\w\-. ]{0,40}"
 # Marks of template languages around a name, and bracketed calls to fill something in.
@@ -92,12 +92,13 @@ def _any(line: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(or_, (line.rlike(p) for p in patterns))
 
 
-def residue(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def residue(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """Rows (id, line, kind): lines of documents (id, text, host) that hold evidence and are not boilerplate of the host.
 
-    A line (numbers aside, but for status codes) is boilerplate from `share` of the host's different texts, `least` at the least, and is left out only of documents
-    that hold something else too: a line that does not recur like this. What is nothing but an error page or a notice stays, however often it recurs. Null texts
-    have no lines, null hosts are one host, repeated documents count once for recurrence and each have their rows; empty tables give no rows.
+    A line (numbers aside, but for status codes) is boilerplate if it stands in `share` of the host's different texts, and in two at least, as else it does not
+    recur; the size of the host has no other part in it. It is left out only of documents that hold something else too: a line that does not recur like this.
+    What is nothing but an error page or a notice stays, however often it recurs. Null texts have no lines, null hosts are one host, repeated documents count
+    once for recurrence and each have their rows; empty tables give no rows.
     """
     known = documents.select("id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     judged = F.transform(lines(F.col("text")), lambda line: F.struct(line.alias("line"), evidence(line).alias("kind")))
@@ -107,7 +108,7 @@ def residue(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> D
     sizes = known.groupBy("host").agg(F.countDistinct("key").alias("texts"))
 
     def recurring(held: DataFrame, line: str) -> DataFrame:
-        often = held.select("host", "key", line).distinct().groupBy("host", line).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        often = held.select("host", "key", line).distinct().groupBy("host", line).agg(F.count("*").alias("n")).filter("n > 1")
         return often.join(sizes, "host").filter(F.col("n") >= share * F.col("texts")).select("host", line)
 
     # Only lines with evidence matter at first; all lines are looked at only in hosts where one of those recurs.

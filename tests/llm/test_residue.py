@@ -41,3 +41,14 @@ def test_what_is_nothing_but_residue_stays(rows):
     texts += [(3000 + i, f"Bài viết {i}.\nLỗi {404 if i % 2 else 502}!", "b") for i in range(80)] + [(4000 + i, f"Tin {i}.", "b") for i in range(900)]
     got = {x.id for x in r.residue(rows(texts, "id long, text string, host string")).collect()}
     assert got == {*range(1000, 1100), *range(2000, 2060), *range(3000, 3080)}
+
+
+def test_verdicts_are_alike_at_every_size(rows):
+    foot, menu = "This page requires a browser with scripts enabled.", "Trang chủ"
+    for times in (1, 10):
+        n = 100 * times
+        texts = [(i, f"Bài {i} hay.\n{foot if i < 6 * times else menu}", "six") for i in range(n)] + [(n + i, f"Bài {i} hay.\n{foot if i < 4 * times else menu}", "four") for i in range(n)]
+        assert {x.id for x in r.residue(rows(texts, "id long, text string, host string")).collect()} == {*range(n, n + 4 * times)}
+    # What stands in one text does not recur, however few texts the host has.
+    texts = [(1, f"Bài 1.\n{foot}", "h"), (1, f"Bài 1.\n{foot}", "h"), (2, "Bài 2.", "h"), (3, f"Bài 3.\n{foot}", "g")]
+    assert sorted(x.id for x in r.residue(rows(texts, "id long, text string, host string")).collect()) == [1, 1, 3]
