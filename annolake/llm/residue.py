@@ -18,11 +18,11 @@ from annolake.session import cut_lineage
 #: Share of a host's different texts from which a line is boilerplate.
 SHARE = 0.05
 
-NAME = r"[ ]?[a-z][\w\-. ]{0,40}"
-# Marks of template languages around a name, and bracketed calls to fill something in.
+NAME = r"[ ]?[a-z](?:[\w\-. ]{0,40}|[\w\-.]{0,120})"
+# Marks of template languages around a name or, where the marks have no other use, around any short run but a key of JSON; bracketed calls to fill something in.
 SLOTS = (
-    rf"\{{\{{\{{?{NAME}\}}\}}", rf"[$#]\{{{NAME}\}}", rf"<%[=\-]?{NAME}%>", rf"\{{%{NAME}%\}}", rf"<<{NAME}>>", rf"@@{NAME}@@", rf"\[\[{NAME}\]\]",
-    r"(?<!\w)__[a-z][\w\-.]*[a-z0-9]__(?!\w)", r"(?<![{$#%\w\"'])\{[a-z][\w\-. ]*\}(?!\})", r"(?<![\w%])%[a-z][\w\-.]*\w%(?![\w%])", r"(?<![\w%])%[sd](?!\w)", r"%\(\w+\)[sd]", r"\[%?=? ?\w+ ?%\]", r"\|\w+\|(?=\s*[,.!])",
+    r"\{\{\{?(?!\s*(?:\"[^\"]*\"|'[^']*')\s*:)[^{}]{1,120}\}\}", r"\$\{(?!\\)[^{}]{1,120}\}", rf"#\{{{NAME}\}}", r"<%(?:(?!%>).){1,120}%>", r"\{%(?:(?!%\}).){1,120}%\}", rf"<<{NAME}>>", rf"@@{NAME}@@", rf"\[\[{NAME}\]\]",
+    r"(?<!\w)__[a-z][\w\-.]*[a-z0-9]__(?!\w)", r"(?<![{$#%\w\"'])\{[a-z][\w\-. ]*\}(?!\})", r"(?<![\w%])%[a-z][\w\-.]*\w%(?![\w%])", r"(?<![\w%])%[sd](?!\w)", r"(?<![\w%])%\d{1,2}\$[\d.,+\-]{0,6}[a-z@](?!\w)", r"(?<![{}$#%^\w\"'\])\\.*])\{\d{1,2}\}(?!\})", r"%\(\w+\)[sd]", r"\[%?=? ?\w+ ?%\]", r"\|\w+\|(?=\s*[,.!])",
     r"\((?:dien|nhap|chen|thay|them|bo sung|insert|fill in|your) [^()]{0,60}\)", r"<(?:chen|dien|nhap|them|insert|your|ten|mo ta)\b[^<>]{0,60}>",
     r"\[(?:chen|dien|nhap|them|insert|enter|your|fill|add|ten|dung tich|mo ta|dia chi|so dien thoai|thuong hieu|placeholder|a completer|inserer|nom|votre)\b[^\[\]]{0,60}\]",
     r"\[object object\]", r"\bundefined\b", r":\s*(?:null|nan|none|n/?a)\s*(?:₫|$|[.,;])", r"(?:chao|hello|hi|dear|bonjour) (?:null|nan|none)\b", r"\.{8,}|…{4,}|_{5,}", r"\bx{5,}\b", r"\[\[?(?:todo|tbd|tk|xxx+)\]?\]",
@@ -55,9 +55,9 @@ KINDS = {"slot": SLOTS, "filler": FILLERS, "draft": DRAFTS, "failure": FAILURES,
 
 
 def lines(text: Column) -> Column:
-    """The lines and sentences of a text, folded, with single blanks and digits as they are."""
+    """The lines and sentences of a text, folded, with single blanks and digits as they are. A choice (`a ? b : c`) in marks of a template is not cut at its question mark."""
     whole = F.regexp_replace(F.regexp_replace(text, r"(?U)[^\S\n]+", " "), r" ?\n\s*", "\n")
-    return F.filter(F.transform(F.split(fold(whole), r"\n+|(?<=[.!?]) "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(fold(whole), r"\n+|(?<=[.!]) |(?<=\?) (?![^{}<>?\n]{0,80} : [^{}<>\n]{0,80}(?:\}|%>))"), F.trim), lambda x: x != "")
 
 
 #: What a line must hold for a pattern of its kind to be tried at all; looked for as it is.

@@ -52,3 +52,14 @@ def test_verdicts_are_alike_at_every_size(rows):
     # What stands in one text does not recur, however few texts the host has.
     texts = [(1, f"Bài 1.\n{foot}", "h"), (1, f"Bài 1.\n{foot}", "h"), (2, "Bài 2.", "h"), (3, f"Bài 3.\n{foot}", "g")]
     assert sorted(x.id for x in r.residue(rows(texts, "id long, text string, host string")).collect()) == [1, 1, 3]
+
+
+WIDE = ["Chào {{ name | upper }},", "Mua {{ items[0].name }} nhé.", "Xem {{{ 'title' | t }}} ở đây.", "Mã {{1}} của bạn.", "{% if user == 1 %}Chào bạn", "{%- for x in items[:3] -%}", "Dear <%= user['name'] %>, hello.", "Giá ${price * 2} thôi.", "Chào ${user ? 'anh' : 'chị'} nhé.", "Gửi {0}, đơn {1} đã đi.",
+        "Đơn %1$s của %2$d món.", "Chào {{ " + "x" * 60 + " }}", "Chào @@ten_" + "y" * 60 + "@@"]
+NARROW = ['Nhãn {"a": {"b": 1}} và {{"c": 2}} trong sổ.', "Nhãn {{'d': 0.5}} trong sổ.", "Công thức x^{2} + a_{0} = \\frac{1}{2}.", "Mẫu \\d{2} hay [a-z]{3} và (ab){2}.", "Tập {{1, 2}, {3}} có hai phần.", "Giảm 50%, tăng 10% và 20$.", "Trên 5% < 10%, bạn hỏi ai? Mình : bạn."]
+
+
+@pytest.mark.parametrize("triggered", [True, False])
+def test_slots_with_more_than_a_name(rows, triggered):
+    table = rows(list(enumerate(WIDE + NARROW)), "i int, t string").select("i", F.transform(r.lines(F.col("t")), lambda x: r.evidence(x, triggered)).alias("k"))
+    assert {x.i for x in table.collect() if "slot" in x.k} == set(range(len(WIDE)))
