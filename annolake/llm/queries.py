@@ -145,7 +145,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_report(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and lines per kind of evidence."""
+    """Documents and lines per kind of evidence; a line counts under each kind that it holds."""
     return _residue(spark, d).groupBy("kind").agg(F.countDistinct("id").alias("documents"), F.count("*").alias("lines"))
 
 

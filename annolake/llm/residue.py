@@ -72,19 +72,28 @@ TRIGGERS = {
 REPEATED = FILLERS[1:4]
 
 
-def evidence(line: Column, triggered: bool = True) -> Column:
-    """The kind of evidence that a folded line holds, or null. What is told about messages, scripts and filler is none."""
-    told = line.rlike(TOLD)
-    found = F.lit(None).cast("string")
-    for kind in reversed(KINDS):
+def _hits(line: Column, triggered: bool = True) -> dict[str, Column]:
+    """Whether a folded line holds evidence, by kind. What is told about messages, scripts and filler is none."""
+    told, hits = line.rlike(TOLD), {}
+    for kind in KINDS:
         said = line if kind in ("slot", "draft") else F.regexp_replace(line, QUOTED, '""')
         hit = _any(said, KINDS[kind]) if kind == "filler" else said.rlike("|".join(f"(?:{p})" for p in KINDS[kind]))
         if triggered:
             hit = reduce(or_, (F.contains(line, F.lit(t)) for t in TRIGGERS[kind])) & hit
             if kind == "filler":
                 hit = hit | _any(line, REPEATED)
-        found = F.when(hit if kind in ("slot", "draft") else hit & ~told, kind).otherwise(found)
-    return found
+        hits[kind] = hit if kind in ("slot", "draft") else hit & ~told
+    return hits
+
+
+def evidence(line: Column, triggered: bool = True) -> Column:
+    """The first kind of evidence that a folded line holds, or null."""
+    return F.coalesce(*(F.when(hit, kind) for kind, hit in _hits(line, triggered).items()))
+
+
+def kinds(line: Column) -> Column:
+    """All kinds of evidence that a folded line holds."""
+    return F.array_compact(F.array(*(F.when(hit, kind) for kind, hit in _hits(line).items())))
 
 
 def _any(line: Column, patterns: tuple[str, ...]) -> Column:
@@ -93,7 +102,7 @@ def _any(line: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def residue(documents: DataFrame, share: float = SHARE) -> DataFrame:
-    """Rows (id, line, kind): lines of documents (id, text, host) that hold evidence and are not boilerplate of the host.
+    """Rows (id, line, kind): lines of documents (id, text, host) that hold evidence and are not boilerplate of the host, once for each kind that they hold.
 
     A line (numbers aside, but for status codes) is boilerplate if it stands in `share` of the host's different texts, and in two at least, as else it does not
     recur; the size of the host has no other part in it. It is left out only of documents that hold something else too: a line that does not recur like this.
@@ -114,8 +123,8 @@ def residue(documents: DataFrame, share: float = SHARE) -> DataFrame:
     # Only lines with evidence matter at first; all lines are looked at only in hosts where one of those recurs.
     boilerplate = cut_lineage(recurring(proven, "shape"))
     if boilerplate.isEmpty():
-        return proven.select("id", "line", "kind")
+        return proven.select("id", "line", F.explode(kinds(F.col("line"))).alias("kind"))
     suspect = proven.join(boilerplate, ["host", "shape"], "left_semi").select("host", "key", "shape", F.unhex(F.md5("line")).alias("mark")).distinct()
     every = known.join(boilerplate.select("host").distinct(), "host", "left_semi").select("host", "key", F.explode(F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.unhex(F.md5(x))))).alias("mark"))
     other = every.join(suspect, ["host", "key"], "left_semi").join(suspect, ["host", "key", "mark"], "left_anti").join(recurring(every, "mark"), ["host", "mark"], "left_anti")
-    return proven.join(suspect.join(other, ["host", "key"], "left_semi"), ["host", "key", "shape"], "left_anti").select("id", "line", "kind")
+    return proven.join(suspect.join(other, ["host", "key"], "left_semi"), ["host", "key", "shape"], "left_anti").select("id", "line", F.explode(kinds(F.col("line"))).alias("kind"))

@@ -63,3 +63,9 @@ NARROW = ['Nhãn {"a": {"b": 1}} và {{"c": 2}} trong sổ.', "Nhãn {{'d': 0.5}
 def test_slots_with_more_than_a_name(rows, triggered):
     table = rows(list(enumerate(WIDE + NARROW)), "i int, t string").select("i", F.transform(r.lines(F.col("t")), lambda x: r.evidence(x, triggered)).alias("k"))
     assert {x.i for x in table.collect() if "slot" in x.k} == set(range(len(WIDE)))
+
+
+def test_a_line_counts_under_each_of_its_kinds(rows):
+    texts = [(1, "Chào {{ ten_khach }}, vui lòng bật JavaScript.\nBài hay.", "h"), (2, "Lỗi 404: {{ page }}", "h"), (3, "Access denied.", "h")]
+    got = sorted((x.id, x.kind) for x in r.residue(rows(texts, "id long, text string, host string")).collect())
+    assert got == [(1, "script"), (1, "slot"), (2, "failure"), (2, "slot"), (3, "failure")]
