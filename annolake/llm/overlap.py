@@ -3,7 +3,8 @@
 Two texts are the same if they differ in at most `most` words added, dropped, altered or moved; case, accents, marks and blanks do not matter.
 Shingles are of one word here, as an edit then changes one shingle of a text and a move none: two such texts share all but `most` of the
 shingles of either, so that of the rarest most + SHARED shingles of both they share SHARED. The evaluation side's rarest shingles are the index;
-training texts are streamed past it, probe it with theirs, and are filtered by length and by what the places of the shared shingles still allow. What remains
+training texts are streamed past it, probe it with theirs, and are filtered by length and by the number of rare shingles shared. That count stands in for a
+filter by places: a moved word changes its place but is one edit, so places are not kept, and the count bound loses no pair. What remains
 is verified by the longest common subsequence. The index is sent to the executors in blocks of a fixed size, so that neither side is shuffled.
 """
 
