@@ -10,9 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that one bucket holds on the average.
-BUCKET_KEYS = 20_000
-
 
 def latest(df: DataFrame, key: Column, fields: dict[str, Column], newest: Sequence[str]) -> DataFrame:
     """One row per key: the fields of the row with the greatest values of the columns `newest`, null below all.

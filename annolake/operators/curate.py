@@ -45,6 +45,7 @@ def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     return joined.withColumn(name, F.col("_before") + F.col("_own")).select(*df.columns, name)
 
 
-def batches(df: DataFrame, order: str, workers: int, name: str, total: int) -> DataFrame:
-    """df with a batch number: as many consecutive rows (order counts them from 0) as total div workers + 1."""
-    return df.withColumn(name, F.floor(F.col(order) / (total // workers + 1)))
+def batches(df: DataFrame, order: str, workers: int, name: str) -> DataFrame:
+    """df with a batch number: as many consecutive rows (order counts them from 0) as there are rows, div workers, + 1."""
+    size = F.floor(df.agg(F.count("*").alias("n")).scalar() / workers) + 1
+    return df.withColumn(name, F.floor(F.col(order) / size))

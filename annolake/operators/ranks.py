@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 #: Bits of the order that ranks go by.
 BITS = 60
+#: Buckets of a group for each shuffle partition.
+BUCKETS = 4
 
 
-def group_rank(df: DataFrame, group: str, order: Column, ties: list[str], name: str, buckets: int) -> DataFrame:
+def group_rank(df: DataFrame, group: str, order: Column, ties: list[str], name: str) -> DataFrame:
     """df with column `name`: the rank from 1 of each row in its group by `order`, a hash of BITS bits that isn't negative, and then by the columns `ties`.
 
-    The hash's range is cut into buckets, which are ranked on their own; the prefix sums of the buckets' counts (one row per group and
+    The hash's range is cut into as many buckets as BUCKETS for each shuffle partition of the session, which are ranked on their own; the prefix sums of the buckets' counts (one row per group and
     bucket) make ranks of the whole group. A group of any size is spread over its buckets.
     """
+    buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shift = BITS - max(0, buckets - 1).bit_length()
     held = df.withColumn("_order", order).withColumn("_bucket", F.shiftright("_order", shift))
     counts = held.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot from this share of all rows, so that there are no more hot keys than its inverse; their list is broadcast.
@@ -10,26 +10,33 @@ HOT_SHARE, HOT_LEAST = 1 / 1000, 10_000
 SLICES = 64
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int, spread: str) -> DataFrame:
-    """rows inner-joined to groups, which has one row per key and in column n how many rows the key has.
+def _hot(groups: DataFrame, n: str) -> Column:
+    """Whether a group of n rows is hot among all groups; their sum is a subquery of the plan."""
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).scalar()
+    return F.col(n) > F.greatest(F.lit(float(HOT_LEAST)), total * HOT_SHARE)
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to groups, which has one row per key and in column n how many rows the key has.
 
     Rows of hot keys are spread over SLICES by a hash of their column `spread`, and their group is repeated for each slice; the keys of hot groups
-    are the only thing that is broadcast. total: the sum of n, or more.
+    are the only thing that is broadcast.
     """
-    hot = F.col(n) > max(HOT_LEAST, total * HOT_SHARE)
-    flags = groups.filter(hot).select(*on, F.lit(True).alias("_hot"))
+    marked = groups.withColumn("_hot", _hot(groups, n))
+    flags = marked.filter("_hot").select(*on, "_hot")
     left = rows.join(F.broadcast(flags), on, "left").withColumn("_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).otherwise(0)).drop("_hot")
-    right = groups.withColumn("_slice", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*on, "_slice"]).drop("_slice")
+    right = marked.withColumn("_slice", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [*on, "_slice"], how).drop("_slice")
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], total: int, spread: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
     """left inner-joined to right, where right may have many rows per key.
 
-    Keys that hold more than HOT_SHARE of total (the rows of right, or more) are counted first; their rows of right are spread over SLICES by a
+    Keys that hold more than HOT_SHARE of right's rows are counted first; their rows of right are spread over SLICES by a
     hash of the column `spread`, and their rows of left are repeated for each slice.
     """
-    hot = right.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(HOT_LEAST, total * HOT_SHARE)).select(*on, F.lit(True).alias("_hot"))
+    counts = right.groupBy(*on).agg(F.count("*").alias("_n"))
+    hot = counts.filter(_hot(counts, "_n")).select(*on, F.lit(True).alias("_hot"))
     flagged = lambda df: df.join(F.broadcast(hot), on, "left")
     each = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0))))
     one = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).otherwise(0)

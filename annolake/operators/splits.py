@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from annolake.operators.ranks import group_rank
 
-BUCKET_ROWS = 50_000
-
 
 def order_hash(seed: int, key: str) -> Column:
     """60 bits of the MD5 of 'seed|key'."""
@@ -35,11 +33,11 @@ def split_sizes(counts: DataFrame, train: float, val: float) -> DataFrame:
     return counts.withColumn("n_train", F.when(n <= 2, F.lit(1)).otherwise(a).cast("bigint")).withColumn("n_val", F.when(n <= 2, F.lit(0)).otherwise(b).cast("bigint")).withColumn("n_test", n - F.col("n_train") - F.col("n_val"))
 
 
-def split(df: DataFrame, key: str, train: float, val: float, least: int, seed: int, total: int) -> DataFrame:
+def split(df: DataFrame, key: str, train: float, val: float, least: int, seed: int) -> DataFrame:
     """df (l1, l2, l3, key) with stratum and split. Every row is in exactly one split; strata of any size are ranked in parallel."""
     strata = with_stratum(df, least)
     sizes = split_sizes(strata.groupBy("stratum").agg(F.count("*").alias("n")), train, val)
-    ranked = group_rank(strata, "stratum", order_hash(seed, key), [key], "_rank", total // BUCKET_ROWS + 1)
+    ranked = group_rank(strata, "stratum", order_hash(seed, key), [key], "_rank")
     name = F.when(F.col("_rank") <= F.col("_a"), "train").when(F.col("_rank") <= F.col("_a") + F.col("_b"), "val").otherwise("test")
     sizes = sizes.select("stratum", F.col("n_train").alias("_a"), F.col("n_val").alias("_b"))
     return ranked.join(sizes, "stratum").withColumn("split", name).drop("_rank", "_a", "_b")

@@ -120,7 +120,7 @@ def prelabel_join(spark, d):
 
 def batch_numbers(spark, d):
     rows = table(spark, d, "unified_intents")
-    return curate.batches(rows.select((F.col("row_id") - 1).alias("ord")), "ord", 4, "batch", rows.count()).groupBy("batch").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+    return curate.batches(rows.select((F.col("row_id") - 1).alias("ord")), "ord", 4, "batch").groupBy("batch").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
 
 
 def _approved(df: DataFrame) -> DataFrame:
@@ -171,19 +171,16 @@ def bulk_update_dry(spark, d):
     return rows.join(known, "key").filter("l1 <> new").groupBy("new").agg(F.count("*").alias("matched"), F.countDistinct("l1").alias("spellings"))
 
 
-def _strata(spark, d) -> tuple[DataFrame, int]:
-    rows = _labelled(spark, d).select("row_id", "l1", "l2", "l3", "qa_status").filter("qa_status = 'approved'")
-    return rows, rows.count()
+def _strata(spark, d) -> DataFrame:
+    return _labelled(spark, d).select("row_id", "l1", "l2", "l3", "qa_status").filter("qa_status = 'approved'")
 
 
 def split_assign(spark, d):
-    rows, n = _strata(spark, d)
-    return splits.split(rows, "row_id", 0.7, 0.15, 3, SEED, n).select("row_id", "stratum", "split")
+    return splits.split(_strata(spark, d), "row_id", 0.7, 0.15, 3, SEED).select("row_id", "stratum", "split")
 
 
 def split_sizes(spark, d):
-    rows, _ = _strata(spark, d)
-    return splits.split_sizes(splits.with_stratum(rows, 3).groupBy("stratum").agg(F.count("*").alias("n")), 0.7, 0.15)
+    return splits.split_sizes(splits.with_stratum(_strata(spark, d), 3).groupBy("stratum").agg(F.count("*").alias("n")), 0.7, 0.15)
 
 
 def gold_sample(spark, d):
