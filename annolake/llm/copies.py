@@ -141,20 +141,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("src", "id", "h1", "h2", "first_id")), pa.array(other, pa.string())], ["src", "id", "h1", "h2", "first_id", "other"])
 
 
-def copies(rows: DataFrame, total: int) -> DataFrame:
+def copies(rows: DataFrame) -> DataFrame:
     """Rows (src, first_id, copy_id): one for each row of rows (src string, id bigint, fields array<string>) that has an earlier copy.
 
     first_id is the smallest id of the group, which is of one src. Null fields equal empty ones; records without any letter or digit are copies
-    of each other; ids that occur twice are told apart only if they differ. Empty tables give no rows. total: how many rows there are, about.
+    of each other; ids that occur twice are told apart only if they differ. Empty tables give no rows.
     Hashes are counted before the shuffle, and rows of hot groups are spread.
     """
     hashed = rows.mapInArrow(_hashes, "src string, id bigint, h1 bigint, h2 bigint, fields array<string>")
     key = ["src", "h1", "h2"]
     groups = hashed.groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
     groups = cut_lineage(groups)
-    members = cut_lineage(hot_join(hashed, groups, key, "n", total, "id"))
+    members = cut_lineage(hot_join(hashed, groups, key, "n", "id"))
     firsts = members.filter("id = first_id").select(*key, "first_id", "n", F.col("fields").alias("first_fields"))
-    pairs = hot_join(members.filter("id > first_id").drop("n"), firsts, [*key, "first_id"], "n", total, "id")
+    pairs = hot_join(members.filter("id > first_id").drop("n"), firsts, [*key, "first_id"], "n", "id")
     checked = cut_lineage(pairs.mapInArrow(_verified, "src string, id bigint, h1 bigint, h2 bigint, first_id bigint, other string"))
     chance = checked.filter("other <> ''")
     regrouped = chance.join(chance.groupBy(*key, "other").agg(F.min("id").alias("first")), [*key, "other"]).filter("id > first").select("src", F.col("first").alias("first_id"), "id")

@@ -1,32 +1,30 @@
 """Same or near-same records across splits (problem 2): an exact prefix-filter join of two sides on rare shingles.
 
-Two texts are the same if they differ in at most `most` words added, dropped, altered or moved; case, accents, marks and blanks do not matter.
-Shingles are of one word here, as an edit then changes one shingle of a text and a move none: two such texts share all but `most` of the
-shingles of either, so that of the rarest most + SHARED shingles of both they share SHARED. The evaluation side's rarest shingles are the index;
-training texts are streamed past it, probe it with theirs, and are filtered by length and by the number of rare shingles shared. That count stands in for a
-filter by places: a moved word changes its place but is one edit, so places are not kept, and the count bound loses no pair. What remains
-is verified by the longest common subsequence. The index is sent to the executors in blocks of a fixed size, so that neither side is shuffled.
+Two texts are the same if at most `most` words of the longer are added, dropped, altered or moved; case, accents, marks and blanks do not matter.
+Shingles are of one word here, as an edit then changes one shingle of a text and a move none. Ordered by rarity, each of two such texts has at most `most` words that
+the other lacks before the first word that they share, and before the second one. So the evaluation side's most + 2 rarest words are the index, and training texts
+probe it with theirs: with single words where they are rare, and with pairs of them where they are not, which keeps lists short. Both sides are joined on these keys,
+keys that hold a large share of the training side in slices. Candidates are ruled out within the join by length, by the places of what they share in the order of
+rarity, and by a signature of their words; the longest common subsequence verifies the others.
+
+Texts that occur more than once are one class on either side: pairs are found between classes.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.text import words
-from annolake.operators.skew import spread_join
+from annolake.operators.rarity import by_rarity, shares
+from annolake.operators.skew import hot_join, spread_join
+from annolake.session import cut_lineage
 
-#: Rare shingles that two texts must share. More make candidates fewer and the index longer.
-SHARED = 6
-#: Evaluation texts that are sent at once.
-BLOCK = 40_000
+#: A word that stands in a greater share of the texts is a key in pairs only.
+RARE = 0.01
 
 
 def common(a: list[str], b: list[str]) -> int:
@@ -41,99 +39,102 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - left.bit_count()
 
 
-def allowed(longer: int, most: int) -> int:
-    """Words by which two texts may differ, of which the longer has so many: at most `most`, and less than half."""
-    return min(most, max(longer - 1, 0) // 2)
+def allowed(longer: int, most: int, share: float) -> int:
+    """Words by which two texts may differ, of which the longer has so many: at most `most`, and more than `share` of the longer stays."""
+    return min(most, -int(-longer * (1 - share) // 1) - 1)
 
 
-def same(a: list[str], b: list[str], most: int) -> bool:
+def same(a: list[str], b: list[str], most: int, share: float = 0.0) -> bool:
     """Whether two texts with words are the same but for the words allowed."""
     longer = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= allowed(longer, most) and longer - common(a, b) <= allowed(longer, most)
-
-
-def shingles(text: list[str]) -> list[tuple[str, int]]:
-    """The words, each with how often it came before, so that a repeated word counts as often as it stands there."""
-    seen: Counter = Counter()
-    out = []
-    for w in text:
-        out.append((w, seen[w]))
-        seen[w] += 1
-    return out
-
-
-class Index:
-    """The rarest shingles of the evaluation texts of a block."""
-
-    def __init__(self, block: list[tuple[str, str]], most: int) -> None:
-        """block: the key of a text, and its words with blanks between."""
-        self.most, self.keys, self.texts = most, [key for key, _ in block], [text for _, text in block]
-        held = [shingles(t.split(" ")) for t in self.texts]
-        self.rarity = Counter(s for own in held for s in own)
-        self.sizes = np.array([t.count(" ") + 1 for t in self.texts], np.int64)
-        postings: dict[tuple[str, int], list[int]] = {}
-        for at, own in enumerate(held):
-            for s in self.prefix(own):
-                postings.setdefault(s, []).append(at)
-        self.postings = {s: np.array(own, np.int32) for s, own in postings.items()}
-
-    def prefix(self, own: list[tuple[str, int]]) -> list[tuple[str, int]]:
-        """The rarest shingles by their number in the index; those that it lacks are the rarest."""
-        return sorted(own, key=lambda s: (self.rarity[s] if s in self.rarity else 0, s))[: self.most + SHARED]
-
-    def matches(self, text: list[str]) -> list[int]:
-        """Numbers of the index's texts that are the same as this one."""
-        met = [self.postings[s] for s in self.prefix(shingles(text)) if s in self.postings]
-        if not met:
-            return []
-        count = np.bincount(np.concatenate(met))
-        # What two such texts share at least grows with the longer of them, so this text's own length rules out most of the index.
-        n = len(text)
-        some = np.flatnonzero(count >= min(SHARED, n - allowed(n, self.most)))
-        longer = np.maximum(self.sizes[some], n)
-        may = np.minimum(self.most, (longer - 1) // 2)
-        close = some[(count[some] >= np.minimum(SHARED, longer - may)) & (np.abs(self.sizes[some] - n) <= may)]
-        return [int(k) for k in close if same(self.texts[k].split(" "), text, self.most)]
-
-
-def _probe(index: Index):
+    may = allowed(longer, most, share)
+    return abs(len(a) - len(b)) <= may and longer - common(a, b) <= may
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Rows (id, key, text) of rows (id, text): the text's words, and their MD5 as the key of its class. Rows without an id, and texts without a word, are left out."""
+    held = df.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))  # has a word; told from the raw text, which is cheap
+    held = held.select(F.col("id").cast("bigint").alias("id"), F.array_join(words(F.col("text")), " ").alias("text"))
+    return held.select("id", F.unhex(F.md5("text")).alias("key"), "text")
+
+
+def classes(df: DataFrame) -> DataFrame:
+    """Classes (key, text, class, n) of rows (id, text): the n rows whose texts have the same words; class is their least id. Written once, as it is read for each step."""
+    each = keyed(df).groupBy("text").agg(F.min("id").alias("class"), F.count("*").alias("n"))
+    return cut_lineage(each.select(F.unhex(F.md5("text")).alias("key"), "text", "class", "n"))
+
+
+def members(df: DataFrame, each: DataFrame) -> DataFrame:
+    """Rows (id, class) of rows (id, text) and their classes; large classes are spread."""
+    return hot_join(keyed(df).select("id", "key"), each.select("key", "class", "n"), ["key"], "n", "id").select("id", "class")
+
+
+def _sets(each: DataFrame) -> DataFrame:
+    """The texts as sets of hashes of words, with their number of words and a signature of 128 bits."""
+    split = F.split("text", " ")
+    held = each.select("class", F.size(split).alias("size"), F.array_distinct(F.transform(split, lambda w: F.xxhash64(w))).alias("tokens"))
+    half = "aggregate(tokens, 0L, (a, t) -> a | if({} (t & 4194304) = 0, shiftleft(1L, int(shiftright(t, 16) & 63)), 0L))"
+    return held.withColumns({"low": F.expr(half.format("")), "high": F.expr(half.format("not"))})
+
+
+def _postings(sets: DataFrame, table: Column, most: int, index: bool) -> DataFrame:
+    """A row per key of the rarest words: what the filters need to know of the text, and the key's places in the order of rarity.
+
+    No key stands in a greater share of the texts than its rarest word, which both sides know. It is cut into slices of RARE; the index has a row in each.
+    """
+    ordered = by_rarity(sets, table).select("class", "size", "low", "high", F.size("tokens").alias("different"), F.slice("ordered", 1, most + 2).alias("p"))
+    few = F.col("different") - most < 2  # may share one word only
+
+    def keys(x: Column, i: Column) -> Column:
+        slices = F.greatest(F.ceil(x.share / RARE), F.lit(1)).cast("int").alias("slices")
+        single = F.when((i <= most) & ((x.share <= RARE) | few), F.array(F.struct(x.token.alias("key"), i.alias("i"), i.alias("j"), slices)))
+        pairs = F.when((i <= most) & (x.share > RARE), F.transform(F.slice("p", i + 2, most + 2), lambda y, j: F.struct(F.xxhash64(x.token, y.token).alias("key"), i.alias("i"), (i + 1 + j).alias("j"), slices)))
+        none = F.array().cast("array<struct<key: bigint, i: int, j: int, slices: int>>")
+        return F.concat(F.coalesce(single, none), F.coalesce(pairs, none))
+
+    rows = ordered.select("class", "size", "low", "high", "different", F.explode_outer(F.flatten(F.transform("p", keys))).alias("k")).select("class", "size", "low", "high", "different", "k.*")
+    place = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)) if index else F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")
+    return rows.withColumn("slice", place).drop("slices")
+
+
+def _verified(most: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
         for b in batches:
-            left: list[str] = []
-            right: list[int] = []
-            for other, text in zip(b.column("other_id").to_pylist(), b.column("text").to_pylist()):
-                if text not in known:
-                    if len(known) > 1 << 14:
-                        known.clear()
-                    known[text] = index.matches(text.split(" "))
-                left += [index.keys[k] for k in known[text]]
-                right += [other] * len(known[text])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.int64())], ["key", "other_id"])
+            good = [same(x.split(" "), y.split(" "), most, share) for x, y in zip(b.column("text").to_pylist(), b.column("other_text").to_pylist())]
+            yield b.select(["class", "other"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def near_same(evaluation: DataFrame, training: DataFrame, most: int, rows: int) -> DataFrame:
-    """Pairs (id, other_id) of rows (id, text) of both sides whose texts are the same but for `most` words, and less than half of their words.
+def same_classes(left: DataFrame, right: DataFrame, most: int, share: float = 0.0) -> DataFrame:
+    """Pairs (class, other) of classes (class, text) of both sides whose texts are the same but for `most` words of the longer, of which more than `share` must stay.
 
-    Texts without a word, null texts and null ids have no partner. Repeated rows give repeated pairs; a text that recurs is compared once for a task, and
-    the rows of the evaluation side that share a text are put back at the end. Empty tables give no pairs. rows: how many rows evaluation has, about.
+    With share 0, two texts of `most` words or fewer need have one word in common. Empty tables give no pairs.
+    """
+    sets = [_sets(left), _sets(right)]
+    table = shares(sets)
+    on = ["key", "slice"]
+    a, b = (_postings(s, table, most, index) for s, index in zip(sets, (True, False)))
+    joined = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c not in on}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c not in on}), on)
+    longer = F.greatest("a_size", "b_size")
+    may = F.least(F.lit(most), F.ceil(longer * F.lit(1 - share)).cast("int") - 1)
+    # What one text has and the other lacks: before the first place, between the places, behind the second.
+    spans = [(F.col(f"{s}_i"), F.greatest(F.col(f"{s}_j") - F.col(f"{s}_i") - 1, F.lit(0)), F.col(f"{s}_different") - F.col(f"{s}_j")) for s in "ab"]
+    lacks = lambda x, y: sum((F.greatest(p - q, F.lit(0)) for p, q in zip(x, y)), F.lit(0))
+    marks = lambda x, y: F.bit_count(F.col(f"{x}_low").bitwiseAND(F.bitwise_not(f"{y}_low"))) + F.bit_count(F.col(f"{x}_high").bitwiseAND(F.bitwise_not(f"{y}_high")))
+    close = joined.filter((F.abs(F.col("a_size") - F.col("b_size")) <= may) & (marks("a", "b") <= may) & (marks("b", "a") <= may) & (lacks(*spans) <= may) & (lacks(*spans[::-1]) <= may))
+    pairs = close.select(F.col("a_class").alias("class"), F.col("b_class").alias("other")).distinct()
+    texts = pairs.join(left.select("class", "text"), "class").join(right.select(F.col("class").alias("other"), F.col("text").alias("other_text")), "other")
+    return texts.select("class", "other", "text", "other_text").mapInArrow(_verified(most, share), "class bigint, other bigint")
+
+
+def near_same(evaluation: DataFrame, training: DataFrame, most: int, share: float = 0.0) -> DataFrame:
+    """Pairs (id, other_id) of rows (id, text) of both sides whose texts are the same but for `most` words, as same_classes() tells.
+
+    Texts without a word, null texts and null ids have no partner. Repeated rows give repeated pairs; rows of one text are one class until the end, and rows of
+    large classes are spread. Empty tables give no pairs.
     """
-    def plain(df: DataFrame, name: str) -> DataFrame:
-        held = df.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))  # has a word; told from the raw text, which is cheap
-        return held.select(F.col("id").cast("bigint").alias(name), F.array_join(words(F.col("text")), " ").alias("text"))
-
-    known, probe, found, block = plain(evaluation, "id"), plain(training, "other_id"), [], []
-
-    def search() -> None:
-        found.append(probe.mapInArrow(_probe(Index(block, most)), "key string, other_id bigint"))
-
-    for r in known.select("text").distinct().toLocalIterator():
-        block.append((hashlib.md5(r.text.encode()).hexdigest(), r.text))
-        if len(block) == BLOCK:
-            search()
-            block = []
-    search()
-    hits = reduce(DataFrame.unionByName, found)
-    return spread_join(hits, known.select("id", F.md5("text").alias("key")), ["key"], rows, "id").select("id", "other_id")
+    left, right = classes(evaluation), classes(training)
+    pairs = same_classes(left, right, most, share)
+    half = spread_join(pairs, members(evaluation, left), ["class"], "id").select("id", F.col("other").alias("class"))
+    return spread_join(half, members(training, right).withColumnRenamed("id", "other_id"), ["class"], "other_id").select("id", "other_id")

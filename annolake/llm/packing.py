@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from annolake.operators.ranks import group_rank
 from annolake.session import cut_lineage
 
-#: Items that one bucket of ranks holds on the average.
-BUCKET_ITEMS = 50_000
-
 
 @cache
 def tokenizer(path: str, pattern: str):
@@ -126,12 +123,12 @@ def _placed(plans: dict[int, Plan]):
     return run
 
 
-def pack(sizes: DataFrame, capacities: list[int], total: int, largest: int = 1 << 20) -> DataFrame:
+def pack(sizes: DataFrame, capacities: list[int], largest: int = 1 << 20) -> DataFrame:
     """Rows (capacity, id, piece, start, tokens, container): each item of sizes (id, tokens) in containers of each capacity.
 
     An item larger than a container is cut into pieces of the capacity and one of the rest; no other is cut. start is the place of the piece's first token. Items without a
     token, or of unknown size, have one piece of 0 tokens in container 0. Containers are numbered from 1, for each capacity; repeated ids are items of their own.
-    Empty tables give no rows. total: how many items there are, about. largest: capacities beyond it are refused, as the table of lengths is held by the driver.
+    Empty tables give no rows. largest: capacities beyond it are refused, as the table of lengths is held by the driver.
     """
     if bad := [c for c in capacities if not 0 < c <= largest]:
         raise ValueError(f"capacities must be from 1 to {largest}: {bad}")
@@ -147,7 +144,7 @@ def pack(sizes: DataFrame, capacities: list[int], total: int, largest: int = 1 <
         histograms[r.capacity][r.tokens] = r.n
     plans = spark.sparkContext.broadcast({c: Plan(h, c) for c, h in histograms.items()})
     lengths = cut.filter("tokens > 0").withColumn("kind", F.col("capacity") * F.lit(largest * 2) + F.col("tokens"))
-    ranked = group_rank(lengths, "kind", F.shiftrightunsigned(F.xxhash64("id", "piece"), 4), ["id", "piece"], "rank", max(1, min(1 << 16, total // BUCKET_ITEMS + 1)))
+    ranked = group_rank(lengths, "kind", F.shiftrightunsigned(F.xxhash64("id", "piece"), 4), ["id", "piece"], "rank")
     shape = "capacity bigint, id bigint, piece bigint, start bigint, tokens bigint, container bigint"
     placed = ranked.select("capacity", "id", "piece", "start", "tokens", "rank").mapInArrow(lambda batches: _placed(plans.value)(batches), shape)
     empty = cut.filter("tokens = 0").select("capacity", "id", "piece", "start", "tokens", F.lit(0).cast("bigint").alias("container"))

@@ -12,7 +12,7 @@ from annolake.functions.text import blank, strip
 from annolake.llm.copies import copies
 from annolake.llm.leaks import leaks
 from annolake.llm.mapping import map_values, parts, stands_in
-from annolake.llm.overlap import near_same
+from annolake.llm.overlap import classes, members, near_same, same_classes
 from annolake.llm.packing import counter, pack
 from annolake.llm.residue import residue
 from annolake.llm.sampling import proportional_sample
@@ -20,30 +20,57 @@ from annolake.operators.skew import spread_join
 from annolake.sources.tables import spread, table
 
 
-#: Words by which two sentences may differ and still be the same.
-MOST_WORDS = 6
+#: Words by which two sentences may differ and still be the same; and the share of a sentence that must stay, as pairs that share a clause only are no cases.
+MOST_WORDS, STAYS = 6, 0.5
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    gold, train = table(spark, d, "d3_human_gold"), table(spark, d, "d1_annotator_train")
-    n = train.count()
-    key = F.regexp_replace(F.lower(strip(F.col("sample_id"))), r"_q0+(?=\d)", "_q")
-    named = [df.select(F.col(i).alias(i), key.alias("key")).filter("key <> ''") for df, i in ((gold, "gold_id"), (train, "train_id"))]
-    by_id = spread_join(*named, ["key"], n, "train_id").select("gold_id", "train_id", F.lit("sample_id").alias("by"))
-    texts = [spread(df.select(F.col(i).alias("id"), F.col("sentence").alias("text"))) for df, i in ((gold, "gold_id"), (train, "train_id"))]
-    by_text = near_same(*texts, MOST_WORDS, gold.count()).select(F.col("id").alias("gold_id"), F.col("other_id").alias("train_id"), F.lit("sentence").alias("by"))
-    return by_id.unionByName(by_text).groupBy("gold_id", "train_id").agg(F.array_sort(F.collect_set("by")).alias("by"))
+def _rows(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The rows (id, text, key, part) of both sides: key is the sample id for comparisons, part the split or source."""
+    key = F.nullif(F.regexp_replace(F.lower(strip(F.col("sample_id"))), r"_q0+(?=\d)", "_q"), F.lit(""))
+    sides = (("d3_human_gold", "gold_id", "split"), ("d1_annotator_train", "train_id", "label_source"))
+    return [spread(table(spark, d, t).select(F.col(i).alias("id"), F.col("sentence").alias("text"), key.alias("key"), F.col(part).alias("part"))) for t, i, part in sides]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select("gold_id", "train_id")
+    gold, train = _rows(spark, d)
+    named = [df.select("key", F.col("id").alias(i)).filter("key is not null") for df, i in ((gold, "gold_id"), (train, "train_id"))]
+    by_id = spread_join(*named, ["key"], "train_id").select("gold_id", "train_id")
+    by_text = near_same(gold.select("id", "text"), train.select("id", "text"), MOST_WORDS, STAYS).select(F.col("id").alias("gold_id"), F.col("other_id").alias("train_id"))
+    return by_id.unionByName(by_text).distinct()
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps by sentence between classes of rows with one wording: the classes' least ids, their rows, and the links of the gold class."""
+    gold, train = (classes(df.select("id", "text")) for df in _rows(spark, d))
+    pairs = same_classes(gold, train, MOST_WORDS, STAYS)
+    sized = pairs.join(gold.select("class", F.col("n").alias("gold_rows")), "class").join(train.select(F.col("class").alias("other"), F.col("n").alias("train_rows")), "other")
+    links = pairs.groupBy("class").agg(F.count("*").alias("links"))
+    return sized.join(links, "class").select(F.col("class").alias("gold_class"), F.col("other").alias("train_class"), "gold_rows", "train_rows", "links")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps and overlapping rows per split of the gold rows and source of the training rows."""
-    pairs = _overlaps(spark, d)
-    named = pairs.join(table(spark, d, "d3_human_gold").select("gold_id", "split"), "gold_id").join(table(spark, d, "d1_annotator_train").select("train_id", "label_source"), "train_id")
-    return named.groupBy("split", "label_source").agg(F.count("*").alias("pairs"), F.countDistinct("gold_id").alias("gold_rows"), F.countDistinct("train_id").alias("train_rows"))
+    """Overlaps and overlapping rows per split of the gold rows and source of the training rows.
+
+    Rows of one wording, key and part are alike, and are one group: pairs are counted between groups, and not made.
+    """
+    sides = []
+    for df in _rows(spark, d):
+        each = classes(df.select("id", "text"))
+        alike = df.select("id", "key", "part").join(members(df.select("id", "text"), each), "id", "left").groupBy("key", "part", "class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        sides.append((each, alike))
+    (gold, left), (train, right) = sides
+    right = right.select("key", F.col("part").alias("label_source"), F.col("class").alias("other"), F.col("id").alias("train_group"), F.col("n").alias("m"))
+    left = left.select("key", F.col("part").alias("split"), "class", F.col("id").alias("gold_group"), "n")
+    shown = ("gold_group", "n", "split", "train_group", "m", "label_source")
+    by_id = spread_join(left.filter("key is not null"), right.filter("key is not null"), ["key"], "train_group").select(*shown)
+    linked = spread_join(same_classes(gold, train, MOST_WORDS, STAYS), left.drop("key"), ["class"], "gold_group")
+    by_text = spread_join(linked, right.drop("key"), ["other"], "train_group").select(*shown)
+    pairs = by_id.unionByName(by_text).distinct()
+    part = ["split", "label_source"]
+    rows = [pairs.select(*part, F.struct(F.lit(g).alias("side"), F.col(g).alias("id")).alias("g"), F.col(c).alias("rows"), F.col("n") * F.col("m") * (1 if g == "gold_group" else 0)) for g, c in (("gold_group", "n"), ("train_group", "m"))]
+    one = rows[0].toDF(*part, "g", "rows", "pairs").unionByName(rows[1].toDF(*part, "g", "rows", "pairs")).groupBy(*part, "g").agg(F.max("rows").alias("rows"), F.sum("pairs").alias("pairs"))
+    of = lambda side: F.sum(F.when(F.col("g.side") == side, F.col("rows")))
+    return one.groupBy(*part).agg(F.sum("pairs").alias("pairs"), of("gold_group").alias("gold_rows"), of("train_group").alias("train_rows"))
 
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +90,7 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
 RAW = ("product_id", "product_name", "user", "question", "date")
 
 
-def _records(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def _records(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "crawl_raw")
     parsed = F.from_json("payload", ", ".join(f"{f} string" for f in RAW))
     whole = F.when(parsed.isNull() | F.forall(F.array(*(parsed[f] for f in RAW)), lambda x: x.isNull()), F.array("payload")).otherwise(F.array(*(parsed[f] for f in RAW)))
@@ -72,12 +99,11 @@ def _records(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
         ("hasaki_labelled_full", table(spark, d, "hasaki_labelled_full"), "row_id", F.array("category", "sentence")),
         ("crawl_raw", raw, "rec_id", whole),
     )
-    rows = reduce(DataFrame.unionByName, (spread(df.select(F.lit(t).alias("src"), F.col(key).alias("id"), fields.alias("fields"))) for t, df, key, fields in tables))
-    return rows, sum(df.count() for _, df, _, _ in tables)
+    return reduce(DataFrame.unionByName, (spread(df.select(F.lit(t).alias("src"), F.col(key).alias("id"), fields.alias("fields"))) for t, df, key, fields in tables))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return copies(*_records(spark, d))
+    return copies(_records(spark, d))
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -154,9 +180,9 @@ SAMPLE, FLOOR, SEED = 1000, 2, 7
 
 
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "hasaki_labelled_full").select("row_id", "sample_id", F.col("intent_3_level.level_3").alias("level_3"))
+    rows = table(spark, d, "hasaki_labelled_full").select("row_id", F.col("intent_3_level.level_3").alias("level_3"))
     targets = table(spark, d, "intent_distribution").select(F.col("l3").alias("category"), F.col("count").alias("weight"))
-    return proportional_sample(rows, "row_id", strip(F.col("level_3")), targets, SAMPLE, FLOOR, SEED, rows.count())
+    return proportional_sample(rows, "row_id", strip(F.col("level_3")), targets, SAMPLE, FLOOR, SEED)
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +190,7 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per category: rows available, target weight, rows wanted and drawn, and whether the target was met."""
+    """Per category: rows available, target weight and share, rows wanted and drawn, their share, and whether the target was met."""
     return _sampled(spark, d)[1]
 
 
@@ -178,7 +204,7 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     sizes = docs.mapInArrow(counter(str(tokenizers.path(VOCABULARY)), tokenizers.PATTERN), "id bigint, tokens bigint")
     capacities = [r.capacity for r in table(spark, d, "pack_sizes").select("capacity").distinct().toLocalIterator() if r.capacity]
-    return pack(sizes, capacities, docs.count() * max(1, len(capacities)))
+    return pack(sizes, capacities)
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -191,4 +217,4 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p5_sample": p5_sample, "p5_report": p5_report, "p7_unmatched": p7_unmatched, "p8_packed": p8_packed, "p8_usage": p8_usage, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p5_sample": p5_sample, "p5_report": p5_report, "p7_unmatched": p7_unmatched, "p8_packed": p8_packed, "p8_usage": p8_usage, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked, "p10_found": p10_found, "p10_report": p10_report}

@@ -1,21 +1,24 @@
 """SQL that gives the same rows as queries of this subpackage, where SQL can express them."""
 
 _PLAN = r"""
-WITH rows AS (
+WITH RECURSIVE rows AS (
   SELECT row_id, coalesce(regexp_replace(intent_3_level.level_3, '^\s+|\s+$', '', 'g'), '') AS category FROM hasaki_labelled_full),
 counts AS (SELECT category, count(*) AS available FROM rows GROUP BY 1),
 targets AS (SELECT l3 AS category, sum(greatest(coalesce("count", 0), 0))::DOUBLE AS weight FROM intent_distribution WHERE l3 IS NOT NULL GROUP BY 1),
 a AS (SELECT coalesce(c.category, t.category) AS category, coalesce(available, 0) AS available, coalesce(weight, 0) AS weight
       FROM counts c FULL JOIN targets t ON c.category = t.category),
 b AS (SELECT *, CASE WHEN sum(weight) OVER () > 0 THEN 1000.0::DOUBLE * weight / sum(weight) OVER () ELSE 0 END AS wanted FROM a),
-c AS (SELECT *, least(wanted, available::DOUBLE) AS expected FROM b),
-d AS (SELECT *, round(coalesce(sum(expected) OVER (ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) + (7 * 2654435761 % 4294967296) / 4294967296.0::DOUBLE AS begin_,
-  round(sum(expected) OVER (ORDER BY category ROWS UNBOUNDED PRECEDING), 9) + (7 * 2654435761 % 4294967296) / 4294967296.0::DOUBLE AS end_ FROM c),
-e AS (SELECT *, (floor(end_) - floor(begin_))::BIGINT AS drawn, CASE WHEN weight > 0 THEN least(2, available) ELSE 0 END AS least_ FROM d),
-f AS (SELECT *, greatest(least_ - drawn, 0) AS added, greatest(drawn - least_, 0) AS spare FROM e),
-g AS (SELECT *, CASE WHEN sum(spare) OVER () > 0 THEN least(sum(added) OVER (), sum(spare) OVER ())::DOUBLE / sum(spare) OVER () ELSE 0 END AS rate,
-  coalesce(sum(spare) OVER (ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower_ FROM f),
-plan AS (SELECT *, drawn + added - (floor(round((lower_ + spare) * rate, 9)) - floor(round(lower_ * rate, 9)))::BIGINT AS kept FROM g),
+lo AS (SELECT *, CASE WHEN weight > 0 THEN least(2, available) ELSE 0 END AS least_ FROM b),
+goal AS (SELECT least(1000, sum(available) FILTER (weight > 0))::DOUBLE AS goal FROM lo),
+-- The scale by bisection: chances scale x weight, between floor and what there is, add up to the size.
+search AS (SELECT 0 AS step, 0::DOUBLE AS low, 1e6::DOUBLE AS high UNION ALL
+  SELECT step + 1, CASE WHEN (SELECT sum(CASE WHEN weight > 0 THEN least(greatest((low + high) / 2 * weight, least_), available) ELSE 0 END) FROM lo) <= (SELECT goal FROM goal) THEN (low + high) / 2 ELSE low END,
+    CASE WHEN (SELECT sum(CASE WHEN weight > 0 THEN least(greatest((low + high) / 2 * weight, least_), available) ELSE 0 END) FROM lo) <= (SELECT goal FROM goal) THEN high ELSE (low + high) / 2 END
+  FROM search WHERE step < 80),
+e AS (SELECT *, (SELECT max(low) FROM search) * weight AS free, CASE WHEN weight > 0 THEN least(greatest((SELECT max(low) FROM search) * weight, least_), available) ELSE 0 END AS expected FROM lo),
+-- Every row with its chance; one is drawn where the sum of all chances up to it passes a whole number.
+sums AS (SELECT row_id, r.category, sum(expected / available) OVER (ORDER BY r.category, substr(md5('7|' || row_id), 1, 15), row_id ROWS UNBOUNDED PRECEDING) AS upto, expected / available AS chance FROM rows r JOIN e ON e.category = r.category WHERE expected > 0),
+sample AS (SELECT row_id, category FROM sums WHERE floor(round(upto + (7 * 2654435761 % 4294967296) / 4294967296.0::DOUBLE, 8)) > floor(round(upto - chance + (7 * 2654435761 % 4294967296) / 4294967296.0::DOUBLE, 8))),
 """
 _WORDS = r"regexp_extract_all(replace(strip_accents(lower(coalesce(text, ''))), 'đ', 'd'), '[\p{L}\p{N}]+')"
 _LEAKS = rf"""
@@ -39,16 +42,27 @@ _COPIES = (
     + "), f AS (SELECT src, id, min(id) OVER (PARTITION BY src, k) AS first_id, count(*) OVER (PARTITION BY src, k) AS n FROM r)"
 )
 
+_OVERLAPS = rf"""
+WITH g AS (SELECT gold_id, split, nullif(regexp_replace(lower(regexp_replace(sample_id, '^\s+|\s+$', '', 'g')), '_q0+(\d)', '_q\1'), '') AS k, {_WORDS.replace('text', 'sentence')} AS w FROM d3_human_gold),
+t AS (SELECT train_id, label_source, nullif(regexp_replace(lower(regexp_replace(sample_id, '^\s+|\s+$', '', 'g')), '_q0+(\d)', '_q\1'), '') AS k, {_WORDS.replace('text', 'sentence')} AS w FROM d1_annotator_train),
+gw AS (SELECT w AS a, min(gold_id) AS gold_class, count(*) AS gold_rows FROM g WHERE len(w) > 0 GROUP BY 1), tw AS (SELECT w AS b, min(train_id) AS train_class, count(*) AS train_rows FROM t WHERE len(w) > 0 GROUP BY 1),
+near AS (SELECT *, greatest(len(a), len(b)) AS n, least(6, (greatest(len(a), len(b)) - 1) // 2) AS may FROM gw, tw WHERE abs(len(a) - len(b)) <= 6 AND len(list_distinct(a)) - len(list_intersect(a, b)) <= 6),
+pairs AS (SELECT * FROM near WHERE abs(len(a) - len(b)) <= may AND n - list_extract(list_reduce(a, lambda row, x: list_reduce(range(1, len(b) + 1), lambda done, j:
+  list_append(done, greatest(CASE WHEN b[j] = x THEN row[j] + 1 ELSE 0 END, row[j + 1], done[j])), [0::BIGINT]), list_resize([0::BIGINT], len(b) + 1, 0)), -1) <= may),
+found AS (SELECT gold_id, train_id, split, label_source FROM g JOIN t ON g.k = t.k UNION SELECT gold_id, train_id, split, label_source FROM pairs JOIN g ON g.w = a JOIN t ON t.w = b)
+"""
+
 ORACLES = {
+    "p2_found": _OVERLAPS + "SELECT gold_id, train_id FROM found",
+    "p2_report": _OVERLAPS + "SELECT split, label_source, count(*) AS pairs, count(DISTINCT gold_id) AS gold_rows, count(DISTINCT train_id) AS train_rows FROM found GROUP BY ALL",
+    "p2_classes": _OVERLAPS + "SELECT gold_class, train_class, gold_rows, train_rows, count(*) OVER (PARTITION BY gold_class) AS links FROM pairs",
     "p5_report": _PLAN
-    + """x AS (SELECT 1) SELECT category, available, weight, round(wanted, 6) AS wanted, kept,
-      CASE WHEN weight <= 0 THEN 'untargeted' WHEN available = 0 THEN 'absent' WHEN available < wanted THEN 'short' WHEN added > 0 THEN 'floor'
-        WHEN abs(kept - wanted) < 1 THEN 'met' ELSE 'reduced' END AS status FROM plan""",
-    "p5_sample": _PLAN
-    + """ranked AS (SELECT row_id, category, row_number() OVER (PARTITION BY category ORDER BY substr(md5('7|' || row_id), 1, 15), row_id) AS rank FROM rows),
-    crossed AS (SELECT r.*, p.kept, p.added, (floor(round(begin_ + rank * (expected / available), 9)) - floor(begin_))::BIGINT AS n,
-      (floor(round(begin_ + (rank - 1) * (expected / available), 9)) - floor(begin_))::BIGINT AS n0 FROM ranked r JOIN plan p ON p.category = r.category WHERE p.kept > 0)
-    SELECT row_id, category FROM crossed WHERE CASE WHEN n > n0 THEN n <= kept ELSE added > 0 AND rank - n <= added END""",
+    + """k AS (SELECT e.*, (SELECT count(*) FROM sample s WHERE s.category = e.category) AS kept, weight / sum(weight) OVER () AS target FROM e),
+    o AS (SELECT *, kept - target * sum(kept) OVER () AS off, kept / sum(kept) OVER ()::DOUBLE AS share FROM k)
+    SELECT category, available, weight, round(target, 6) AS target_share, round(wanted, 6) AS wanted, kept, round(share, 6) AS share,
+      CASE WHEN weight <= 0 THEN 'untargeted' WHEN available = 0 THEN 'absent' WHEN kept = available AND off <= -1 THEN 'short' WHEN free < least_ AND kept = least_ THEN 'floor'
+        WHEN abs(off) < 1 THEN 'met' WHEN off > 0 THEN 'above' ELSE 'below' END AS status FROM o""",
+    "p5_sample": _PLAN + "x AS (SELECT 1) SELECT row_id, category FROM sample",
     "p6_found": _COPIES + " SELECT src, first_id, id AS copy_id FROM f WHERE id <> first_id",
     "p6_counts": _COPIES + " SELECT src, first_id, any_value(n) AS copies FROM f WHERE n > 1 GROUP BY src, first_id",
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
