@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.functions.text import level
 from annolake.operators import metrics
 from annolake.plans.models import fit_svm, predict
-from annolake.session import shared_folder
+from annolake.session import work_folder
 from annolake.sources.tables import table
 from annolake.streaming.ingest import file_stream, latest_version, upsert_stream, windowed_counts
 
@@ -22,7 +19,7 @@ FITTED = 5_000
 def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The newest event of each user, read as a stream and written as upserts."""
     events = table(spark, d, "events")
-    folder = os.path.join(shared_folder(spark), f"ingest-{uuid.uuid4().hex}")
+    folder = work_folder(spark, "ingest")
     stream = file_stream(spark, f"{d}/events.parquet*", events.schema)
     upsert_stream(stream, f"{folder}/table", f"{folder}/checkpoint", "user_id", "event_id").awaitTermination()
     return latest_version(spark, f"{folder}/table").select("user_id", "event_id", "event_type", "value")

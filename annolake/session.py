@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -18,6 +19,7 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -25,17 +27,45 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset, on one machine as in tests, a local folder is made."""
+    """The folder in spark.checkpoint.dir. Only where that is unset, on one machine as in tests, a local folder is made, which goes when the session's JVM ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), "annolake-checkpoints")
+    context = spark.sparkContext
+    if not getattr(context, "_annolake_folder", None):
+        context._annolake_folder = delete_on_exit(spark, tempfile.mkdtemp(prefix="annolake-"))
+    return context._annolake_folder
+
+
+def delete_on_exit(spark: SparkSession, folder: str) -> str:
+    """folder, which its file system deletes when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder now."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name in the shared folder; it goes when the driver ends."""
+    return delete_on_exit(spark, f"{shared_folder(spark).rstrip('/')}/annolake-{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as a table in the shared folder and read from there, by each step that needs it. The table goes when the driver ends."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written once to the reliable checkpoint folder and read from there."""
+    """df written once to the reliable checkpoint folder and read from there; Spark's cleaner deletes it with the last reference, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
