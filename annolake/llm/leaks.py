@@ -1,131 +1,116 @@
 """Evaluation texts leaking into training text (problem 9): a distributed positional inverted index.
 
-The index is parted by document: each task inverts its own documents into postings (term, position) and answers all queries on them, so that no
-posting is ever moved. A query is a run of words of an evaluation text. From its rarest term in the part, the postings are shifted by the term's
-place in the text and intersected with those of its neighbours; what remains is followed along its diagonal. Evaluation
-texts are sent to the executors in blocks of a checked size.
+Terms are pairs of neighbouring words (a next-word index), as single words stand in nearly every document; a run of n words is a run of n - 1 terms. The postings
+(term, document, place) of the terms that evaluation texts have are written once as a table in the shared folder; how often each term occurs is counted from it. Of each run of
+terms of an evaluation text, the rarest one is joined with its postings, which gives places where the text may begin (diagonals). The postings of the other terms around it,
+shifted by their offsets, are intersected with these places, and consecutive hits of a diagonal are runs. Nothing goes through the driver; a term's postings are cut into slices.
+
+Terms are hashes of 64 bits: a pair of words is taken for another with a chance of 2^-64, and a passage only if that befalls it within an otherwise equal run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.functions.text import words
+from annolake.session import stored
+
+#: Slices of a term's postings; the evaluation side of the join is repeated in each.
+SLICES = 16
+
+
+#: Bits of a term that its neighbours' postings keep.
+MARK = 0xFFFF
+
+
+def _terms(df: DataFrame, name: str, place: str) -> DataFrame:
+    """A row (name, place, term, before, after) for each pair of neighbouring words of rows (id, text), with marks of the terms next to it; places start at 0."""
+    held = df.filter("id is not null and text is not null").select(F.col("id").cast("bigint").alias(name), words(F.col("text")).alias("w"))
+    pairs = held.select(name, F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda x, y: F.xxhash64(x, y)).alias("p"))
+    mark = lambda i: F.coalesce(F.get("p", i).bitwiseAND(F.lit(MARK)).cast("int"), F.lit(-1))
+    each = F.transform("p", lambda t, i: F.struct(t.alias("term"), mark(i - 1).alias("before"), mark(i + 1).alias("after")))
+    return pairs.select(name, F.posexplode_outer(each).alias(place, "t")).filter("t is not null").select(name, place, "t.*")
+
+
+def _slice() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")
+
+
+def _runs(hits: DataFrame, seed: int) -> DataFrame:
+    """Runs (doc_id, item_id, a, d, n) of hits (doc_id, item_id, diagonal, j): place in the item, place in the document and words of each run of `seed` words or more, as long as the hits go."""
+    on = ["doc_id", "item_id", "diagonal"]
+    island = F.col("j") - F.row_number().over(Window.partitionBy(*on).orderBy("j"))
+    runs = hits.withColumn("island", island).groupBy(*on, "island").agg(F.min("j").alias("a"), (F.count("*") + 1).alias("n")).filter(F.col("n") >= seed)
+    return runs.select("doc_id", "item_id", "a", (F.col("diagonal") + F.col("a")).alias("d"), "n")
 
-#: Words of evaluation texts that are sent at once.
-BLOCK_WORDS = 2_000_000
-#: Candidates whose diagonals are followed at once.
-CHUNK = 4096
-
-
-class Queries:
-    """Evaluation texts as numbered terms."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
-        terms = sorted({w for _, own in items for w in own})
-        number = {w: i for i, w in enumerate(terms)}
-        self.vocabulary = pa.array(terms, pa.string())
-        self.items = [(item, np.array([number[w] for w in own], np.int64)) for item, own in items]
-
-
-def runs(queries: Queries, lists: pa.ListArray, least: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (document number, item, place in the item, place in the document, words) of at least `least` words in the documents' word lists; each as long as it goes."""
-    offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-    flat = pc.fill_null(pc.index_in(lists.flatten(), queries.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.argsort(flat, kind="stable")
-    bounds = np.searchsorted(flat[order], np.arange(len(queries.vocabulary) + 1))
-    frequency = np.diff(bounds)
-    found = []
-    size = len(flat)
-    for item, own in queries.items:
-        if len(own) < least:
-            continue
-        windows = np.lib.stride_tricks.sliding_window_view(frequency[own], least)
-        live = windows.min(axis=1) > 0  # a run with a term that the part lacks is not in it
-        anchors = np.unique(np.flatnonzero(live) + windows.argmin(axis=1)[live])
-        starts = []
-        for j in anchors:
-            at = order[bounds[own[j]] : bounds[own[j] + 1]]
-            near = np.zeros(len(at), bool)
-            for step in (-1, 1):
-                if 0 <= j + step < len(own) and least > 1:
-                    there = at + step
-                    inside = (there >= 0) & (there < size)
-                    near |= inside & (flat[np.clip(there, 0, max(size - 1, 0))] == own[j + step])
-            starts.append((at[near] - j) * (len(own) + 1) + j)
-        if not starts:
-            continue
-        coded = np.unique(np.concatenate(starts))
-        diagonal, j = np.divmod(coded, len(own) + 1)
-        home = document[diagonal + j]
-        first = np.unique(np.stack([diagonal, home]), axis=1)
-        for c in range(0, first.shape[1], CHUNK):
-            diag, doc = first[:, c : c + CHUNK]
-            length, at = np.zeros(len(diag), np.int64), diag[:, None] + np.arange(len(own))
-            inside = (at >= offsets[doc][:, None]) & (at < offsets[doc + 1][:, None])
-            hit = inside & (flat[np.clip(at, 0, size - 1)] == own)
-            for place in range(len(own) + 1):
-                on = hit[:, place] if place < len(own) else np.zeros(len(diag), bool)
-                for k in np.flatnonzero(~on & (length >= least)):
-                    begin = place - length[k]
-                    found.append((int(doc[k]), item, int(begin), int(diag[k] + begin - offsets[doc[k]]), int(length[k])))
-                length = np.where(on, length + 1, 0)
-    return found
+
+def passages(documents: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """Runs (doc_id, item_id, a, d, n) of `seed` words or more that documents (id, text) share with items (id, text), each as long as it goes.
+
+    Every term of such a run stands in a window of seed - 1 terms within the run, so that intersecting the terms around the rarest one of each window finds the whole run.
+    """
+    own = _terms(items, "item_id", "j").distinct()  # an item that is there twice counts once
+    held = _terms(documents, "doc_id", "pos").join(own.select("term").distinct(), "term", "left_semi")
+    postings = stored(held.select("term", "doc_id", "pos", "before", "after"), "postings")
+    frequency = postings.groupBy("term").agg(F.count("*").alias("frequency"))
+    known = own.join(frequency, "term", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
+    span = Window.partitionBy("item_id").orderBy("j").rangeBetween(0, seed - 2)
+    windows = known.select("item_id", F.col("j").alias("begin"), F.min(F.struct("frequency", "term", "j", "before", "after")).over(span).alias("rarest"), F.count("*").over(span).alias("terms"))
+    windows = windows.filter((F.col("terms") == seed - 1) & (F.col("rarest.frequency") > 0)).select("item_id", "rarest.*", "begin")
+    # The terms next to the rarest one stand in the document too, where they are in the run.
+    none = F.lit(None).cast("int")
+    behind = F.when(F.col("j") > F.col("begin"), F.col("before")).otherwise(none).alias("item_before")
+    ahead = F.when(F.col("j") < F.col("begin") + seed - 2, F.col("after")).otherwise(none).alias("item_after")
+    anchors = windows.select("item_id", "term", "j", behind, ahead).distinct()
+    spread = anchors.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    found = postings.withColumn("slice", _slice()).join(spread, ["term", "slice"])
+    found = found.filter(F.coalesce(F.col("before") == F.col("item_before"), F.lit(True)) & F.coalesce(F.col("after") == F.col("item_after"), F.lit(True)))
+    places = found.select("doc_id", "item_id", (F.col("pos") - F.col("j")).alias("diagonal"), F.col("j").alias("at"))
+    around = own.select("item_id", "term", "j").join(anchors.select("item_id", F.col("j").alias("at")).distinct(), "item_id").filter(F.abs(F.col("j") - F.col("at")) <= seed - 2)
+    wanted = places.join(around, ["item_id", "at"]).select("doc_id", "item_id", "diagonal", "j", "term", (F.col("diagonal") + F.col("j")).alias("pos")).distinct()
+    hits = wanted.join(postings.select("term", "doc_id", "pos"), ["term", "doc_id", "pos"]).select("doc_id", "item_id", "diagonal", "j").distinct()
+    return _runs(hits, seed)
 
 
 def chained(pieces: list[tuple[int, int, int]], slack: int) -> int:
     """Most words of pieces (place in the item, place in the document, words) that follow each other in both with at most `slack` other words between."""
-    best: list[int] = []
-    pieces = sorted(pieces)
-    for i, (a, d, n) in enumerate(pieces):
-        top = 0
-        for k in range(i):
-            a0, d0, n0 = pieces[k]
-            if 0 <= a - (a0 + n0) <= slack and 0 <= d - (d0 + n0) <= slack:
-                top = max(top, best[k])
-        best.append(top + n)
-    return max(best, default=0)
-
-
-def _search(queries: Queries, least: int, seed: int, slack: int):
+    ends: dict[tuple[int, int], int] = {}
+    most = 0
+    for a, d, n in sorted(pieces):  # what a piece follows begins before it in the item
+        top = n + max((ends.get((a - x, d - y), 0) for x in range(slack + 1) for y in range(slack + 1)), default=0)
+        ends[a + n, d + n] = max(ends.get((a + n, d + n), 0), top)
+        most = max(most, top)
+    return most
+
+
+def _chains(slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-            for doc, item, a, d, n in runs(queries, b.column("words"), seed):
-                pieces.setdefault((doc, item), []).append((a, d, n))
-            hits = [(doc, item, max(n for *_, n in own), chained(own, slack)) for (doc, item), own in pieces.items()]
-            hits = [h for h in hits if h[3] >= least]
-            ids = b.column("id").take(pa.array([h[0] for h in hits], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[k] for h in hits], pa.int64()) for k in (1, 2, 3))], ["doc_id", "item_id", "longest", "near"])
+            near = [chained([(p["a"], p["d"], p["n"]) for p in own], slack) for own in b.column("pieces").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), b.column("longest"), pa.array(near, pa.int64())], ["doc_id", "item_id", "longest", "near"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = 12, seed: int | None = None, slack: int = 0) -> DataFrame:
-    """Rows (doc_id, item_id, longest, near): documents (id, text) that hold passages of items (id, text).
+def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
+    """Rows (doc_id, item_id): documents (id, text) that hold `least` consecutive words, two or more, of items (id, text).
+
+    Case, accents, marks and blanks do not matter. Null and empty texts, and texts shorter than least, have no matches; rows without an id are left out, and rows of one id are one
+    document or item with all their texts; texts are searched whole. Empty tables give no rows.
+    """
+    return passages(documents, items, least).select("doc_id", "item_id").distinct()
+
+
+def near_leaks(documents: DataFrame, items: DataFrame, least: int = 12, seed: int = 5, slack: int = 3) -> DataFrame:
+    """Rows (doc_id, item_id, longest, near), also for passages with other words between: as leaks(), but runs of `seed` words or more count that follow each other in both texts.
 
-    longest: words of the longest run that both share. near: words of the longest chain of runs of at least `seed` words with at most `slack` other
-    words between them; with the defaults, both are the same. Rows have near >= least: exact passages by default, proximity matches with a lower seed and some slack.
-    Case, accents, marks and blanks do not matter. Null and empty texts, and texts shorter than least, have no matches; repeated documents and items
-    match each on their own; texts are searched whole. No shuffle.
+    longest: words of the longest run that both share. near: words of the longest chain of runs with at most `slack` other words between them, at least `least`.
+    Runs of a document and an item are put together in one task; they are no more than the item has words, for each time that the document repeats it.
     """
-    seed = seed or least
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    held = 0
-    for r in items.select("id", words(F.coalesce("text", F.lit(""))).alias("words")).filter("id is not null").toLocalIterator():
-        if held > BLOCK_WORDS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.id, r.words))
-        held += len(r.words)
-    lists = documents.select("id", words(F.coalesce("text", F.lit(""))).alias("words"))
-    found = [lists.mapInArrow(_search(Queries(block), least, seed, slack), "doc_id bigint, item_id bigint, longest bigint, near bigint") for block in blocks]
-    return reduce(DataFrame.unionByName, found)
+    pieces = passages(documents, items, seed).groupBy("doc_id", "item_id").agg(F.max("n").alias("longest"), F.sum("n").alias("all"), F.collect_list(F.struct("a", "d", "n")).alias("pieces"))
+    near = pieces.filter(F.col("all") >= least).select("doc_id", "item_id", "longest", "pieces").mapInArrow(_chains(slack), "doc_id bigint, item_id bigint, longest bigint, near bigint")
+    return near.filter(F.col("near") >= least)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from annolake.llm.canonical import canonical_fields
 from annolake.functions.text import blank, strip
 from annolake.llm.copies import copies
-from annolake.llm.leaks import leaks
+from annolake.llm.leaks import leaks, near_leaks
 from annolake.llm.mapping import map_values, parts, stands_in
 from annolake.llm.overlap import classes, members, near_same, same_classes
 from annolake.llm.packing import counter, pack
@@ -141,18 +141,18 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).filter("canonical_id = ''").groupBy("src", "field_name", "val").agg(F.count("*").alias("n"))
 
 
-def _searched(spark: SparkSession, d: str, **how) -> DataFrame:
+def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return leaks(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text"), **how)
+    return docs, table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _searched(spark, d, least=12).select("doc_id", "item_id")
+    return leaks(*_corpus(spark, d), 12)
 
 
 def p9_proximity(spark: SparkSession, d: str) -> DataFrame:
     """Also passages with up to three other words between runs of five words or more."""
-    return _searched(spark, d, least=12, seed=5, slack=3)
+    return near_leaks(*_corpus(spark, d), 12, 5, 3)
 
 
 def p9_leaked(spark: SparkSession, d: str) -> DataFrame:

@@ -28,6 +28,15 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SE
 ig AS (SELECT DISTINCT item_id, split, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT item_id, split, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
 leaks AS (SELECT DISTINCT doc_id, item_id, split FROM dg JOIN ig ON dg.g = ig.g)
 """
+_NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+dp AS (SELECT doc_id, k AS pos, array_to_string(w[k : k + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d)),
+ip AS (SELECT item_id, k AS j, array_to_string(w[k : k + 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM i)),
+hit AS (SELECT doc_id, item_id, pos - j AS diagonal, j, j - row_number() OVER (PARTITION BY doc_id, item_id, pos - j ORDER BY j) AS island FROM dp JOIN ip ON dp.g = ip.g),
+piece AS (SELECT doc_id, item_id, min(j) AS a, min(j) + diagonal AS d, count(*) + 1 AS n FROM hit GROUP BY doc_id, item_id, diagonal, island HAVING count(*) >= 4),
+chain AS (SELECT doc_id, item_id, a + n AS a, d + n AS d, n AS words FROM piece
+  UNION SELECT p.doc_id, p.item_id, p.a + n, p.d + n, words + n FROM chain c JOIN piece p ON p.doc_id = c.doc_id AND p.item_id = c.item_id AND p.a - c.a BETWEEN 0 AND 3 AND p.d - c.d BETWEEN 0 AND 3)
+"""
 _KEPT = r"regexp_replace(lower(nfc_normalize(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _COPIES = (
     "WITH r AS ("
@@ -66,5 +75,6 @@ ORACLES = {
     "p6_found": _COPIES + " SELECT src, first_id, id AS copy_id FROM f WHERE id <> first_id",
     "p6_counts": _COPIES + " SELECT src, first_id, any_value(n) AS copies FROM f WHERE n > 1 GROUP BY src, first_id",
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
+    "p9_proximity": _NEAR + "SELECT doc_id, item_id, longest, near FROM (SELECT doc_id, item_id, max(words) AS near FROM chain GROUP BY ALL) JOIN (SELECT doc_id, item_id, max(n) AS longest FROM piece GROUP BY ALL) USING (doc_id, item_id) WHERE near >= 12",
     "p9_leaked": _LEAKS + "SELECT item_id, split, count(DISTINCT doc_id) AS documents FROM leaks GROUP BY item_id, split",
 }

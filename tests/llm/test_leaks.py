@@ -27,13 +27,12 @@ def test_against_brute_force(rows):
     assert got == brute(docs, items, 12) and got
 
 
-def test_dress_blocks_and_edges(rows, monkeypatch):
+def test_dress_and_edges(rows):
     item = "Ở phòng đo ẩm bậc 6, tổ quan sát bôi tẩy tế bào chết lên cẳng tay"
-    docs = rows([(1, "x\n> " + item.upper().replace(" ", "\n"), 0), (2, "o phong do am bac 6 to quan sat boi", 0), (3, "o phong do am bac 6 to quan sat boi tay", 0)], "id long, text string, words int")
-    items = rows([(7, item), (8, None), (9, "ngắn quá"), (7, item)], "id long, text string")
-    assert sorted({(r.doc_id, r.item_id) for r in k.leaks(docs, items, 11).collect()}) == [(1, 7), (3, 7)]
-    monkeypatch.setattr(k, "BLOCK_WORDS", 1)
-    assert sorted({(r.doc_id, r.item_id) for r in k.leaks(docs, items, 11).collect()}) == [(1, 7), (3, 7)]
+    docs = rows([(1, "x\n> " + item.upper().replace(" ", "\n"), 0), (2, "o phong do am bac 6 to quan sat boi", 0), (3, "o phong do am bac 6 to quan sat boi tay", 0), (3, "o phong do am bac 6 to quan sat boi tay", 0), (None, item, 0)], "id long, text string, words int")
+    items = rows([(7, item), (8, None), (9, "ngắn quá"), (7, item), (10, "")], "id long, text string")
+    assert sorted(map(tuple, k.leaks(docs, items, 10).collect())) == [(1, 7), (2, 7), (3, 7)]
+    assert sorted(map(tuple, k.leaks(docs, items, 11).collect())) == [(1, 7), (3, 7)]
     assert k.leaks(docs.limit(0), items).collect() == [] and k.leaks(docs, items.limit(0)).collect() == []
 
 
@@ -42,8 +41,23 @@ def test_proximity(rows):
     doc = " ".join([f"t{i}" for i in range(3, 9)] + ["zz", "yy"] + [f"t{i}" for i in range(10, 17)])
     docs, items = rows([(1, doc)], "id long, text string"), rows([(5, item)], "id long, text string")
     assert k.leaks(docs, items).collect() == []
-    assert [(r.longest, r.near) for r in k.leaks(docs, items, 12, seed=5, slack=3).collect()] == [(7, 13)]
+    assert [(r.longest, r.near) for r in k.near_leaks(docs, items, 12, 5, 3).collect()] == [(7, 13)]
+    assert k.near_leaks(docs, items, 14, 5, 3).collect() == []
+
+
+def brute_chain(pieces, slack):
+    best = []
+    for i, (a, d, n) in enumerate(pieces := sorted(pieces)):
+        best.append(n + max((best[k] for k in range(i) if 0 <= a - pieces[k][0] - pieces[k][2] <= slack and 0 <= d - pieces[k][1] - pieces[k][2] <= slack), default=0))
+    return max(best, default=0)
+
+
+def test_chains():
+    random.seed(4)
     assert k.chained([(0, 0, 5), (5, 9, 4), (30, 40, 6)], 3) == 6 and k.chained([], 3) == 0
+    for _ in range(300):
+        pieces = list({(random.randrange(20), random.randrange(20), random.randint(1, 6)) for _ in range(random.randrange(12))})
+        assert k.chained(pieces, 3) == brute_chain(pieces, 3)
 
 
 def test_long_document(rows):

@@ -37,7 +37,7 @@ def test_round_trip(rows):
     random.seed(11)
     sizes = [(i, random.choice([0, 3, 50, 64, 65, 130, 700])) for i in range(2000)] + [(5000, None), (7, 20)]
     table = rows(sizes, "id long, tokens long").withColumn("capacity", F.lit("other"))
-    got = p.pack(table, [64, 256, 64], len(sizes)).collect()
+    got = p.pack(table, [64, 256, 64]).collect()
     for capacity in (64, 256):
         mine = [r for r in got if r.capacity == capacity]
         whole = Counter()
@@ -55,9 +55,9 @@ def test_round_trip(rows):
         assert len(room) - 1 <= sum(room.values()) / capacity * 1.05 + 1
         assert all(r.piece == 1 for r in mine if (n := dict(sizes)[r.id] or 0) <= capacity and r.id != 7)
         assert all(r.start == (r.piece - 1) * capacity for r in mine)
-    assert p.pack(table.limit(0), [64], 0).collect() == []
+    assert p.pack(table.limit(0), [64]).collect() == []
     with pytest.raises(ValueError):
-        p.pack(table, [0], 1)
+        p.pack(table, [0])
 
 
 def test_tokenizer(rows):
