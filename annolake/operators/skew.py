@@ -41,3 +41,12 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str) -
     each = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0))))
     one = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).otherwise(0)
     return flagged(left).withColumn("_slice", each).drop("_hot").join(flagged(right).withColumn("_slice", one).drop("_hot"), [*on, "_slice"]).drop("_slice")
+
+
+def sliced_join(rows: DataFrame, groups: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner, left, left_semi or left_anti) to groups, a small table with one row per key, of which it isn't known how many rows they have.
+
+    rows are cut into SLICES by a hash of their column `spread`, and groups are repeated for each; so no key of any size is in one task.
+    """
+    each = groups.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return rows.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).join(each, [*on, "_slice"], how).drop("_slice")
