@@ -6,14 +6,17 @@ slots left unfilled, filler, draft notes, failure messages, and demands for scri
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from http import HTTPStatus
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.text import fold
-from annolake.session import cut_lineage
+from annolake.operators.skew import sliced_join
+from annolake.session import stored
 
 #: Share of a host's different texts from which a line is boilerplate.
 SHARE = 0.05
@@ -35,11 +38,13 @@ FILLERS = (
 DRAFTS = (
     r"(?:^|[.!\[(/#*\- ])(?:todo|fixme|tbd)\b ?[:\-(\])]", r"(?:^|\W)\((?:nhap|ban nhap|draft|brouillon)\)", r"^\W*\[?(?:ban nhap|draft|brouillon)\]?\s*[:\-]", r"\bphan nay (?:se )?viet sau\b", r"\bviet (?:them|tiep|sau) (?:o day|sau)\b", r"\bbo sung\b.{0,60}\b(?:truoc khi dang|sau khi co)\b", r"\b(?:xin |hay |can )?thay bang noi dung that\b", r"\bthay so that\b", r"\b(?:to be (?:completed|written|added|announced)|coming soon)\b", r"\bdang cap nhat noi dung\b", r"\bnoi dung dang (?:duoc )?cap nhat\b", r"\ba completer\b", r"\ba remplacer avant\b",
 )
+#: The standard reasons of failing requests.
+REASONS = "|".join(re.sub(r"[^a-z']", ".{0,2}", x.phrase.lower()) for x in HTTPStatus if x >= 400) + "|gateway time-?out|service (?:temporarily )?unavailable|internal server"
 #: How a failure message begins.
 LEAD = r"(?:^|[.!?\"] )\W*(?:error|erreur|loi|ma loi|http(?: error)?|oops|rat tiec|sorry|thong bao he thong|xin loi|status|canh bao|warning|fatal error)"
 FAILURES = (
     rf"{LEAD}(?: ma| code)?[ :#\-]*(?:[45]\d\d|\d{{4}})\b(?! lan| ngay| gio| phut)", r"\bhttp [45]\d\d\b", rf"{LEAD}\b[ :,\-!.]*(?:da xay ra|trang|yeu cau|may chu|he thong|noi dung|ket noi|dich vu|khong|the page|request|too many|upstream|le serveur|page)\b",
-    r"\b[45]\d\d[ :\-,.(]*(?:bad gateway|gateway time-?out|not found|forbidden|internal server|service (?:temporarily )?unavailable|too many requests|unauthorized|bad request)", r"\bbad gateway\b", r"\bgateway time-?out\b", r"\binternal server error\b", r"\bservice (?:temporarily )?unavailable\b", r"\baccess denied\b", r"\b403 forbidden\b", r"\bpage not found\b", r"\btoo many requests\b", r"\b(?:request|connection) timed out\b", r"\bupstream (?:connect error|server did not)\b",
+    rf"\b[45]\d\d[ :\-,.(]*(?:{REASONS})\b", r"\bbad gateway\b", r"\bgateway time-?out\b", r"\binternal server error\b", r"\bservice (?:temporarily )?unavailable\b", r"\baccess denied\b", r"\b403 forbidden\b", r"\bpage not found\b", r"\btoo many requests\b", r"\b(?:request|connection) timed out\b", r"\bupstream (?:connect error|server did not)\b",
     r"\bthe page could not be (?:loaded|found)\b", r"\bsomething went wrong on (?:our|this)\b", r"^\W*something went wrong\b", r"\byour request was blocked\b", r"\bpage introuvable\b", r"\ble serveur ne repond pas\b", r"\bcette page n'existe\b", r"\btraceback \(most recent", r"\bkeyerror:|\bnullpointerexception\b|\bstack trace:|\bat line \d+ of file\b", r"\bon line \d+\b.*|\.php on line", r"\bconnection refused\b",
     r"^\W*(?:ma loi|loi)? ?[\d: \-]*(?:khong tim thay trang|dich vu tam ngung|ket noi bi ngat|yeu cau bi tu choi)\b", r"\btrang (?:ban|nay)? ?(?:ban )?(?:tim|can|yeu cau|truy cap)\b.{0,20}\b(?:khong con|khong ton tai|da bi|bi doi)\b", r"\btrang (?:nay )?(?:di lac|khong ton tai|khong con o day)\b", r"\b(?:may chu|he thong) (?:khong phan hoi|dang ban|dang bao tri|gap su co)\b", r"\bnoi dung khong tai duoc\b", r"\bkhong the (?:tai|hien thi|ket noi)\b.{0,30}\b(?:trang|noi dung|may chu|co so du lieu)\b", r"\bket noi bi ngat giua chung\b", r"\byeu cau bi tu choi\b", r"\bdich vu tam ngung\b", r"\btrang (?:web )?dang bao tri\b", r"\bkhong ket noi duoc\b.{0,30}\b(?:co so du lieu|may chu)\b", r"\bqua nhieu yeu cau\b", r"\bban khong co quyen\b", r"\bphien (?:lam viec|dang nhap) (?:da )?het han\b", r"\bsession (?:has )?expired\b", r"\bda xay ra loi\b", r"\b(?:san pham|trang|noi dung|bai viet)\b.{0,10}\bkhong (?:con )?ton tai (?:hoac|nua)\b", r"\b(?:hoac|va) da bi (?:go|xoa)\b", r"\bdoes(?: not|n't) exist or\b", r"\bhas been removed or\b",
 )
@@ -104,27 +109,36 @@ def _any(line: Column, patterns: tuple[str, ...]) -> Column:
 def residue(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """Rows (id, line, kind): lines of documents (id, text, host) that hold evidence and are not boilerplate of the host, once for each kind that they hold.
 
-    A line (numbers aside, but for status codes) is boilerplate if it stands in `share` of the host's different texts, and in two at least, as else it does not
-    recur; the size of the host has no other part in it. It is left out only of documents that hold something else too: a line that does not recur like this.
+    All lines are counted by host. A line is boilerplate if it, or one that differs in numbers but for status codes, stands in `share` of the host's different texts, and in two at
+    least, as else it does not recur; the size of the host has no other part in it. It is left out only of documents that hold something else too: a line that does not recur like this.
     What is nothing but an error page or a notice stays, however often it recurs. Null texts have no lines, null hosts are one host, repeated documents count
     once for recurrence and each have their rows; empty tables give no rows.
+
+    Each different line is judged once. Hosts, lines and texts are told apart by hashes of 64 bits where they are counted.
     """
-    known = documents.select("id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    judged = F.transform(lines(F.col("text")), lambda line: F.struct(line.alias("line"), evidence(line).alias("kind")))
-    # explode() would have the lines judged once more, to see that there are any.
-    proven = known.select("id", "host", "key", F.explode_outer(F.filter(judged, lambda x: x.kind.isNotNull())).alias("x")).select("id", "host", "key", "x.*").filter("kind is not null")
-    proven = cut_lineage(proven.withColumn("shape", F.regexp_replace("line", r"\b(?![45]\d\d\b)\d+", "0")))
-    sizes = known.groupBy("host").agg(F.countDistinct("key").alias("texts"))
-
-    def recurring(held: DataFrame, line: str) -> DataFrame:
-        often = held.select("host", "key", line).distinct().groupBy("host", line).agg(F.count("*").alias("n")).filter("n > 1")
-        return often.join(sizes, "host").filter(F.col("n") >= share * F.col("texts")).select("host", line)
-
-    # Only lines with evidence matter at first; all lines are looked at only in hosts where one of those recurs.
-    boilerplate = cut_lineage(recurring(proven, "shape"))
-    if boilerplate.isEmpty():
-        return proven.select("id", "line", F.explode(kinds(F.col("line"))).alias("kind"))
-    suspect = proven.join(boilerplate, ["host", "shape"], "left_semi").select("host", "key", "shape", F.unhex(F.md5("line")).alias("mark")).distinct()
-    every = known.join(boilerplate.select("host").distinct(), "host", "left_semi").select("host", "key", F.explode(F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.unhex(F.md5(x))))).alias("mark"))
-    other = every.join(suspect, ["host", "key"], "left_semi").join(suspect, ["host", "key", "mark"], "left_anti").join(recurring(every, "mark"), ["host", "mark"], "left_anti")
-    return proven.join(suspect.join(other, ["host", "key"], "left_semi"), ["host", "key", "shape"], "left_anti").select("id", "line", F.explode(kinds(F.col("line"))).alias("kind"))
+    host, text = F.coalesce("host", F.lit("")), F.coalesce("text", F.lit(""))
+    held = stored(documents.select("id", F.xxhash64(host).alias("host"), F.xxhash64(text).alias("key"), lines(text).alias("lines")), "lines")
+    sizes = held.groupBy("host").agg(F.countDistinct("key").alias("texts"))
+
+    def recurring(rows: DataFrame) -> DataFrame:
+        """Of rows (host, key, mark) the marks that recur in the host's texts."""
+        often = rows.distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).filter("n > 1")
+        return sliced_join(often, sizes, ["host"], "mark").filter(F.col("n") >= share * F.col("texts")).select("host", "mark")
+
+    each = held.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("mark"))
+    boilerplate = recurring(each)
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # judging is heavy for each row: as many tasks as that, however small the lines are together
+    judged = held.select(F.explode("lines").alias("line")).distinct().repartition(parts, "line").withColumn("kinds", kinds(F.col("line"))).filter("size(kinds) > 0")
+    shape = F.xxhash64(F.regexp_replace("line", r"\b(?![45]\d\d\b)\d+", "0"))
+    judged = stored(judged.select("line", F.xxhash64("line").alias("mark"), shape.alias("shape"), "kinds"), "evidence")
+    # Few documents hold evidence; only their lines are looked at further.
+    marks = sliced_join(held.select("id", "host", "key", F.explode("lines").alias("line")).withColumn("mark", F.xxhash64("line")), judged.select("mark", "line", "shape", "kinds"), ["mark", "line"], "id")
+    proven = stored(marks.select("id", "host", "key", "line", "mark", "shape", "kinds"), "proven")
+    known = boilerplate.join(proven.select("host", "mark").distinct(), ["host", "mark"], "left_semi").unionByName(recurring(proven.select("host", "key", F.col("shape").alias("mark"))))
+    known = known.distinct()
+    suspect = sliced_join(proven.select("host", "key", F.explode(F.array("mark", "shape")).alias("mark")), known, ["host", "mark"], "key", "left_semi").select("host", "key").distinct()
+    other = each.join(suspect, ["host", "key"], "left_semi").join(proven.select("host", "key", "mark").distinct(), ["host", "key", "mark"], "left_anti")
+    other = sliced_join(other, boilerplate, ["host", "mark"], "key", "left_anti").select("host", "key").distinct()
+    beside = sliced_join(proven.select("host", "key", "mark", "shape", F.explode(F.array("mark", "shape")).alias("m")), known.withColumnRenamed("mark", "m"), ["host", "m"], "key", "left_semi").join(other, ["host", "key"], "left_semi")
+    left = proven.join(beside.select("host", "key", "mark").distinct(), ["host", "key", "mark"], "left_anti")
+    return left.select("id", "line", F.explode("kinds").alias("kind"))
