@@ -35,3 +35,12 @@ def by_rarity(df: DataFrame, table: Column, tokens: str = "tokens") -> DataFrame
     kept = [c for c in df.columns if c != tokens]
     # The subquery is a column for the analyzer only: the two projections become one.
     return df.withColumn("_shares", table).select(*kept, tokens, F.sort_array(F.transform(tokens, lambda t: F.struct(F.get("_shares", bucket(t)).alias("share"), t.alias("token")))).alias("ordered"))
+
+
+#: Two numbers of 64 bits with a bit for each token (a column of hashes): a bit that one set has and the other lacks is a token that the other lacks.
+SIGNATURE = tuple(f"aggregate(tokens, 0L, (a, t) -> a | if({x} (t & 4194304) = 0, shiftleft(1L, int(shiftright(t, 16) & 63)), 0L))" for x in ("", "not"))
+
+
+def lacking(one: tuple[str, str], other: tuple[str, str]) -> Column:
+    """How many tokens, at least, the set of the first signature has and the other's lacks."""
+    return sum((F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) for a, b in zip(one, other)), F.lit(0))

@@ -16,16 +16,17 @@ def _hot(groups: DataFrame, n: str) -> Column:
     return F.col(n) > F.greatest(F.lit(float(HOT_LEAST)), total * HOT_SHARE)
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, spread: str, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, spread: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """rows joined (inner or left) to groups, which has one row per key and in column n how many rows the key has.
 
     Rows of hot keys are spread over SLICES by a hash of their column `spread`, and their group is repeated for each slice; the keys of hot groups
-    are the only thing that is broadcast.
+    are the only thing that is broadcast. sizes: a table (on, n) of all keys, where that is at hand and cheaper to read than groups.
     """
-    marked = groups.withColumn("_hot", _hot(groups, n))
-    flags = marked.filter("_hot").select(*on, "_hot")
+    known = groups if sizes is None else sizes
+    hot = _hot(known, n)
+    flags = known.filter(hot).select(*on, F.lit(True).alias("_hot"))
     left = rows.join(F.broadcast(flags), on, "left").withColumn("_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).otherwise(0)).drop("_hot")
-    right = marked.withColumn("_slice", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    right = groups.withColumn("_hot", hot).withColumn("_slice", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [*on, "_slice"], how).drop("_slice")
 
 
