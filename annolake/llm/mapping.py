@@ -1,29 +1,35 @@
 """Mapping free-entered values to a canonical list (problem 7): a set-similarity join with prefix filter.
 
-A value's tokens are the letter pairs of its squeezed form (one form of characters, no accents, case, blanks or marks), numbered where they
-recur. Tokens are ordered by their rarity in the list; two sets of a Jaccard similarity of t share a token within short prefixes of this
-order, so only those are indexed and probed. Lengths and places of the shared token rule out most of what remains; the others are verified exactly,
-and the best entry is kept.
+Tokens of a text are the letters and the letter pairs, with its ends, of its squeezed form (one form of characters, no accents, case, blanks or marks), numbered where they
+recur. They are ordered by their rarity over both sides; two sets of a Jaccard similarity of t share a token within short prefixes of this order, so only those are joined.
+Lengths, places of the shared token and signatures rule out most pairs within the join; the others are verified exactly, and the best entry is kept. An exact check
+follows, as a short text is near to others by chance: a similar text may differ in no more letters than `slips` says.
+
+Both sides are distributed. Each different text is looked up once, and found entries are joined back to the values, large groups of equal values in slices.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.llm.canonical import canonical
+from annolake.operators.rarity import SIGNATURE, by_rarity, lacking, shares
+from annolake.operators.skew import hot_join
+from annolake.session import stored
+from annolake.sources.tables import wide
 
-#: Entries of the list that are sent to the executors at once; a longer list is taken in blocks.
-BLOCK = 50_000
-#: Values whose result a task keeps.
-KEPT = 1 << 17
+#: A token that stands in a greater share of the texts is joined in slices.
+RARE = 0.01
+#: Code points that stand for the ends of a text, and for no second letter.
+BEGIN, END, NONE = 0x1FFFFE, 0x1FFFFD, 0x1FFFFF
 
 
 def squeeze(text: str) -> str:
@@ -32,18 +38,23 @@ def squeeze(text: str) -> str:
     return "".join(c for c in form if c.isalnum())
 
 
-def tokens(squeezed: str) -> list[tuple[str, int]]:
-    """Letter pairs, with the ends as letters of their own and a number for each repetition."""
+def tokens(squeezed: str) -> list[int]:
+    """Letters and letter pairs, with the ends as letters of their own and a number for each repetition, as numbers of 63 bits."""
+    codes = [BEGIN, *map(ord, squeezed), END]
     seen: Counter = Counter()
-    padded = f"^{squeezed}$"
     out = []
-    for i in range(len(padded) - 1):
-        pair = padded[i : i + 2]
-        out.append((pair, seen[pair]))
-        seen[pair] += 1
+    for a, b in [*((x, NONE) for x in codes[1:-1]), *zip(codes, codes[1:])]:
+        token = a << 42 | b << 21
+        out.append(token | seen[token])
+        seen[token] += 1
     return out
 
 
+def slips(letters: int) -> int:
+    """Letters in which a text may differ from an entry of so many letters: two of seven, and from ten letters on a fifth, but two at least."""
+    return min(2 * letters // 7, max(2, letters // 5))
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Letters dropped, added, altered or swapped with the next between a and b; most + 1 if there are more than most."""
     if abs(len(a) - len(b)) > most:
@@ -62,121 +73,137 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-class SetIndex:
-    """The prefixes of a canonical list's token sets."""
-
-    def __init__(self, entries: list[tuple[str, str]], t: float) -> None:
-        """entries: (id, text). t: the least similarity."""
-        self.t, self.ids, self.texts, self.sets, self.postings = t, [], [], [], defaultdict(list)
-        made = [(i, s, frozenset(tokens(s))) for i, text in sorted(entries) if (s := squeeze(text))]
-        self.rarity = Counter(x for *_, own in made for x in own)
-        for i, s, own in made:
-            at = len(self.ids)
-            self.ids.append(i)
-            self.texts.append(s)
-            self.sets.append(own)
-            for place, x in enumerate(self.prefix(own)):
-                self.postings[x].append((at, place))
-
-    def prefix(self, own: frozenset) -> list:
-        """The rarest tokens, one of which any similar set shares. Tokens that the list lacks are the rarest of all."""
-        ordered = sorted(own, key=lambda x: (self.rarity[x] if x in self.rarity else 0, x))
-        return ordered[: len(own) - math.ceil(self.t * len(own) - 1e-9) + 1]
-
-    def best(self, squeezed: str) -> tuple[float, int]:
-        """The greatest similarity of an entry, and its number; (0, -1) if none is similar enough. Ties go to the lesser id.
-
-        An entry that differs in more than two letters and more than a fifth of them is another value, however many pairs it shares.
-        """
-        own = frozenset(tokens(squeezed))
-        n, top, at_top = len(own), 0.0, -1
-        done = set()
-        for place, x in enumerate(self.prefix(own)):
-            for at, other_place in self.postings.get(x, ()):
-                if at in done:
-                    continue
-                m = len(self.sets[at])
-                if m < self.t * n or n < self.t * m:
-                    continue
-                if 1 + min(n - place, m - other_place) - 1 < self.t / (1 + self.t) * (n + m) - 1e-9:
-                    continue
-                done.add(at)
-                shared = len(own & self.sets[at])
-                similarity = shared / (n + m - shared)
-                if similarity >= self.t and (similarity > top or similarity == top and at < at_top):
-                    most = max(2, len(self.texts[at]) // 5)
-                    if similarity == 1 or edits(squeezed, self.texts[at], most) <= most:
-                        top, at_top = similarity, at
-        return top, at_top
-
-
-def whole(value: str) -> list[str]:
-    """The value as the only part that may stand for an entry."""
-    return [s] if (s := squeeze(value)) else []
-
-
-def parts(longest: int) -> Callable[[str], list[str]]:
-    """Runs of up to `longest` words, not across digits, line ends or marks other than hyphens: any may stand for an entry."""
-
-    def windows(value: str) -> list[str]:
-        found: dict[str, None] = {}
-        for segment in re.findall(r"[^\W\d_]+(?:[ \-]+[^\W\d_]+)*", unicodedata.normalize("NFC", canonical(value))):
-            own = [squeeze(w) for w in re.split(r"[ \-]+", segment)]
-            for i in range(len(own)):
-                for j in range(i + 1, min(i + longest, len(own)) + 1):
-                    found["".join(own[i:j])] = None
-        return [f for f in found if f]
-
-    return windows
-
-
-def _matcher(index: SetIndex, split: Callable[[str], list[str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[float, int]] = {}
+def segments(text: str) -> list[str]:
+    """Runs of words, not across digits, line ends or marks other than hyphens, as squeezed words with blanks between."""
+    plain = unicodedata.normalize("NFC", canonical(text))
+    found = [" ".join(filter(None, map(squeeze, re.split(r"[ \-]+", s)))) for s in re.findall(r"[^\W\d_]+(?:[ \-]+[^\W\d_]+)*", plain)]
+    return list(dict.fromkeys(f for f in found if f))
 
-        def best(s: str) -> tuple[float, int]:
-            if s not in known:
-                if len(known) >= KEPT:
-                    known.clear()
-                known[s] = index.best(s)
-            return known[s]
 
+def _split(longest: dict[str, int]):
+    """For mapInArrow: (list, val) to (list, val, parts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, scores = [], []
-            for value in b.column("val").to_pylist():
-                score, at = max((best(s) for s in split(value)), key=lambda x: (x[0], -x[1]), default=(0.0, -1))
-                ids.append(index.ids[at] if at >= 0 else "")
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in b.schema.names), pa.array(ids, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "canonical_id", "similarity"])
+            parts = [(segments if longest.get(k) else whole)(v) for k, v in zip(b.column("list").to_pylist(), b.column("val").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("list"), b.column("val"), pa.array(parts, pa.list_(pa.string()))], ["list", "val", "parts"])
 
     return run
 
 
-def map_values(values: DataFrame, entries: DataFrame, t: float, split: Callable[[str], list[str]] = whole) -> DataFrame:
-    """values (key columns, val) with columns canonical_id and similarity: the most similar entry of entries (id, text), or '' and 0.
-
-    Blank and null values match nothing and stay; ties go to the lesser id; repeated entries count once; empty entries leave all unmatched.
-    The list is sent to the executors as an index, in blocks of at most BLOCK entries; with more than one, each value keeps the best of the blocks.
-    No shuffle of the values.
+def whole(text: str) -> list[str]:
+    """The text as the only part that may stand for an entry."""
+    return [s] if (s := squeeze(text)) else []
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, ...) with tokens, mixed so that any of their bits can serve as a hash."""
+    for b in batches:
+        lists = [tokens(s) for s in b.column("part").to_pylist()]
+        flat = np.array([x for own in lists for x in own], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        flat = flat ^ (flat >> np.uint64(32))
+        offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        own = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, "tokens"])
+
+
+def _sets(df: DataFrame, shape: str, name: str) -> DataFrame:
+    """df (list, part, ...) with the tokens of part, which are those of its list only, and their signature; written once."""
+    made = df.mapInArrow(_tokens, f"{shape}, tokens array<bigint>").withColumn("tokens", F.expr("transform(tokens, t -> xxhash64(list, t))"))
+    return stored(made.withColumns(dict(zip(("low", "high"), map(F.expr, SIGNATURE)))), name)
+
+
+def _prefixes(sets: DataFrame, key: list[str], table: Column, t: float, index: bool) -> DataFrame:
+    """A row for each of the rarest tokens of a set, one of which any similar set shares, with its place. Frequent tokens are cut into slices, which the index has all."""
+    held = by_rarity(sets.select(*key, "low", "high", "tokens"), table).select(*key, "low", "high", F.size("tokens").alias("size"), "ordered")
+    length = (F.col("size") - F.ceil(F.col("size") * t - 1e-9) + 1).cast("int")
+    rows = held.select(*key, "low", "high", "size", F.posexplode_outer(F.slice("ordered", F.lit(1), length)).alias("place", "o")).select(*key, "low", "high", "size", "place", "o.*").filter("token is not null")
+    slices = F.greatest(F.ceil(F.col("share") / RARE), F.lit(1)).cast("int")
+    cut = F.explode(F.sequence(F.lit(0), slices - 1)) if index else F.pmod(F.xxhash64(*key), slices).cast("int")
+    return rows.withColumn("slice", cut).drop("share")
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        good = [x == y or edits(x, y, slips(len(y))) <= slips(len(y)) for x, y in zip(b.column("part").to_pylist(), b.column("text").to_pylist())]
+        yield b.select(["list", "part", "canonical_id", "similarity"]).filter(pa.array(good, pa.bool_()))
+
+
+def _best(df: DataFrame, *key: str) -> DataFrame:
+    """The row of each key with the greatest similarity; ties go to the lesser id."""
+    top = F.min(F.struct((-F.col("similarity")).alias("s"), "canonical_id")).alias("b")
+    return df.groupBy(*key).agg(top).select(*key, F.col("b.canonical_id").alias("canonical_id"), (-F.col("b.s")).alias("similarity"))
+
+
+def similar(parts: DataFrame, entries: DataFrame, t: float) -> DataFrame:
+    """(list, part, canonical_id, similarity): of different squeezed texts (list, part) those that have an entry of entries (list, id, text) with a Jaccard similarity of t or more that passes the check, and the most similar one; ties go to the lesser id."""
+    known = entries.filter("list is not null and id is not null and text is not null").select("list", F.col("id").cast("string").alias("id"), F.col("text").alias("val")).distinct()
+    squeezed = known.select("list", "val").distinct().mapInArrow(_split({}), "list string, val string, parts array<string>")
+    listed = known.join(squeezed, ["list", "val"]).select("list", "id", F.explode("parts").alias("part")).distinct()
+    right = _sets(listed.select("list", "part", "id"), "list string, part string, id string", "entries")
+    left = _sets(parts.select("list", "part"), "list string, part string", "parts")
+    table = shares([left, right])
+    a, b = _prefixes(left, ["list", "part"], table, t, False), _prefixes(right, ["list", "id"], table, t, True)
+    on = ["list", "token", "slice"]
+    met = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c not in on}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c not in on}), on)
+    n, m, i, j = (F.col(c) for c in ("a_size", "b_size", "a_place", "b_place"))
+    need = F.ceil((n + m) * (t / (1 + t)) - 1e-9)  # tokens that both share
+    good = (m >= t * n) & (n >= t * m) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= need)
+    good = good & (lacking(("a_low", "a_high"), ("b_low", "b_high")) <= n - need) & (lacking(("b_low", "b_high"), ("a_low", "a_high")) <= m - need)
+    pairs = met.filter(good).select("list", F.col("a_part").alias("part"), F.col("b_id").alias("id")).distinct()
+    pairs = wide(pairs, "list", "part")
+    both = pairs.join(left.select("list", "part", "tokens"), ["list", "part"]).join(right.select("list", "id", F.col("part").alias("text"), F.col("tokens").alias("others")), ["list", "id"])
+    shared = F.size(F.array_intersect("tokens", "others"))
+    scored = both.select("list", "part", "text", F.col("id").alias("canonical_id"), (shared / (F.size("tokens") + F.size("others") - shared)).alias("similarity")).filter(F.col("similarity") >= t)
+    return _best(scored.mapInArrow(_checked, "list string, part string, canonical_id string, similarity double"), "list", "part")
+
+
+def _windows(segment: Column, longest: Column) -> Column:
+    """All runs of up to `longest` words of a segment, without blanks, each once; the segment itself where longest is 0."""
+    held = F.split(segment, " ")
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(longest, F.size(held) - i)), lambda n: F.array_join(F.slice(held, i + 1, n), ""))
+    return F.when(longest > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(held) - 1), runs)))).otherwise(F.array(segment))
+
+
+def _exact(sizes: DataFrame, entries: DataFrame, longest: dict[str, int]) -> DataFrame:
+    """Values (list, val) that are a text of their list as it is, or in lists of phrases hold one, not as part of a longer word.
+
+    A value is looked at only for the entries whose first word it has; a text without a word is looked for in every value.
+    """
+    keys, run = ["list", "val"], r"([\p{L}]+)"
+    entries = entries.filter("list is not null and text is not null and text <> ''")
+    same = sizes.join(entries.select("list", F.col("text").alias("val")), keys, "left_semi").select(*keys)
+    if not longest:
+        return same
+    phrases = F.col("list").isin(*longest)
+    named = entries.filter(phrases).select("list", "text", F.regexp_extract("text", run, 1).alias("word"))  # as it is read, so that its size is known to the join
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("val", F.lit(run), 1)))
+    met = sizes.filter(phrases).select(*keys, F.explode_outer(words).alias("word")).join(named, ["list", "word"])
+    at = F.expr("instr(val, text)")
+    letter = lambda place: F.substring("val", place, F.lit(1)).rlike(r"\p{L}")
+    # Most stand alone where they first occur; a pattern for each entry is costly, and is for the others.
+    first = ((at == 1) | ~letter(at - 1)) & ~letter(at + F.length("text"))
+    quoted = F.regexp_replace("text", r"([^\p{L}\p{N}\s])", r"\\$1")
+    any_ = F.call_function("rlike", F.col("val"), F.concat(F.lit(r"(?<!\p{L})"), quoted, F.lit(r"(?!\p{L})")))
+    return same.unionByName(met.filter(at > 0).filter(first | any_).select(*keys))
+
+
+def map_values(values: DataFrame, entries: DataFrame, t: float, longest: dict[str, int] | None = None) -> DataFrame:
+    """The free-entered ones of values (columns, list, val), with columns canonical_id and similarity: the most similar entry of entries (list, id, text) of the same list, or '' and 0.
+
+    longest: lists whose entries may stand for any run of so many words of a value; in other lists a value stands for an entry as a whole. Values that are an entry as it is, or in these
+    lists hold one, are not free-entered and are left out, and so are null values and lists. Blank values match nothing and stay; ties go to the lesser id; repeated entries count once; empty entries leave all
+    unmatched. Other columns of values may have any names.
     """
-    rows = sorted({(r[0], r[1]) for r in entries.select("id", "text").filter("id is not null and text is not null").toLocalIterator()})
-    kinds = ", ".join(f"`{n}` {k}" for n, k in values.dtypes)
-    df, names = values.withColumn("val", F.coalesce("val", F.lit(""))), values.columns
-    blocks = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)] or [[]]
-    for k, block in enumerate(blocks):
-        df = df.mapInArrow(_matcher(SetIndex(block, t), split), f"{kinds}, canonical_id string, similarity double")
-        if k:
-            better = F.col("similarity") > F.col("_similarity")
-            df = df.select(*names, *(F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("canonical_id", "similarity")))
-        if k + 1 < len(blocks):
-            df = df.withColumnsRenamed({c: f"_{c}" for c in ("canonical_id", "similarity")})
-            kinds = ", ".join(f"`{n}` {d}" for n, d in df.dtypes)
-    return df
-
-
-def stands_in(c: Column, names: list[str]) -> Column:
-    """Whether any of the names stands in c as it is, not as part of a longer word."""
-    if not names:
-        return F.lit(False)
-    wanted = "|".join(sorted(re.sub(r"([^\w\s])", r"\\\1", n) for n in names))
-    return F.coalesce(c.rlike(rf"(?<!\p{{L}})(?:{wanted})(?!\p{{L}})"), F.lit(False))
+    longest = longest or {}
+    keys = ["list", "val"]
+    sizes = stored(values.filter("list is not null and val is not null").groupBy(*keys).agg(F.count("*").alias("_n")), "values")
+    free = stored(sizes.join(_exact(sizes, entries, longest), keys, "left_anti"), "free")
+    split = stored(free.select(*keys).mapInArrow(_split(longest), "list string, val string, parts array<string>").select(*keys, F.explode("parts").alias("segment")), "segments")
+    most = F.coalesce(*(F.when(F.col("list") == k, F.lit(n)) for k, n in longest.items()), F.lit(0))
+    windows = split.select("list", "segment").distinct().select("list", "segment", F.explode(_windows(F.col("segment"), most)).alias("part"))
+    best = stored(similar(wide(windows.select("list", "part").distinct()), entries, t), "similar")
+    found = _best(split.join(_best(windows.join(best, ["list", "part"]), "list", "segment"), ["list", "segment"]), *keys)
+    sized = free.join(found, keys, "left").withColumnsRenamed({"canonical_id": "_canonical_id", "similarity": "_similarity"})
+    joined = hot_join(values.withColumn("_row", F.xxhash64(*values.columns)), sized, keys, "_n", "_row", sizes=free)
+    return joined.select(*values.columns, F.coalesce("_canonical_id", F.lit("")).alias("canonical_id"), F.coalesce("_similarity", F.lit(0.0)).alias("similarity"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.text import words
-from annolake.operators.rarity import by_rarity, shares
+from annolake.operators.rarity import SIGNATURE, by_rarity, lacking, shares
 from annolake.operators.skew import hot_join, spread_join
 from annolake.session import cut_lineage
 
@@ -73,8 +73,7 @@ def _sets(each: DataFrame) -> DataFrame:
     """The texts as sets of hashes of words, with their number of words and a signature of 128 bits."""
     split = F.split("text", " ")
     held = each.select("class", F.size(split).alias("size"), F.array_distinct(F.transform(split, lambda w: F.xxhash64(w))).alias("tokens"))
-    half = "aggregate(tokens, 0L, (a, t) -> a | if({} (t & 4194304) = 0, shiftleft(1L, int(shiftright(t, 16) & 63)), 0L))"
-    return held.withColumns({"low": F.expr(half.format("")), "high": F.expr(half.format("not"))})
+    return held.withColumns(dict(zip(("low", "high"), map(F.expr, SIGNATURE))))
 
 
 def _postings(sets: DataFrame, table: Column, most: int, index: bool) -> DataFrame:
@@ -121,7 +120,7 @@ def same_classes(left: DataFrame, right: DataFrame, most: int, share: float = 0.
     # What one text has and the other lacks: before the first place, between the places, behind the second.
     spans = [(F.col(f"{s}_i"), F.greatest(F.col(f"{s}_j") - F.col(f"{s}_i") - 1, F.lit(0)), F.col(f"{s}_different") - F.col(f"{s}_j")) for s in "ab"]
     lacks = lambda x, y: sum((F.greatest(p - q, F.lit(0)) for p, q in zip(x, y)), F.lit(0))
-    marks = lambda x, y: F.bit_count(F.col(f"{x}_low").bitwiseAND(F.bitwise_not(f"{y}_low"))) + F.bit_count(F.col(f"{x}_high").bitwiseAND(F.bitwise_not(f"{y}_high")))
+    marks = lambda x, y: lacking((f"{x}_low", f"{x}_high"), (f"{y}_low", f"{y}_high"))
     close = joined.filter((F.abs(F.col("a_size") - F.col("b_size")) <= may) & (marks("a", "b") <= may) & (marks("b", "a") <= may) & (lacks(*spans) <= may) & (lacks(*spans[::-1]) <= may))
     pairs = close.select(F.col("a_class").alias("class"), F.col("b_class").alias("other")).distinct()
     texts = pairs.join(left.select("class", "text"), "class").join(right.select(F.col("class").alias("other"), F.col("text").alias("other_text")), "other")

@@ -11,7 +11,7 @@ from annolake.llm.canonical import canonical_fields
 from annolake.functions.text import blank, strip
 from annolake.llm.copies import copies
 from annolake.llm.leaks import leaks, near_leaks
-from annolake.llm.mapping import map_values, parts, stands_in
+from annolake.llm.mapping import map_values
 from annolake.llm.overlap import classes, members, near_same, same_classes
 from annolake.llm.packing import counter, pack
 from annolake.llm.residue import residue
@@ -111,25 +111,30 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("src", "first_id").agg((F.count("*") + 1).alias("copies"))
 
 
-#: Least Jaccard similarity of letter pairs; two slips in a name of seven letters still reach it.
-LEAST = 0.25
+#: Least Jaccard similarity of letters and letter pairs; two slips in a name of seven letters still reach it.
+LEAST = 0.45
 #: A brand name has up to three words, and a slip may part one of them.
 BRAND_WORDS = 4
 
 
+def _lists(spark: SparkSession, d: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Values (row_id, list, val) and canonical lists (list, id, text), a list for each field."""
+    nodes, full = table(spark, d, "intent_nodes"), table(spark, d, "hasaki_labelled_full")
+    name = lambda k: F.lit(k).alias("list")
+    label = F.expr("substring(node_id, instr(node_id, ':') + 1)")
+    entries = [nodes.filter(F.col("node_level") == f"l{k}").select(name(f"level_{k}"), F.col("node_id").alias("id"), label.alias("text")) for k in (1, 2, 3)]
+    entries.append(table(spark, d, "brand_list").select(name("product_name_raw"), F.col("brand_id").alias("id"), F.col("brand_name").alias("text")))
+    values = [full.select("row_id", name(f"level_{k}"), F.col(f"intent_3_level.level_{k}").alias("val")) for k in (1, 2, 3)]
+    values.append(spread(table(spark, d, "crawl_hasaki").select("row_id", name("product_name_raw"), F.col("product_name_raw").alias("val"))))
+    return [v.filter(~blank(F.col("val"))) for v in values], entries
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    labels, nodes, found = table(spark, d, "hasaki_labelled_full"), table(spark, d, "intent_nodes"), []
-    for k in (1, 2, 3):
-        entries = nodes.filter(F.col("node_level") == f"l{k}").select(F.col("node_id").alias("id"), F.expr("substring(node_id, instr(node_id, ':') + 1)").alias("text"))
-        values = labels.select("row_id", F.col(f"intent_3_level.level_{k}").alias("val")).filter(~blank(F.col("val")))
-        typed = values.join(entries.select(F.col("text").alias("val")).distinct(), "val", "left_anti").select("row_id", "val")
-        found.append(map_values(typed, entries, LEAST).select(F.lit("hasaki_labelled_full").alias("src"), "row_id", F.lit(f"level_{k}").alias("field_name"), "val", "canonical_id", "similarity"))
-    brands = table(spark, d, "brand_list").select(F.col("brand_id").alias("id"), F.col("brand_name").alias("text"))
-    names = [r.text for r in brands.filter("text is not null").toLocalIterator()]
-    products = table(spark, d, "crawl_hasaki").select("row_id", F.col("product_name_raw").alias("val"))
-    free = spread(products).filter(~blank(F.col("val")) & ~stands_in(F.col("val"), names))
-    found.append(map_values(free, brands, LEAST, parts(BRAND_WORDS)).select(F.lit("crawl_hasaki").alias("src"), "row_id", F.lit("product_name_raw").alias("field_name"), "val", "canonical_id", "similarity"))
-    return reduce(DataFrame.unionByName, found)
+    """All lists at once."""
+    values, entries = (reduce(DataFrame.unionByName, x) for x in _lists(spark, d))
+    found = map_values(values, entries, LEAST, {"product_name_raw": BRAND_WORDS})
+    src = F.when(F.col("list") == "product_name_raw", "crawl_hasaki").otherwise("hasaki_labelled_full").alias("src")
+    return found.select(src, "row_id", F.col("list").alias("field_name"), "val", "canonical_id", "similarity")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

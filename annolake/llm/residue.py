@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from annolake.functions.text import fold
 from annolake.operators.skew import sliced_join
 from annolake.session import stored
+from annolake.sources.tables import wide
 
 #: Share of a host's different texts from which a line is boilerplate.
 SHARE = 0.05
@@ -127,8 +128,7 @@ def residue(documents: DataFrame, share: float = SHARE) -> DataFrame:
 
     each = held.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("mark"))
     boilerplate = recurring(each)
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # judging is heavy for each row: as many tasks as that, however small the lines are together
-    judged = held.select(F.explode("lines").alias("line")).distinct().repartition(parts, "line").withColumn("kinds", kinds(F.col("line"))).filter("size(kinds) > 0")
+    judged = wide(held.select(F.explode("lines").alias("line")).distinct()).withColumn("kinds", kinds(F.col("line"))).filter("size(kinds) > 0")
     shape = F.xxhash64(F.regexp_replace("line", r"\b(?![45]\d\d\b)\d+", "0"))
     judged = stored(judged.select("line", F.xxhash64("line").alias("mark"), shape.alias("shape"), "kinds"), "evidence")
     # Few documents hold evidence; only their lines are looked at further.
