@@ -87,6 +87,13 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("src", "row_id", "field_name", "form")
 
 
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Affected fields that hold full-width characters, odd blanks, and letters whose parts are apart; a field may count under each."""
+    kinds = {"width": F.col("val").rlike(r"[\x{FF01}-\x{FF5E}]"), "blank": F.col("val").rlike(r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"), "apart": F.col("val").rlike(r"[a-zA-Z\x{C0}-\x{1EF9}][\x{300}\x{301}\x{303}\x{309}\x{323}]")}
+    counted = _forms(spark, d).groupBy("src", "field_name").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
+    return counted.select("src", "field_name", *kinds)
+
+
 RAW = ("product_id", "product_name", "user", "question", "date")
 
 
@@ -222,4 +229,4 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p5_sample": p5_sample, "p5_report": p5_report, "p7_unmatched": p7_unmatched, "p8_packed": p8_packed, "p8_usage": p8_usage, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p5_sample": p5_sample, "p5_report": p5_report, "p7_unmatched": p7_unmatched, "p8_packed": p8_packed, "p8_usage": p8_usage, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked, "p10_found": p10_found, "p10_report": p10_report}

@@ -65,6 +65,9 @@ ORACLES = {
     "p2_found": _OVERLAPS + "SELECT gold_id, train_id FROM found",
     "p2_report": _OVERLAPS + "SELECT split, label_source, count(*) AS pairs, count(DISTINCT gold_id) AS gold_rows, count(DISTINCT train_id) AS train_rows FROM found GROUP BY ALL",
     "p2_classes": _OVERLAPS + "SELECT gold_class, train_class, gold_rows, train_rows, count(*) OVER (PARTITION BY gold_class) AS links FROM pairs",
+    "p4_kinds": "WITH f AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS src, '{f}' AS field_name, {f} AS v FROM {t}" for t, f in (("crawl_hasaki", "question"), ("crawl_hasaki", "product_name_raw"), ("hasaki_labelled_full", "sentence")))
+    + r"), k AS (SELECT src, field_name, count(*) FILTER (regexp_matches(v, '[\x{FF01}-\x{FF5E}]')) AS width, count(*) FILTER (regexp_matches(v, '[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]')) AS blank, count(*) FILTER (regexp_matches(v, '[a-zA-Z\x{C0}-\x{1EF9}][\x{300}\x{301}\x{303}\x{309}\x{323}]')) AS apart FROM f GROUP BY ALL) SELECT * FROM k WHERE width + blank + apart > 0",
     "p5_report": _PLAN
     + """k AS (SELECT e.*, (SELECT count(*) FROM sample s WHERE s.category = e.category) AS kept, weight / sum(weight) OVER () AS target FROM e),
     o AS (SELECT *, kept - target * sum(kept) OVER () AS off, kept / sum(kept) OVER ()::DOUBLE AS share FROM k)

@@ -44,3 +44,29 @@ def test_prefilter_keeps_all(rows):
     texts = ["".join(random.choices(pool, k=4)) for _ in range(3000)] + [x for x in pool]
     got = rows(list(enumerate(texts)), "i int, t string").select("i", c.suspect(F.col("t")).alias("s")).collect()
     assert all(r.s for r in got if c.canonical(texts[r.i]) != texts[r.i])
+
+
+@pytest.mark.parametrize("text, form", [
+    ("K Å Ω ι", "K Å Ω ι"), ("ꓢerum ᎪBC", "Serum ABC"), ("tıền ðang ɡood", "tiền đang good"), ("ÐHQG ÐẶT LácÐác", "ĐHQG ĐẶT LácĐác"), ("е̣̂m", "ệm"), ("ｅ̣̂", "ệ"), ("e​́m", "ém"),
+])
+def test_rules_bound_to_words(text, form):
+    assert c.canonical(text) == form and c.canonical(form) == form
+
+
+@pytest.mark.parametrize("text", ["հասարակ", "Isık ılık", "Það ð VIÐ", "ᏣᎳᎩ", "ꓡꓲ-ꓢꓴ", "/ɡʊd/"])
+def test_words_of_other_scripts(text):
+    assert c.canonical(text) == text
+
+
+def test_conflicts_are_errors():
+    rules = c.Rules()
+    rules.add("a", "b")
+    with pytest.raises(ValueError):
+        rules.add("a", "c")
+    rules.add("b", "c")
+    with pytest.raises(ValueError):
+        rules.checked()
+
+
+def test_longest_match():
+    assert c.Trie({"a": "1", "abc": "2", "b": "3"}).run("abcabdx") == "213dx"
