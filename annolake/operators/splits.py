@@ -46,31 +46,32 @@ def split(df: DataFrame, key: str, train: float, val: float, least: int, seed: i
 def coverage_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     """`size` rows of df (l2, l3, key) with `phase`: first a row of each l2 (if they fit), then of each l3 not yet there, rarest first, then l2 by their shares, then any.
 
-    Every phase keeps `size` rows of any class at most, so that ranks are needed among few rows only.
+    Two passes over the rows: one makes a row per pair of labels, which is enough for the first two phases and the shares; the other keeps the first 2 x size rows of each l2, among which
+    the rows of the last two are. What follows is over these few rows.
     """
-    rows = df.withColumn("_h", F.struct(order_hash(seed, key), F.col(key)))
-    first = lambda by: rows.groupBy(by).agg(F.min("_h").alias("_h"), F.count("*").alias("_n"))
-    l2s = first("l2")
-    fits = l2s.agg((F.count("*") <= size).alias("_fits"))
-    one = l2s.join(F.broadcast(fits)).filter("_fits").select("_h")
-    covered = rows.join(one, "_h", "left_semi").select("l3").distinct()
-    used = one.agg(F.count("*").alias("_used"))
-    open_ = first("l3").join(covered.withColumnRenamed("l3", "_c"), F.col("l3").eqNullSafe(F.col("_c")), "left_anti")
-    two = open_.withColumn("_r", F.row_number().over(Window.orderBy("_n", F.col("l3").asc_nulls_first()))).join(F.broadcast(used)).filter(F.col("_r") <= size - F.col("_used")).select("_h")
-    taken = one.withColumn("phase", F.lit(1)).unionByName(two.withColumn("phase", F.lit(2)))
-    left = taken.agg((F.lit(size) - F.count("*")).alias("_left"))
-    total = rows.agg(F.count("*").alias("_total"))
-    every = Window.partitionBy()
-    target = l2s.join(F.broadcast(left)).join(F.broadcast(total)).withColumn("_t", F.rint(F.col("_left") * F.col("_n") / F.col("_total")).cast("bigint"))
-    largest = F.row_number().over(Window.orderBy(F.desc("_n"), "l2")) == 1
-    target = target.withColumn("_off", F.sum("_t").over(every) - F.col("_left")).withColumn("_t", F.col("_t") + F.when(largest, F.greatest(-F.col("_off"), F.lit(0))).otherwise(0))
-    before = F.coalesce(F.sum("_t").over(Window.orderBy("_t", "l2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = target.withColumn("_t", F.col("_t") - F.least(F.col("_t"), F.greatest(F.lit(0), F.col("_off") - before))).select(F.col("l2").alias("_l2"), "_t")
-    free = rows.join(taken.select("_h"), "_h", "left_anti")
-    ranked = free.withColumn("_r", F.row_number().over(Window.partitionBy("l2").orderBy("_h"))).filter(F.col("_r") <= size)
-    three = ranked.join(target, F.col("l2").eqNullSafe(F.col("_l2"))).filter("_r <= _t").select("_h")
-    some = taken.unionByName(three.withColumn("phase", F.lit(3)))
-    missing = some.agg((F.lit(size) - F.count("*")).alias("_missing"))
-    rest = rows.join(some.select("_h"), "_h", "left_anti").select("_h").orderBy("_h").limit(size)
-    four = rest.withColumn("_r", F.row_number().over(Window.orderBy("_h"))).join(F.broadcast(missing)).filter("_r <= _missing").select("_h", F.lit(4).alias("phase"))
-    return rows.join(some.unionByName(four), "_h").drop("_h")
+    rows = df.select(F.struct(order_hash(seed, key).alias("h"), F.col(key).alias("k")).alias("_h"), F.struct(*df.columns).alias("_row"), "l2", "l3")
+    every, l2, l3 = Window.partitionBy(), Window.partitionBy("l2"), Window.partitionBy("l3")
+    pairs = rows.groupBy("l2", "l3").agg(F.min(F.struct("_h", "_row")).alias("f"), F.count("*").alias("n")).select("l2", "l3", "n", "f.*")
+    pairs = pairs.withColumns({"n2": F.sum("n").over(l2), "n3": F.sum("n").over(l3), "r2": F.row_number().over(l2.orderBy("_h")), "r3": F.row_number().over(l3.orderBy("_h"))})
+    head = F.col("r2") == 1
+    pairs = pairs.withColumn("one", head & (F.sum(head.cast("int")).over(every) <= size)).withColumn("open", (F.col("r3") == 1) & ~F.max("one").over(l3))
+    rank = F.row_number().over(every.orderBy(F.desc("open"), "n3", F.col("l3").asc_nulls_first()))
+    pairs = pairs.withColumn("two", F.col("open") & (rank <= size - F.sum(F.col("one").cast("int")).over(every)))
+    pairs = pairs.withColumn("phase", F.when(F.col("one"), 1).when(F.col("two"), 2))
+    # Of what is left, each l2 has its share; the largest takes what rounding leaves, and the smallest give back what it takes too much.
+    left = F.lit(size) - F.count("phase").over(every)
+    pairs = pairs.withColumn("_left", left).withColumn("_t", F.when(head, F.rint(F.col("_left") * F.col("n2") / F.sum("n").over(every)).cast("bigint")))
+    pairs = pairs.withColumn("_off", F.sum("_t").over(every) - F.col("_left"))
+    largest = F.row_number().over(every.orderBy(F.desc(head), F.desc("n2"), "l2")) == 1
+    pairs = pairs.withColumn("_t", F.col("_t") + F.when(largest, F.greatest(-F.col("_off"), F.lit(0))).otherwise(0))
+    before = F.coalesce(F.sum("_t").over(every.orderBy(F.col("_t").asc_nulls_last(), "l2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = pairs.withColumn("_quota", F.col("_t") - F.least(F.col("_t"), F.greatest(F.lit(0), F.col("_off") - before)))
+    heads = rows.withColumn("r", F.row_number().over(l2.orderBy("_h"))).filter(F.col("r") <= 2 * size)
+    shown = ("l2", "_h", "_row", "phase", "_quota")
+    few = pairs.select(*shown).unionByName(heads.select("l2", "_h", "_row", F.lit(None).cast("int").alias("phase"), F.lit(None).cast("bigint").alias("_quota")))
+    few = few.withColumn("_quota", F.max("_quota").over(l2)).withColumn("_once", F.row_number().over(Window.partitionBy("l2", "_h").orderBy(F.col("phase").asc_nulls_last()))).filter("_once = 1")
+    few = few.withColumn("_free", F.row_number().over(l2.orderBy(F.col("phase").isNotNull(), "_h")))
+    few = few.withColumn("phase", F.when(F.col("phase").isNull() & (F.col("_free") <= F.col("_quota")), 3).otherwise(F.col("phase")))
+    few = few.withColumn("_rest", F.row_number().over(every.orderBy(F.col("phase").isNotNull(), "_h"))).withColumn("_missing", F.lit(size) - F.count("phase").over(every))
+    few = few.withColumn("phase", F.when(F.col("phase").isNull() & (F.col("_rest") <= F.col("_missing")), 4).otherwise(F.col("phase")))
+    return few.filter("phase is not null").select("_row.*", "phase")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.functions.text import blank, strip
-from annolake.operators.compare import diff, latest
+from annolake.operators.compare import diff, hashed, latest
 from annolake.operators.packed import explode_packed
 from annolake.sources.tables import spread, table
 
@@ -19,25 +19,36 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return explode_packed(spread(table(spark, d, "unified_intents").select("row_id", *PACKED)), "row_id", PACKED)
 
 
-def _sides(spark: SparkSession, d: str) -> DataFrame:
-    def filled(name: str):  # null equals blank
-        c = F.col(name)
-        return F.when(blank(c), F.lit(None)).otherwise(c)
+COPIES = ("hasaki_labelled_clean", "hasaki_labelled_full_verified")
+
+
+def _fields() -> dict:
+    """What is compared of a row; null equals blank in text."""
+    text = {f.split(".")[-1]: F.when(~blank(F.col(f)), F.col(f)) for f in ("sentence", "category", *(f"intent_3_level.level_{k}" for k in (1, 2, 3)), "qa_status")}
+    return text | {"confidence": F.when(F.col("confidence").isNotNull(), F.format_string("%.4f", F.round("confidence", 4)))}
 
-    def side(name: str) -> tuple[DataFrame, int]:
-        df = table(spark, d, name)
-        text = {f.split(".")[-1]: filled(f) for f in ("sentence", "category", *(f"intent_3_level.level_{k}" for k in (1, 2, 3)), "qa_status")}
-        fields = text | {"confidence": F.when(F.col("confidence").isNotNull(), F.format_string("%.4f", F.round("confidence", 4)))}
-        return latest(df, F.lower(strip(F.col("sample_id"))), fields, ("updated_at", "row_id")), df.count()
 
-    (clean, n), (verified, m) = side("hasaki_labelled_clean"), side("hasaki_labelled_full_verified")
-    return diff(clean, verified, COMPARED, ("clean", "verified"), n + m)
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """Findings, by hashes of the fields, with the rows that they were found in."""
+    fields = {f: hashed(c) for f, c in _fields().items()} | {"row_id": F.col("row_id")}
+    clean, verified = (latest(table(spark, d, t), F.lower(strip(F.col("sample_id"))), fields, ("updated_at", "row_id")) for t in COPIES)
+    return diff(clean, verified, COMPARED, ("clean", "verified"), "row_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _sides(spark, d).select(F.col("key").alias("sample_id"), "finding")
 
 
+def p3_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells that differ, with both values; only rows that differ are looked up."""
+    found = _sides(spark, d).filter(~F.col("finding").startswith("missing_in_")).select(F.col("key").alias("sample_id"), "finding", "left_row_id", "right_row_id")
+    for side, t in zip(("left", "right"), COPIES):
+        cells = F.map_from_arrays(F.array(*(F.lit(f) for f in _fields())), F.array(*_fields().values())).alias("cells")
+        rows = table(spark, d, t).select(F.col("row_id").alias(f"{side}_row_id"), cells)
+        found = found.join(rows, f"{side}_row_id").withColumn(f"{side}_value", F.element_at("cells", F.col("finding"))).drop("cells")
+    return found.select("sample_id", "finding", F.col("left_value").alias("in_clean"), F.col("right_value").alias("in_verified"))
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return _sides(spark, d).groupBy("finding").agg(F.count("*").alias("n"), F.count("left_value").alias("in_clean"), F.count("right_value").alias("in_verified"))
 
@@ -64,9 +75,10 @@ found AS (
   WHERE a.k IS NULL AND b.f = 'sentence' OR b.k IS NULL AND a.f = 'sentence' OR a.k IS NOT NULL AND b.k IS NOT NULL AND a.v IS DISTINCT FROM b.v)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_cells": p3_cells, "p3_report": p3_report}
 ORACLES = {
     "p3_found": _DIFF + "SELECT sample_id, finding FROM found",
+    "p3_cells": _DIFF + "SELECT sample_id, finding, CASE WHEN finding = 'confidence' THEN printf('%.4f', va::DOUBLE / 10000) ELSE va END AS in_clean, CASE WHEN finding = 'confidence' THEN printf('%.4f', vb::DOUBLE / 10000) ELSE vb END AS in_verified FROM found WHERE finding NOT LIKE 'missing%'",
     "p3_report": _DIFF
     + """SELECT finding, count(*) AS n,
       count(*) FILTER (WHERE finding NOT LIKE 'missing%' AND va IS NOT NULL) AS in_clean, count(*) FILTER (WHERE finding NOT LIKE 'missing%' AND vb IS NOT NULL) AS in_verified

@@ -6,7 +6,7 @@ FIELDS = ("a", "b")
 
 
 def found(left, right):
-    return sorted((r.key, r.finding, r.left_value, r.right_value) for r in diff(left, right, FIELDS, ("l", "r"), 10).collect())
+    return sorted((r.key, r.finding, r.left_value, r.right_value) for r in diff(left, right, FIELDS, ("l", "r")).collect())
 
 
 def test_findings(rows):
