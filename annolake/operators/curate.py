@@ -26,9 +26,36 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).join(b.select(key), key, "left_semi").distinct()
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """current with the newest row of each key among both; order tells the rows of a key apart."""
-    return one_per_key(current.unionByName(changes), [key], F.col(order), last=True)
+def upsert(current: DataFrame, changes: DataFrame, key: str, order: str, on_insert: tuple[str, ...] = ()) -> DataFrame:
+    """current with the newest row of each key among both; order tells the rows of a key apart. Columns on_insert keep what the oldest row of the key has, as they are set once."""
+    both = current.unionByName(changes)
+    if not on_insert:
+        return one_per_key(both, [key], F.col(order), last=True)
+    first = F.struct(*on_insert)
+    kept = both.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*both.columns), F.col(order)).alias("_row"), F.min_by(first, F.col(order)).alias("_first"))
+    return kept.select(*(F.col(f"_first.{c}" if c in on_insert else f"_row.{c}").alias(c) for c in both.columns))
+
+
+def offset_rows(df: DataFrame, order: str, offset: int, limit: int | None = None) -> DataFrame:
+    """Rows of df from `offset` on, of which order counts them from 0, `limit` at most. An offset that is negative, or not below the number of rows, is an error when rows are read; so is one into an empty table."""
+    rows = df.agg(F.count("*").alias("n")).scalar()
+    if offset < 0:
+        raise ValueError(f"offset {offset} is negative")
+    begin = F.when(rows > offset, F.lit(offset)).otherwise(F.raise_error(F.concat(F.lit(f"offset {offset} is out of range: rows "), rows.cast("string"))).cast("int"))
+    kept = df.filter(F.col(order) >= begin)
+    return kept if limit is None else kept.filter(F.col(order) < offset + limit)
+
+
+def only_approved(df: DataFrame, status: str, approved: str) -> DataFrame:
+    """Rows whose status is `approved`, if any row has a status; all rows, if none has."""
+    any_ = df.agg(F.coalesce(F.max(F.coalesce(F.col(status), F.lit("")) != ""), F.lit(False)).alias("any")).scalar()
+    return df.filter(~any_ | (F.coalesce(F.col(status), F.lit("")) == approved))
+
+
+def updated(df: DataFrame, where: Column, changes: dict[str, Column]) -> DataFrame:
+    """df with the columns changed in rows where the condition holds; null is no. What a dry run counts are the rows where it holds."""
+    hit = F.coalesce(where, F.lit(False))
+    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()})
 
 
 def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:

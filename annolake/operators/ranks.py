@@ -26,3 +26,14 @@ def group_rank(df: DataFrame, group: str, order: Column, ties: list[str], name:
     own = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_order", *ties))
     joined = held.withColumn("_own", own).join(offsets, [group, "_bucket"])
     return joined.withColumn(name, F.col("_before") + F.col("_own")).drop("_order", "_bucket", "_before", "_own")
+
+
+def total_rank(df: DataFrame, bucket: list[str], order: list[str], name: str) -> DataFrame:
+    """df with column `name`: the rank from 1 of each row in the order of the columns `bucket`, then `order`.
+
+    Rows are ranked within their bucket, and the counts of the buckets (a row each) are summed up in their order. Choose buckets so that none holds many rows; they may not be null.
+    """
+    counts = df.groupBy(*bucket).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))
+    return df.withColumn("_own", own).join(counts.select(*bucket, before.alias("_before")), bucket).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before")
