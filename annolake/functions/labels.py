@@ -51,3 +51,15 @@ def gold_or_machine(gold: list[Column], machine: list[Column]) -> list[Column]:
 def prefer(first: list[Column], second: list[Column]) -> list[Column]:
     """Per level the first label, or the second where that is blank."""
     return [F.coalesce(F.nullif(a, F.lit("")), b, F.lit("")) for a, b in zip(first, second)]
+
+
+def annotated(now: Column, before: Column) -> list[Column]:
+    """The levels of an annotation: levels 1 and 2 from before where they are blank, level 3 only where the annotation has none at all; null is empty."""
+    pick = lambda k: F.coalesce(F.nullif(now.getField(k), F.lit("")), before.getField(k), F.lit(""))
+    return [pick("level_1"), pick("level_2"), F.coalesce(now.getField("level_3"), before.getField("level_3"), F.lit(""))]
+
+
+def prediction(intent: Column, confidence: Column, reasoning: Column) -> Column:
+    """A labelled row as a prediction: struct(L1, L2, L3, confidence, reasoning, is_new_label)."""
+    levels = [F.coalesce(intent.getField(f"level_{k}"), F.lit("")).alias(f"L{k}") for k in (1, 2, 3)]
+    return F.struct(*levels, F.coalesce(confidence.cast("string").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(reasoning, F.lit("")).alias("reasoning"), F.lit(False).alias("is_new_label"))

@@ -77,8 +77,8 @@ def _shape(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
 
 
-def hashed_words(size: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """A factory of an encoder without weights: each word adds to a place of its hash, and vectors have length one. It stands in where no model is at hand."""
+def hashed_words(size: int = 64, unit: bool = True) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A factory of an encoder without weights: each word adds to a place of its hash, and vectors have length one (or are counts, if not `unit`). It stands in where no model is at hand."""
 
     def factory() -> Callable[[list[str]], np.ndarray]:
         def model(texts: list[str]) -> np.ndarray:
@@ -87,7 +87,7 @@ def hashed_words(size: int = 64) -> Callable[[], Callable[[list[str]], np.ndarra
                 for w in t.lower().split():
                     h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
                     out[i, h % size] += 1 if h >> 63 else -1
-            return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+            return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9) if unit else out
 
         return model
 

@@ -46,3 +46,8 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFram
     best = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("all"), F.lit(k)).cast("int")), F.lit(0.0), lambda done, i: done + 1 / F.log2(i + 1))
     rows = [F.struct(F.lit(k).alias("k"), F.avg(F.col(f"hit{k}") / F.col("all")).alias("recall"), F.avg(F.when(F.col("first") <= k, 1.0 / F.col("first")).otherwise(0.0)).alias("mrr"), F.avg(F.col(f"gain{k}") / best(k)).alias("ndcg")) for k in ks]
     return each.agg(F.array(*rows).alias("r")).select(F.inline("r")).select("k", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
+
+
+def by_configuration(results: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """Per configuration: mean and sample deviation (null for one run) of each measure over its runs."""
+    return results.groupBy(*by).agg(F.count("*").alias("runs"), *(f(m).alias(f"{m}_{name}") for m in measures for f, name in ((lambda c: F.round(F.avg(c), 6), "mean"), (lambda c: F.round(F.stddev_samp(c), 6), "deviation"))))

@@ -1,18 +1,17 @@
-"""Finding candidate labels: by words, by vectors, and both. The queries, a set of checked size, are sent to the data in blocks."""
+"""Finding candidate labels: by words, by vectors, and both. Query vectors are sent to the data in blocks of a fixed size; words are joined."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers (queries x dimensions) of one block, and nodes of one block.
-BLOCK_NUMBERS, BLOCK_NODES = 8_000_000, 20_000
+#: Numbers (queries x dimensions) of one block.
+BLOCK_NUMBERS = 8_000_000
 
 
 def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0) -> DataFrame:
@@ -60,42 +59,35 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int, least: float):
     return run
 
 
-def top_keywords(queries: DataFrame, nodes: DataFrame, k: int, bonus: float = 0.2) -> DataFrame:
+def _grams(c: Column) -> Column:
+    """The runs of two and of three characters of a text, each once."""
+    n = F.length(c)
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(runs(2), runs(3)))
+
+
+def top_keywords(queries: DataFrame, nodes: DataFrame, k: int, bonus: float = 0.2, pool: int | None = None) -> DataFrame:
     """(query_id, node_id, score, rank): for each row of queries (id, text, category) the k nodes (node_id, text, category, key) whose text holds most of its words.
 
     A word of two letters or more counts once, wherever it stands in the node's text; `bonus` is added where a word of the query's category (three letters or more) stands in the node's.
-    Of nodes with one key the best counts. Ties go to the lesser node id. Nodes are sent in blocks; null texts hold nothing.
+    Of the best `pool` nodes (max(4k, k + 8), if not given) the best one of each key counts. Ties go to the lesser node id. Null texts hold nothing.
+    The nodes are indexed by runs of letters: each different word of the queries is looked up once, by its first three letters, and tested in the nodes that have these.
     """
-    held = [(r.node_id, (r.text or "").lower(), (r.category or "").lower(), r.key) for r in nodes.select("node_id", "text", "category", "key").orderBy("node_id").toLocalIterator()]
-    parts = []
-    for begin in range(0, max(len(held), 1), BLOCK_NODES):
-        rows = queries.select("id", "text", "category").mapInArrow(_scored(held[begin : begin + BLOCK_NODES], k, bonus), "query_id bigint, node_id string, key string, score double")
-        parts.append(rows)
+    found = lambda c, least: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)), lambda w: F.length(w) >= least)
+    asked = queries.select(F.col("id").alias("query_id"), found("text", 2).alias("words"), found("category", 3).alias("wanted"))
+    words = asked.select("query_id", F.explode("words").alias("word"))
+    known = nodes.select("node_id", F.lower(F.coalesce("text", F.lit(""))).alias("blob"), F.lower(F.coalesce("category", F.lit(""))).alias("place"), "key")
+    index = known.select("node_id", "blob", F.explode_outer(_grams(F.col("blob"))).alias("gram")).filter("gram is not null")
+    each = words.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
+    holds = each.join(index, "gram").filter(F.contains("blob", "word")).select("word", "node_id")
+    hits = words.join(holds, "word").groupBy("query_id", "node_id").agg(F.count("*").alias("hits"))
+    both = hits.join(asked.select("query_id", "wanted"), "query_id").join(known.select("node_id", "place", "key"), "node_id")
+    scored = both.withColumn("score", F.col("hits") + F.when(F.exists("wanted", lambda w: F.contains(F.col("place"), w)), bonus).otherwise(0.0))
+    own = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "node_id"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "node_id"))).filter("_k = 1").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
-
-
-def _scored(nodes: list[tuple], k: int, bonus: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for query, text, category in zip(*(b.column(c).to_pylist() for c in ("id", "text", "category"))):
-                own = {w for w in re.findall(r"\w+", (text or "").lower()) if len(w) >= 2}
-                wanted = [w for w in re.findall(r"\w+", (category or "").lower()) if len(w) >= 3]
-                best: dict = {}
-                for node, blob, place, key in nodes:
-                    hits = sum(w in blob for w in own)
-                    if hits:
-                        score = hits + bonus * any(w in place for w in wanted)
-                        if key not in best or score > best[key][1]:
-                            best[key] = (node, score)
-                top = sorted(best.items(), key=lambda x: (-x[1][1], x[1][0]))[:k]
-                out += [(query, node, key, score) for key, (node, score) in top]
-            columns = list(zip(*out)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "node_id", "key", "score"])
-
-    return run
+    few = scored.withColumn("_p", F.row_number().over(best)).filter(F.col("_p") <= (pool or max(4 * k, k + 8)))
+    once = few.withColumn("_k", own).filter("_k = 1")
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
 
 
 def union_ranked(sources: list[DataFrame], cap: int) -> DataFrame:

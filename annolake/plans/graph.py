@@ -169,7 +169,7 @@ q AS (SELECT row_id AS query_id, product_id, list_filter(list_distinct(regexp_ex
   list_filter(regexp_extract_all(lower(coalesce(category_name, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3) AS c FROM crawl_hasaki WHERE row_id % 100 = 0),
 s AS (SELECT query_id, node_id, key, len(list_filter(w, lambda x: contains(blob, x))) AS hits, len(list_filter(c, lambda x: contains(place, x))) AS places FROM q, n),
 d AS (SELECT *, hits + CASE WHEN places > 0 THEN 0.2::DOUBLE ELSE 0 END AS score FROM s WHERE hits > 0),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, node_id) AS rk FROM d) WHERE rk = 1),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, node_id) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS pr FROM d) WHERE pr <= @pool) WHERE rk = 1),
 kw AS (SELECT query_id, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM k)
 """.replace("{{", "{").replace("}}", "}")
 
@@ -191,8 +191,8 @@ ORACLES = {
     + ", ".join(f"coalesce(nullif(intent_3_level.level_{k}, ''), intent_3_level_before_reverify.level_{k}, '') AS n{k}, coalesce(intent_3_level_before_reverify.level_{k}, '') AS b{k}" for k in (1, 2, 3))
     + " FROM hasaki_labelled_full_verified) SELECT row_id, n1 || '::' || n2 || '::' || n3 AS label, n1 || '::' || n2 || '::' || n3 <> b1 || '::' || b2 || '::' || b3 AS changed FROM r",
     "node_vectors": "SELECT node_level, count(*) AS n, 64 AS size FROM intent_nodes GROUP BY 1",
-    "keyword_retrieval": _KEYWORDS + "SELECT * FROM kw WHERE rank <= 10",
-    "union_retrieval": _KEYWORDS + """, u AS (SELECT product_id, 'l3:' || intent_3_level.level_3 AS node_id, count(*) AS n FROM hasaki_labelled_full WHERE intent_3_level.level_3 IS NOT NULL AND product_id IS NOT NULL GROUP BY 1, 2),
+    "keyword_retrieval": _KEYWORDS.replace("@pool", "40") + "SELECT * FROM kw WHERE rank <= 10",
+    "union_retrieval": _KEYWORDS.replace("@pool", "24") + """, u AS (SELECT product_id, 'l3:' || intent_3_level.level_3 AS node_id, count(*) AS n FROM hasaki_labelled_full WHERE intent_3_level.level_3 IS NOT NULL AND product_id IS NOT NULL GROUP BY 1, 2),
       b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, node_id) AS rank FROM u),
       a AS (SELECT query_id, node_id, 0 AS s, rank FROM kw WHERE rank <= 6 UNION ALL SELECT query_id, node_id, 1, rank FROM q JOIN b ON q.product_id = b.product_id WHERE rank <= 4),
       o AS (SELECT query_id, node_id, min(s * 1000 + rank) AS place FROM a GROUP BY 1, 2) SELECT * FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY place, node_id) AS rank FROM o) WHERE rank <= 8""",

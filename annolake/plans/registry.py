@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from annolake.plans import graph, labels, labels_sql, quality, runs
+from annolake.plans import graph, inventory, labels, labels_sql, quality, runs
 
-MODULES = (quality, labels, graph, runs)
-SQL = (quality, labels_sql, graph, runs)
+MODULES = (quality, labels, graph, runs, inventory)
+SQL = (quality, labels_sql, graph, runs, inventory)
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,23 +24,25 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return text.select(F.posexplode(rows).alias("_ord", "_row")).select("_row.*", "_ord")
 
 
-def write_results(df: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
-    """df as JSON lines, one file per partition, and what is known about it beside it as a table of one row."""
-    df.write.mode("overwrite").json(f"{path}/{RECORDS}")
-    if meta:
-        spark = df.sparkSession
-        spark.range(1).select(*(F.lit(v).alias(k) for k, v in meta.items())).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+def write_results(df: DataFrame, path: str, meta: dict[str, str] | None = None, order: str = "_ord", size: int = 200) -> None:
+    """df as JSON files of one envelope each, {meta..., "num_samples": n, "results": [...]}, of `size` consecutive rows by the column `order`, which counts the rows from 0 and is not written."""
+    shown = [c for c in df.columns if c != order]
+    rows = df.select(F.floor(F.col(order) / size).alias("chunk"), F.struct(F.col(order).alias("at"), F.struct(*shown).alias("row")).alias("x"))
+    each = rows.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.row).alias(RECORDS))
+    fields = [F.lit(v).alias(k) for k, v in (meta or {}).items()]
+    whole = F.to_json(F.struct(*fields, F.size(RECORDS).alias("num_samples"), F.col(RECORDS)))
+    each.select("chunk", whole.alias("value")).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """CSV with a header, all columns text; columns that the file lacks are null, and nothing is inferred."""
-    held = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    held = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return held.select(*(F.col(c) if c in held.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """The columns named, and no others, with a header."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_chunks(df: DataFrame, path: str, order: str, size: int = 200) -> None:
@@ -48,11 +51,28 @@ def write_chunks(df: DataFrame, path: str, order: str, size: int = 200) -> None:
 
 
 def done_ids(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Ids that earlier output holds; none where there is no output that can be read."""
+    """Ids that earlier output holds. Where nothing was written yet there are none, and damaged files are passed over; any other failure is an error."""
+    none = spark.createDataFrame([], T.StructType([T.StructField(key, T.StringType())]))
     try:
-        return spark.read.parquet(path).select(key).distinct()
-    except Exception:  # nothing was written yet, or it is damaged: all is still to do
-        return spark.createDataFrame([], T.StructType([T.StructField(key, T.StringType())]))
+        return spark.read.option("ignoreCorruptFiles", True).parquet(path).select(key).distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return none
+        raise
+
+
+def write_over(df: DataFrame, path: str) -> None:
+    """df as Parquet at path; what was there is kept beside it as path.1, path.2 and so on, and is moved only after df is written."""
+    spark = df.sparkSession
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if files.exists(of(path)):
+        n = 1
+        while files.exists(of(f"{path}.{n}")):
+            n += 1
+        files.rename(of(path), of(f"{path}.{n}"))
+    files.rename(of(f"{path}.new"), of(path))
 
 
 def resume(df: DataFrame, path: str, key: str) -> DataFrame:
