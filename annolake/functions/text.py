@@ -42,9 +42,14 @@ def fold(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), source, target)
 
 
+def spaced_words(c: Column) -> Column:
+    """The words (runs of letters and digits) of the folded text, in order, with blanks between."""
+    return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))
+
+
 def words(c: Column) -> Column:
-    """The words (runs of letters and digits) of the folded text, in order."""
-    return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """The words of the folded text, in order."""
+    return F.filter(F.split(spaced_words(c), " "), lambda w: w != "")
 
 
 def slug(c: Column) -> Column:
