@@ -5,7 +5,7 @@ Terms are pairs of neighbouring words (a next-word index), as single words stand
 terms of an evaluation text, the rarest one is joined with its postings, which gives places where the text may begin (diagonals). The postings of the other terms around it,
 shifted by their offsets, are intersected with these places, and consecutive hits of a diagonal are runs. Nothing goes through the driver; a term's postings are cut into slices.
 
-Terms are hashes of 64 bits: a pair of words is taken for another with a chance of 2^-64, and a passage only if that befalls it within an otherwise equal run.
+Terms and postings are told apart by hashes of 64 bits: one is taken for another with a chance of 2^-64, and a passage only if that befalls it within an otherwise equal run.
 """
 
 from __future__ import annotations
@@ -65,14 +65,16 @@ def passages(documents: DataFrame, items: DataFrame, seed: int) -> DataFrame:
     none = F.lit(None).cast("int")
     behind = F.when(F.col("j") > F.col("begin"), F.col("before")).otherwise(none).alias("item_before")
     ahead = F.when(F.col("j") < F.col("begin") + seed - 2, F.col("after")).otherwise(none).alias("item_after")
-    anchors = windows.select("item_id", "term", "j", behind, ahead).distinct()
+    anchors = stored(windows.select("item_id", "term", "j", behind, ahead).distinct(), "anchors")
     spread = anchors.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     found = postings.withColumn("slice", _slice()).join(spread, ["term", "slice"])
     found = found.filter(F.coalesce(F.col("before") == F.col("item_before"), F.lit(True)) & F.coalesce(F.col("after") == F.col("item_after"), F.lit(True)))
     places = found.select("doc_id", "item_id", (F.col("pos") - F.col("j")).alias("diagonal"), F.col("j").alias("at"))
     around = own.select("item_id", "term", "j").join(anchors.select("item_id", F.col("j").alias("at")).distinct(), "item_id").filter(F.abs(F.col("j") - F.col("at")) <= seed - 2)
     wanted = places.join(around, ["item_id", "at"]).select("doc_id", "item_id", "diagonal", "j", "term", (F.col("diagonal") + F.col("j")).alias("pos")).distinct()
-    hits = wanted.join(postings.select("term", "doc_id", "pos"), ["term", "doc_id", "pos"]).select("doc_id", "item_id", "diagonal", "j").distinct()
+    # Postings are moved as one number each.
+    mark = F.xxhash64("term", "doc_id", "pos").alias("posting")
+    hits = wanted.select("doc_id", "item_id", "diagonal", "j", mark).join(postings.select(mark), "posting", "left_semi").drop("posting")
     return _runs(hits, seed)
 
 
