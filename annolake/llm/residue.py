@@ -128,7 +128,9 @@ def residue(documents: DataFrame, share: float = SHARE) -> DataFrame:
 
     each = held.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("mark"))
     boilerplate = recurring(each)
-    judged = wide(held.select(F.explode("lines").alias("line")).distinct()).withColumn("kinds", kinds(F.col("line"))).filter("size(kinds) > 0")
+    # Written before they are judged: a filter on what was judged would else be moved before distinct().
+    different = stored(wide(held.select(F.explode("lines").alias("line")).distinct()), "different")
+    judged = different.withColumn("kinds", kinds(F.col("line"))).filter("size(kinds) > 0")
     shape = F.xxhash64(F.regexp_replace("line", r"\b(?![45]\d\d\b)\d+", "0"))
     judged = stored(judged.select("line", F.xxhash64("line").alias("mark"), shape.alias("shape"), "kinds"), "evidence")
     # Few documents hold evidence; only their lines are looked at further.
@@ -137,6 +139,7 @@ def residue(documents: DataFrame, share: float = SHARE) -> DataFrame:
     known = boilerplate.join(proven.select("host", "mark").distinct(), ["host", "mark"], "left_semi").unionByName(recurring(proven.select("host", "key", F.col("shape").alias("mark"))))
     known = known.distinct()
     suspect = sliced_join(proven.select("host", "key", F.explode(F.array("mark", "shape")).alias("mark")), known, ["host", "mark"], "key", "left_semi").select("host", "key").distinct()
+    suspect = stored(suspect, "suspect")
     other = each.join(suspect, ["host", "key"], "left_semi").join(proven.select("host", "key", "mark").distinct(), ["host", "key", "mark"], "left_anti")
     other = sliced_join(other, boilerplate, ["host", "mark"], "key", "left_anti").select("host", "key").distinct()
     beside = sliced_join(proven.select("host", "key", "mark", "shape", F.explode(F.array("mark", "shape")).alias("m")), known.withColumnRenamed("mark", "m"), ["host", "m"], "key", "left_semi").join(other, ["host", "key"], "left_semi")
