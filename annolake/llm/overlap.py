@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.functions.text import words
+from annolake.functions.text import spaced_words
 from annolake.operators.rarity import SIGNATURE, by_rarity, lacking, shares
 from annolake.operators.skew import hot_join, spread_join
-from annolake.session import cut_lineage
+from annolake.session import stored
 
 #: A word that stands in a greater share of the texts is a key in pairs only.
-RARE = 0.01
+RARE = 0.02
 
 
 def common(a: list[str], b: list[str]) -> int:
@@ -52,21 +52,20 @@ def same(a: list[str], b: list[str], most: int, share: float = 0.0) -> bool:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """Rows (id, key, text) of rows (id, text): the text's words, and their MD5 as the key of its class. Rows without an id, and texts without a word, are left out."""
-    held = df.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))  # has a word; told from the raw text, which is cheap
-    held = held.select(F.col("id").cast("bigint").alias("id"), F.array_join(words(F.col("text")), " ").alias("text"))
-    return held.select("id", F.unhex(F.md5("text")).alias("key"), "text")
+    """Rows (id, key, text) of rows (id, text): the text's words, and their MD5 as the key of its class. Rows without an id, and texts without a word, are left out. Written once, as it is read for each step."""
+    held = df.filter(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), spaced_words(F.col("text")).alias("text")).filter("text <> ''")
+    return stored(held.select("id", F.unhex(F.md5("text")).alias("key"), "text"), "texts")
 
 
-def classes(df: DataFrame) -> DataFrame:
-    """Classes (key, text, class, n) of rows (id, text): the n rows whose texts have the same words; class is their least id. Written once, as it is read for each step."""
-    each = keyed(df).groupBy("text").agg(F.min("id").alias("class"), F.count("*").alias("n"))
-    return cut_lineage(each.select(F.unhex(F.md5("text")).alias("key"), "text", "class", "n"))
+def classes(rows: DataFrame) -> DataFrame:
+    """Classes (key, text, class, n) of keyed rows: the n rows whose texts have the same words; class is their least id."""
+    each = rows.groupBy("text").agg(F.min("id").alias("class"), F.count("*").alias("n"))
+    return stored(each.select(F.unhex(F.md5("text")).alias("key"), "text", "class", "n"), "classes")
 
 
-def members(df: DataFrame, each: DataFrame) -> DataFrame:
-    """Rows (id, class) of rows (id, text) and their classes; large classes are spread."""
-    return hot_join(keyed(df).select("id", "key"), each.select("key", "class", "n"), ["key"], "n", "id").select("id", "class")
+def members(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """Rows (id, class) of keyed rows and their classes; large classes are spread."""
+    return hot_join(rows.select("id", "key"), each.select("key", "class", "n"), ["key"], "n", "id").select("id", "class")
 
 
 def _sets(each: DataFrame) -> DataFrame:
@@ -93,7 +92,9 @@ def _postings(sets: DataFrame, table: Column, most: int, index: bool) -> DataFra
 
     rows = ordered.select("class", "size", "low", "high", "different", F.explode_outer(F.flatten(F.transform("p", keys))).alias("k")).select("class", "size", "low", "high", "different", "k.*")
     place = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)) if index else F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")
-    return rows.withColumn("slice", place).drop("slices")
+    # Few and short columns, as each text has many such rows.
+    facts = F.shiftleft(F.col("size").cast("bigint"), 40).bitwiseOR(F.shiftleft(F.col("different").cast("bigint"), 16)).bitwiseOR(F.col("i") * 256 + F.col("j"))
+    return rows.withColumn("slice", place).select(F.xxhash64("key", "slice").alias("key"), "class", "low", "high", facts.alias("facts"))
 
 
 def _verified(most: int, share: float):
@@ -108,13 +109,14 @@ def _verified(most: int, share: float):
 def same_classes(left: DataFrame, right: DataFrame, most: int, share: float = 0.0) -> DataFrame:
     """Pairs (class, other) of classes (class, text) of both sides whose texts are the same but for `most` words of the longer, of which more than `share` must stay.
 
-    With share 0, two texts of `most` words or fewer need have one word in common. Empty tables give no pairs.
+    most is 250 at most, and texts have fewer than 8 million words. With share 0, two texts of `most` words or fewer need have one word in common. Empty tables give no pairs.
     """
     sets = [_sets(left), _sets(right)]
     table = shares(sets)
-    on = ["key", "slice"]
     a, b = (_postings(s, table, most, index) for s, index in zip(sets, (True, False)))
-    joined = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c not in on}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c not in on}), on)
+    joined = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c != "key"}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c != "key"}), "key")
+    fact = lambda s, shift, bits: F.shiftright(f"{s}_facts", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    joined = joined.withColumns({f"{s}_{name}": fact(s, shift, bits) for s in "ab" for name, shift, bits in (("size", 40, 23), ("different", 16, 24), ("i", 8, 8), ("j", 0, 8))})
     longer = F.greatest("a_size", "b_size")
     may = F.least(F.lit(most), F.ceil(longer * F.lit(1 - share)).cast("int") - 1)
     # What one text has and the other lacks: before the first place, between the places, behind the second.
@@ -133,7 +135,8 @@ def near_same(evaluation: DataFrame, training: DataFrame, most: int, share: floa
     Texts without a word, null texts and null ids have no partner. Repeated rows give repeated pairs; rows of one text are one class until the end, and rows of
     large classes are spread. Empty tables give no pairs.
     """
-    left, right = classes(evaluation), classes(training)
-    pairs = same_classes(left, right, most, share)
-    half = spread_join(pairs, members(evaluation, left), ["class"], "id").select("id", F.col("other").alias("class"))
-    return spread_join(half, members(training, right).withColumnRenamed("id", "other_id"), ["class"], "other_id").select("id", "other_id")
+    rows, others = keyed(evaluation), keyed(training)
+    left, right = classes(rows), classes(others)
+    pairs = stored(same_classes(left, right, most, share), "pairs")
+    half = spread_join(pairs, members(rows, left), ["class"], "id").select("id", F.col("other").alias("class"))
+    return spread_join(half, members(others, right).withColumnRenamed("id", "other_id"), ["class"], "other_id").select("id", "other_id")

@@ -12,7 +12,7 @@ from annolake.functions.text import blank, strip
 from annolake.llm.copies import copies
 from annolake.llm.leaks import leaks, near_leaks
 from annolake.llm.mapping import map_values
-from annolake.llm.overlap import classes, members, near_same, same_classes
+from annolake.llm.overlap import classes, keyed, members, near_same, same_classes
 from annolake.llm.packing import counter, pack
 from annolake.llm.residue import residue
 from annolake.llm.sampling import proportional_sample
@@ -41,7 +41,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps by sentence between classes of rows with one wording: the classes' least ids, their rows, and the links of the gold class."""
-    gold, train = (classes(df.select("id", "text")) for df in _rows(spark, d))
+    gold, train = (classes(keyed(df.select("id", "text"))) for df in _rows(spark, d))
     pairs = same_classes(gold, train, MOST_WORDS, STAYS)
     sized = pairs.join(gold.select("class", F.col("n").alias("gold_rows")), "class").join(train.select(F.col("class").alias("other"), F.col("n").alias("train_rows")), "other")
     links = pairs.groupBy("class").agg(F.count("*").alias("links"))
@@ -55,8 +55,9 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """
     sides = []
     for df in _rows(spark, d):
-        each = classes(df.select("id", "text"))
-        alike = df.select("id", "key", "part").join(members(df.select("id", "text"), each), "id", "left").groupBy("key", "part", "class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        rows = keyed(df.select("id", "text"))
+        each = classes(rows)
+        alike = df.select("id", "key", "part").join(members(rows, each), "id", "left").groupBy("key", "part", "class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
         sides.append((each, alike))
     (gold, left), (train, right) = sides
     right = right.select("key", F.col("part").alias("label_source"), F.col("class").alias("other"), F.col("id").alias("train_group"), F.col("n").alias("m"))
