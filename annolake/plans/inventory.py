@@ -28,7 +28,7 @@ def gold_predictions(spark: SparkSession, d: str) -> DataFrame:
     last = curate.one_per_key(table(spark, d, "d1_annotator_train").select("sample_id", "train_id", "intent_3_level"), ["sample_id"], F.col("train_id"), last=True)
     rows = gold.select("sample_id", *(F.col(f"gold_level_{k}").alias(f"g{k}") for k in (1, 2, 3))).join(last.select("sample_id", *(level("intent_3_level", k).alias(f"m{k}") for k in (1, 2, 3))), "sample_id")
     rows = rows.withColumns({"g": L.path(*map(F.col, ("g1", "g2", "g3"))), "m": L.path(*map(F.col, ("m1", "m2", "m3")))})
-    return metrics.hierarchical(rows, {"l1": ("g1", "m1"), "l2": ("g2", "m2"), "l3": ("g3", "m3"), "path": ("g", "m")})
+    return metrics.hierarchical(rows, {"l1": ("g1", "m1"), "l2": ("g2", "m2"), "l3": ("g3", "m3"), "path": ("g", "m")}).filter("n > 0")
 
 
 def ablation_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -354,6 +354,6 @@ ORACLES = {
     "page_products": f"WITH r AS (SELECT row_id, image_url, {_PAGE.format('brand')} AS b, {_PAGE.format('question')} AS q, {_PAGE.format('repeat(coalesce(question, ' + chr(39) * 2 + '), 20)')} AS t FROM crawl_hasaki) SELECT row_id, row_id || ' VND' AS price, b AS brand, CASE WHEN length(t) > 20 THEN least(length(t), 1000) ELSE 0 END AS described, CASE WHEN image_url = 'x.png' THEN 'x.png' ELSE coalesce(image_url, 'none') || ' x.png' END AS images, CASE WHEN length(q) BETWEEN 11 AND 999 THEN q ELSE '' END AS questions FROM r",
     "page_questions": f"SELECT row_id, u AS user, q AS question FROM (SELECT row_id, {_PAGE.format('user_name')} AS u, {_PAGE.format('question')} AS q FROM crawl_hasaki WHERE product_id IS NOT NULL) WHERE length(q) > 2 AND u <> ''",
     "page_links": r"WITH p AS (SELECT row_id // 50 AS page, product_url AS link FROM crawl_hasaki WHERE product_url IS NOT NULL AND product_url <> '' AND NOT regexp_matches(product_url, '[\x22''#]')), f AS (SELECT link, min(page) AS page FROM p GROUP BY 1), e AS (SELECT coalesce(min(page), 1152921504606846976) AS e FROM p WHERE page NOT IN (SELECT page FROM f)) SELECT link, page, CASE WHEN regexp_extract(link, '/san-pham/([^/?#]+?)(?:\.html)?(?:[?#]|$)', 1) <> '' THEN regexp_extract(link, '/san-pham/([^/?#]+?)(?:\.html)?(?:[?#]|$)', 1) ELSE replace(regexp_extract(link, '([^/]*)/?$', 1), '.html', '') END AS product_id FROM f WHERE page < (SELECT e FROM e)",
-    "files_read": "WITH r AS (SELECT ma_intent, coalesce(length(description), 0) AS n, row_id - 1 AS o FROM unified_intents) SELECT 'json' AS source, count(*) AS n, count(DISTINCT ma_intent) AS ids, sum(n) AS letters FROM r UNION ALL SELECT 'csv', count(*), count(DISTINCT ma_intent), sum(n) FROM r UNION ALL SELECT 'nothing', count(*), count(DISTINCT ma_intent), 0 FROM r"
-    " UNION ALL SELECT 'chunks', count(*), count(DISTINCT ma_intent), 0 FROM r WHERE o >= 200 UNION ALL SELECT 'kept', count(*), count(DISTINCT ma_intent), 0 FROM r WHERE o >= 200 UNION ALL SELECT 'over', count(*), count(DISTINCT ma_intent), 0 FROM r WHERE NOT (o < 200 AND ma_intent LIKE '%1%')",
+    "files_read": "WITH r AS (SELECT ma_intent, coalesce(length(description), 0) AS n, row_id - 1 AS o FROM unified_intents) SELECT * FROM (SELECT 'json' AS source, count(*) AS n, count(DISTINCT ma_intent) AS ids, sum(n) AS letters FROM r UNION ALL SELECT 'csv', count(*), count(DISTINCT ma_intent), sum(n) FROM r UNION ALL SELECT 'nothing', count(*), count(DISTINCT ma_intent), 0 FROM r"
+    " UNION ALL SELECT 'chunks', count(*), count(DISTINCT ma_intent), 0 FROM r WHERE o >= 200 UNION ALL SELECT 'kept', count(*), count(DISTINCT ma_intent), 0 FROM r WHERE o >= 200 UNION ALL SELECT 'over', count(*), count(DISTINCT ma_intent), 0 FROM r WHERE NOT (o < 200 AND ma_intent LIKE '%1%')) WHERE n > 0",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from annolake.functions import labels, rules, text, vectors
 from annolake.operators import annotate, audit, curate, metrics, retrieval, splits, taxonomy
 from annolake.operators.ranks import group_rank
-from annolake.operators.skew import hot_join, spread_join
+from annolake.operators.skew import hot_join, sliced_join, spread_join
 from annolake.sources import files
 from annolake.streaming.ingest import file_stream, latest_version, upsert_stream
 
@@ -60,8 +60,8 @@ def test_split_sizes(rows, n, sizes):
 
 def test_split_is_whole_and_stable(rows):
     table = rows([(i, "a", f"b{i % 3}", f"c{i % 7}" if i % 5 else None) for i in range(700)], "id long, l1 string, l2 string, l3 string")
-    one = {r.id: r.split for r in splits.split(table, "id", 0.7, 0.15, 3, 1, 700).collect()}
-    two = {r.id: r.split for r in splits.split(table.repartition(9), "id", 0.7, 0.15, 3, 1, 700 * 10**6).collect()}
+    one = {r.id: r.split for r in splits.split(table, "id", 0.7, 0.15, 3, 1).collect()}
+    two = {r.id: r.split for r in splits.split(table.repartition(9), "id", 0.7, 0.15, 3, 1).collect()}
     assert one == two and len(one) == 700 and set(one.values()) == {"train", "val", "test"}
     with pytest.raises(ValueError):
         splits.split_sizes(rows([("s", 1)], "stratum string, n long"), 0.9, 0.2)
@@ -77,7 +77,7 @@ def test_coverage(rows):
 
 def test_ranks_of_a_hot_group(rows):
     table = rows([(i, "hot" if i % 3 else f"g{i}") for i in range(900)], "id long, g string")
-    got = group_rank(table, "g", F.shiftrightunsigned(F.xxhash64("id"), 4), ["id"], "r", 64).collect()
+    got = group_rank(table, "g", F.shiftrightunsigned(F.xxhash64("id"), 4), ["id"], "r").collect()
     hot = sorted(r.r for r in got if r.g == "hot")
     assert hot == list(range(1, len(hot) + 1)) and all(r.r == 1 for r in got if r.g != "hot")
 
@@ -85,9 +85,12 @@ def test_ranks_of_a_hot_group(rows):
 def test_joins_of_hot_keys(rows):
     left = rows([(i, "hot" if i % 3 else f"k{i}") for i in range(30_000)], "id long, k string")
     groups = left.groupBy("k").agg(F.count("*").alias("n"))
-    assert hot_join(left, groups, ["k"], "n", 30_000, "id").count() == 30_000
+    assert hot_join(left, groups, ["k"], "n", "id").count() == 30_000
+    assert hot_join(left, groups.filter("n < 9"), ["k"], "n", "id", "left", groups).count() == 30_000
     few = rows([("hot", 1), ("hot", 2), ("k3", 3)], "k string, v int")
-    assert spread_join(few, left, ["k"], 30_000, "id").count() == few.join(left, "k").count()
+    one = few.dropDuplicates(["k"])
+    assert sliced_join(left, one, ["k"], "id").count() == left.join(one, "k").count() and sliced_join(left, one, ["k"], "id", "left_anti").count() == left.join(one, "k", "left_anti").count()
+    assert spread_join(few, left, ["k"], "id").count() == few.join(left, "k").count()
 
 
 def test_audit(rows):
@@ -148,8 +151,14 @@ def test_files(spark, rows, tmp_path):
     files.write_csv(table, str(tmp_path / "csv"), ["id", "t"])
     back = files.read_csv(spark, str(tmp_path / "csv"), ["id", "t", "gone"]).orderBy("id").collect()
     assert [(r.id, r.t, r.gone) for r in back] == [("1", 'a,"b"\nc', None), ("2", None, None)]
-    files.write_results(table, str(tmp_path / "out"), {"seed": "1"})
-    assert spark.read.json(str(tmp_path / "out" / "results")).count() == 2
+    files.write_results(table, str(tmp_path / "out"), {"seed": "1"}, "o", 1)
+    assert sorted((r.seed, r.num_samples, r.results[0].id) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("1", 1, "1"), ("1", 1, "2")]
+    assert sorted(r.id for r in files.read_results(spark, str(tmp_path / "out" / "*"), schema).collect()) == ["1", "2"]
+    for n in (1, 2, 3):
+        files.write_over(table.limit(n % 3), str(tmp_path / "over"))
+    assert [spark.read.parquet(str(tmp_path / p)).count() for p in ("over.1", "over.2", "over")] == [1, 2, 0]
+    with pytest.raises(Exception, match="nowhere"):
+        files.done_ids(spark, "nowhere://x/y", "id")
     files.write_chunks(table, str(tmp_path / "chunks"), "o", 1)
     assert sorted(p for p in os.listdir(tmp_path / "chunks") if p.startswith("chunk")) == ["chunk=0", "chunk=1"]
     assert files.resume(table, str(tmp_path / "nothing"), "id").count() == 2
@@ -204,3 +213,43 @@ def test_models(rows):
     assert {r.id: None if r.v is None else len(r.v) for r in again} == {1: 1, 2: 8, 3: None, 4: 8, 5: 8}
     asked = table.limit(1).select(annotate.prompt("Which?", F.col("t"), F.array(F.lit("a"), F.lit("b"))).alias("p")).collect()[0].p
     assert asked == "Which?\nok\n1. a\n2. b"
+
+
+def test_rows_by_place_and_status(rows):
+    table = rows([(i, "approved" if i % 2 else "") for i in range(10)], "o long, s string")
+    assert sorted(r.o for r in curate.offset_rows(table, "o", 4, 3).collect()) == [4, 5, 6]
+    with pytest.raises(Exception, match="out of range"):
+        curate.offset_rows(table, "o", 10).collect()
+    with pytest.raises(ValueError):
+        curate.offset_rows(table, "o", -1)
+    assert curate.only_approved(table, "s", "approved").count() == 5
+    assert curate.only_approved(table.filter("s = ''"), "s", "approved").count() == 5 and curate.only_approved(table.limit(0), "s", "approved").count() == 0
+    old, new = rows([(1, 1, "a", "x")], "k int, o int, v string, f string"), rows([(1, 2, "b", "y"), (2, 1, "c", "z")], "k int, o int, v string, f string")
+    assert sorted(map(tuple, curate.upsert(old, new, "k", "o", ("f",)).collect())) == [(1, 2, "b", "x"), (2, 1, "c", "z")]
+    assert sorted(r.s for r in curate.updated(table.limit(2), F.col("o") == 1, {"s": F.lit("x")}).collect()) == ["", "x"]
+
+
+def test_names(rows):
+    assert values(rows, rules.titled(F.col("t")), ["hoi_gia_3ml", "a1b", None]) == ["Hoi Gia 3Ml", "A1B", None]
+    assert values(rows, rules.level_one(F.col("t")), ["Truoc Ban", "trước bán", " khac ", None]) == ["truoc_mua_hang", "truoc_mua_hang", "khac", ""]
+    assert values(rows, rules.picked_name(F.col("t"), F.lit("b"), F.lit("c_d")), ["x", "b", "c_d", " ", None]) == ["x", "C D", "C D", "C D", "C D"]
+
+
+def test_free_numbers(rows):
+    import random
+
+    random.seed(1)
+    used = random.sample(range(100, 400), 120) + [10**8]
+    lacking = rows([(f"{i:04}",) for i in range(150)], "t string").withColumn("b", F.substring("t", 1, 2))
+    got = [r.k for r in taxonomy.free_numbers(lacking, rows([(u,) for u in used], "k long"), ["t"], ["b"]).orderBy("t").collect()]
+    assert got == [k for k in range(taxonomy.FIRST_NEW, 1000) if k not in set(used)][:150]
+
+
+def test_configuration():
+    from annolake.config import Config, from_environment
+
+    assert from_environment({}) == Config()
+    read = from_environment({"FORCE_REEMBED": "1", "OPENAI_MAX_RETRIES": "5", "HUMAN_REVIEW_QA_STATUSES": "a, b,", "OPENAI_TEMPERATURE": " "})
+    assert (read.force_reembed, read.openai_max_retries, read.human_review_qa_statuses, read.openai_temperature) == (True, 5, frozenset({"a", "b"}), 0.0)
+    with pytest.raises(ValueError):
+        from_environment({"OPENAI_MAX_RETRIES": "x"})
