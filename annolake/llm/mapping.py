@@ -115,9 +115,9 @@ def _sets(df: DataFrame, shape: str, name: str) -> DataFrame:
 
 def _prefixes(sets: DataFrame, key: list[str], table: Column, t: float, index: bool) -> DataFrame:
     """A row for each of the rarest tokens of a set, one of which any similar set shares, with its place. Frequent tokens are cut into slices, which the index has all."""
-    held = by_rarity(sets.select(*key, "low", "high", "tokens"), table).select(*key, "low", "high", F.size("tokens").alias("size"), "ordered")
-    length = (F.col("size") - F.ceil(F.col("size") * t - 1e-9) + 1).cast("int")
-    rows = held.select(*key, "low", "high", "size", F.posexplode_outer(F.slice("ordered", F.lit(1), length)).alias("place", "o")).select(*key, "low", "high", "size", "place", "o.*").filter("token is not null")
+    size = F.size("tokens")
+    held = by_rarity(sets.select(*key, "low", "high", "tokens"), table, (size - F.ceil(size * t - 1e-9) + 1).cast("int")).select(*key, "low", "high", size.alias("size"), "ordered")
+    rows = held.select(*key, "low", "high", "size", F.posexplode_outer("ordered").alias("place", "o")).select(*key, "low", "high", "size", "place", "o.*").filter("token is not null")
     slices = F.greatest(F.ceil(F.col("share") / RARE), F.lit(1)).cast("int")
     cut = F.explode(F.sequence(F.lit(0), slices - 1)) if index else F.pmod(F.xxhash64(*key), slices).cast("int")
     return rows.withColumn("slice", cut).drop("share")

@@ -80,7 +80,7 @@ def _postings(sets: DataFrame, table: Column, most: int, index: bool) -> DataFra
 
     No key stands in a greater share of the texts than its rarest word, which both sides know. It is cut into slices of RARE; the index has a row in each.
     """
-    ordered = by_rarity(sets, table).select("class", "size", "low", "high", F.size("tokens").alias("different"), F.slice("ordered", 1, most + 2).alias("p"))
+    ordered = by_rarity(sets, table, F.lit(most + 2)).select("class", "size", "low", "high", F.size("tokens").alias("different"), F.col("ordered").alias("p"))
     few = F.col("different") - most < 2  # may share one word only
 
     def keys(x: Column, i: Column) -> Column:

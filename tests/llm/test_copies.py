@@ -21,7 +21,7 @@ def brute(data):
 
 def found(rows, data):
     table = rows(data, "src string, id long, fields array<string>")
-    return sorted(map(tuple, c.copies(table, len(data)).select("src", "first_id", "copy_id").collect()))
+    return sorted(map(tuple, c.copies(table).select("src", "first_id", "copy_id").collect()))
 
 
 def dressed(t):
@@ -42,7 +42,7 @@ def test_against_brute_force(rows):
 def test_edges(rows):
     data = [("a", 1, [None, "x"]), ("a", 2, ["", "X!"]), ("a", 3, ["x", None]), ("a", 4, ["x" * 90_000]), ("a", 5, ["X" * 90_000 + "."]), ("b", 6, ["…"]), ("b", 7, [None]), ("b", 8, ["xy", "z"]), ("b", 9, ["x", "yz"])]
     assert found(rows, data) == [("a", 1, 2), ("a", 4, 5), ("b", 6, 7)]
-    assert c.copies(rows([], "src string, id long, fields array<string>"), 0).collect() == []
+    assert c.copies(rows([], "src string, id long, fields array<string>")).collect() == []
 
 
 def test_hot_group(rows):
@@ -57,7 +57,7 @@ def test_hashes_that_agree_by_chance(rows, monkeypatch):
     blind = table.withColumns({"h1": F.lit(1).cast("long"), "h2": F.lit(1).cast("long")}).select("src", "id", "h1", "h2", "fields")
     real = type(table).mapInArrow
     monkeypatch.setattr(type(table), "mapInArrow", lambda self, f, shape: blind if f is c._hashes else real(self, f, shape))
-    got = sorted(map(tuple, c.copies(table, 6).select("src", "first_id", "copy_id").collect()))
+    got = sorted(map(tuple, c.copies(table).select("src", "first_id", "copy_id").collect()))
     assert got == [("a", 0, 1), ("a", 0, 5), ("a", 2, 4)]
 
 
