@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A class should have so many rows, and no more than so many.
@@ -46,9 +46,10 @@ def describe(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def histogram(df: DataFrame, x: Column, bins: int) -> DataFrame:
     """Rows per bin of equal width between the extremes, the last bin closed; bins without rows are left out."""
     values = df.select(x.cast("double").alias("x")).filter("x is not null")
-    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    at = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) * bins / (F.col("high") - F.col("low"))), F.lit(bins - 1))).otherwise(0)
-    return values.join(F.broadcast(ends)).groupBy(at.cast("bigint").alias("bin"), "low", "high").agg(F.count("*").alias("n"))
+    ends = values.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high")).alias("ends")).scalar()
+    low, high = F.col("ends.low"), F.col("ends.high")
+    at = F.when(high > low, F.least(F.floor((F.col("x") - low) * bins / (high - low)), F.lit(bins - 1))).otherwise(0)
+    return values.withColumn("ends", ends).groupBy(at.cast("bigint").alias("bin"), low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"))
 
 
 def duplicates(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -60,6 +61,6 @@ def duplicates(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 
 def shares(df: DataFrame, by: Column, name: str) -> DataFrame:
-    """Rows per value and their share of all, in percent to two digits; null is a value."""
+    """Rows per value and their share of all, in percent to two digits; null is a value. The total is taken over the values, a row each."""
     counts = df.groupBy(by.alias(name)).agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("total")))).select(name, "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"))
+    return counts.select(name, "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2).alias("percent"))

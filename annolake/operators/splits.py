@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.operators.ranks import group_rank
+from annolake.operators.skew import hot_join
 
 
 def order_hash(seed: int, key: str) -> Column:
@@ -15,10 +16,11 @@ def order_hash(seed: int, key: str) -> Column:
 
 def with_stratum(df: DataFrame, least: int) -> DataFrame:
     """df (l1, l2, l3) with `stratum`: the lowest level whose class is large enough, of l3 with `least` rows or more, else l2, l1 or UNK."""
-    counts = df.groupBy("l3").agg(F.count("*").alias("_n"))
+    keyed = df.withColumn("_k", F.coalesce("l3", F.lit(""))).withColumn("_s", F.xxhash64(*df.columns))
+    counts = keyed.groupBy("_k").agg(F.count("*").alias("_n"))
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     named = F.when(filled("l3") & (F.col("_n") >= least), F.concat(F.lit("L3::"), "l3")).when(filled("l2"), F.concat(F.lit("L2::"), "l2")).when(filled("l1"), F.concat(F.lit("L1::"), "l1")).otherwise("UNK")
-    return df.join(counts.withColumnRenamed("l3", "_l3"), F.col("l3").eqNullSafe(F.col("_l3"))).withColumn("stratum", named).drop("_l3", "_n")
+    return hot_join(keyed, counts, ["_k"], "_n", "_s").withColumn("stratum", named).select(*df.columns, "stratum")
 
 
 def split_sizes(counts: DataFrame, train: float, val: float) -> DataFrame:
@@ -39,8 +41,8 @@ def split(df: DataFrame, key: str, train: float, val: float, least: int, seed: i
     sizes = split_sizes(strata.groupBy("stratum").agg(F.count("*").alias("n")), train, val)
     ranked = group_rank(strata, "stratum", order_hash(seed, key), [key], "_rank")
     name = F.when(F.col("_rank") <= F.col("_a"), "train").when(F.col("_rank") <= F.col("_a") + F.col("_b"), "val").otherwise("test")
-    sizes = sizes.select("stratum", F.col("n_train").alias("_a"), F.col("n_val").alias("_b"))
-    return ranked.join(sizes, "stratum").withColumn("split", name).drop("_rank", "_a", "_b")
+    sizes = sizes.select("stratum", F.col("n").alias("_n"), F.col("n_train").alias("_a"), F.col("n_val").alias("_b"))
+    return hot_join(ranked, sizes, ["stratum"], "_n", key).withColumn("split", name).drop("_rank", "_a", "_b", "_n")
 
 
 def coverage_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:

@@ -11,6 +11,7 @@ from annolake.functions import labels as L
 from annolake.functions import rules
 from annolake.functions.text import blank, fold, level, slug, strip, word_count
 from annolake.operators import audit, curate, metrics, splits
+from annolake.operators.skew import hot_join
 from annolake.sources.tables import table
 
 SEED = 42
@@ -109,11 +110,12 @@ def last_wins(spark, d):
 def prelabel_join(spark, d):
     """Questions with the last record of their product, a running number per product and the sample id made of it, and what the question is like."""
     crawl = table(spark, d, "crawl_hasaki")
-    products = curate.one_per_key(crawl.select("product_id", "row_id", "product_name", "brand", "image_url"), ["product_id"], F.col("row_id"), last=True).select("product_id", F.col("product_name").alias("name"), F.coalesce("brand", F.lit("")).alias("brand"), "image_url")
+    last = F.max_by(F.struct("product_name", "brand", "image_url"), F.col("row_id")).alias("p")
+    products = crawl.groupBy("product_id").agg(last, F.count("*").alias("n")).select("product_id", "n", F.col("p.product_name").alias("name"), F.coalesce("p.brand", F.lit("")).alias("brand"), "p.image_url")
     asked = curate.numbered(crawl.select("row_id", "product_id", "question", "product_name"), "product_id", "row_id", "nth")
     text = strip(F.coalesce("question", F.lit("")))
     image = F.when(F.coalesce("image_url", F.lit("")) != "", F.struct(F.array("image_url").alias("image_urls")))
-    return asked.join(products, "product_id", "left").select(
+    return hot_join(asked, products, ["product_id"], "n", "row_id", "left").select(
         "row_id", F.concat("product_id", F.lit("_q"), F.format_string("%02d", "nth")).alias("sample_id"), F.coalesce("product_name", "name").alias("product_name"), "brand", text.alias("sentence"), image.isNotNull().alias("has_image"), rules.asks(F.col("question")).alias("is_question"),
     )
 
