@@ -149,6 +149,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).select("src", "row_id", "field_name", "canonical_id")
 
 
+def p7_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The different labels that are typed freely, with the entry that each is mapped to."""
+    values, entries = (reduce(DataFrame.unionByName, x[:3]) for x in _lists(spark, d))
+    return map_values(values.select("list", "val").distinct(), entries, LEAST).select(F.col("list").alias("field_name"), "val", "canonical_id")
+
+
 def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The typed values that match no entry, with the number of their rows."""
     return _mapped(spark, d).filter("canonical_id = ''").groupBy("src", "field_name", "val").agg(F.count("*").alias("n"))
@@ -230,4 +236,4 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p5_sample": p5_sample, "p5_report": p5_report, "p7_unmatched": p7_unmatched, "p8_packed": p8_packed, "p8_usage": p8_usage, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_report": p2_report, "p4_found": p4_found, "p4_forms": p4_forms, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p5_sample": p5_sample, "p5_report": p5_report, "p7_labels": p7_labels, "p7_unmatched": p7_unmatched, "p8_packed": p8_packed, "p8_usage": p8_usage, "p9_found": p9_found, "p9_proximity": p9_proximity, "p9_leaked": p9_leaked, "p10_found": p10_found, "p10_report": p10_report}

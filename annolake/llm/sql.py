@@ -60,8 +60,21 @@ pairs AS (SELECT * FROM near WHERE abs(len(a) - len(b)) <= may AND n - list_extr
   list_append(done, greatest(CASE WHEN b[j] = x THEN row[j] + 1 ELSE 0 END, row[j + 1], done[j])), [0::BIGINT]), list_resize([0::BIGINT], len(b) + 1, 0)), -1) <= may),
 found AS (SELECT gold_id, train_id, split, label_source FROM g JOIN t ON g.k = t.k UNION SELECT gold_id, train_id, split, label_source FROM pairs JOIN g ON g.w = a JOIN t ON t.w = b)
 """
+_SQUEEZED = r"regexp_replace(replace(strip_accents(lower({})), 'đ', 'd'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_TOKENS = "unnest(list_concat(list_transform(range(1, length(s) + 1), lambda i: s[i]), list_transform(range(1, length(s) + 2), lambda i: ('^' || s || '$')[i : i + 1]))) AS t"
+_LABELS = (
+    "WITH l AS (" + " UNION ALL ".join(f"SELECT 'level_{k}' AS field_name, node_id AS id, substr(node_id, instr(node_id, ':') + 1) AS label FROM intent_nodes WHERE node_level = 'l{k}'" for k in (1, 2, 3))
+    + f"), e AS (SELECT DISTINCT field_name, id, {_SQUEEZED.format('label')} AS s FROM l), w AS (" + " UNION ".join(f"SELECT 'level_{k}' AS field_name, intent_3_level.level_{k} AS val FROM hasaki_labelled_full" for k in (1, 2, 3))
+    + rf"""), v AS (SELECT field_name, val, {_SQUEEZED.format('val')} AS s FROM w WHERE regexp_matches(val, '[^\s\x{{A0}}]') AND (field_name, val) NOT IN (SELECT field_name, label FROM l)),
+ve AS (SELECT field_name, s, t, count(*) AS c FROM (SELECT field_name, s, {_TOKENS} FROM (SELECT DISTINCT field_name, s FROM v)) GROUP BY ALL), ee AS (SELECT field_name, id, s, t, count(*) AS c FROM (SELECT field_name, id, s, {_TOKENS} FROM e) GROUP BY ALL),
+x AS (SELECT ve.field_name, ve.s, ee.id, ee.s AS es, sum(least(ve.c, ee.c)) AS shared FROM ve JOIN ee ON ve.field_name = ee.field_name AND ve.t = ee.t GROUP BY ALL),
+y AS (SELECT *, shared / (2 * length(s) + 1 + 2 * length(es) + 1 - shared)::DOUBLE AS j FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY field_name, s ORDER BY j DESC, id) AS rn FROM y WHERE j >= 0.45 AND (s = es OR damerau_levenshtein(s, es) <= least(2 * length(es) // 7, greatest(2, length(es) // 5))))
+SELECT v.field_name, val, coalesce(id, '') AS canonical_id FROM v LEFT JOIN z ON z.field_name = v.field_name AND z.s = v.s AND rn = 1"""
+)
 
 ORACLES = {
+    "p7_labels": _LABELS,
     "p2_found": _OVERLAPS + "SELECT gold_id, train_id FROM found",
     "p2_report": _OVERLAPS + "SELECT split, label_source, count(*) AS pairs, count(DISTINCT gold_id) AS gold_rows, count(DISTINCT train_id) AS train_rows FROM found GROUP BY ALL",
     "p2_classes": _OVERLAPS + "SELECT gold_class, train_class, gold_rows, train_rows, count(*) OVER (PARTITION BY gold_class) AS links FROM pairs",
