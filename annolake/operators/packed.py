@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 
 from annolake.functions.text import strip
 
-#: Marks that no text holds: between values, and for a quote that belongs to a value.
-CUT, INNER = "\ue010", "\ue011"
+#: Marks within the work: between values, for a quote that belongs to a value, and before the letter that stands for a mark which the text itself holds.
+CUT, INNER, ESCAPE = "\ue010", "\ue011", "\ue012"
 #: What parts values wherever it stands outside quotes; a slash only between blanks.
 ALWAYS = r"\|+|[;；、•\n\t]|(?<=\s)/(?=\s)"
 NUMBER = r"\(?\d{1,2}[.)](?=\s)"
 BULLET = rf"(?U)^(?:(?:[-*+•·–]|{NUMBER})\s+)+|^[-*+•·–]$"
 
+
+def _escaped(c: Column) -> Column:
+    """c without the marks, each as two characters."""
+    own = F.replace(F.replace(F.replace(c, F.lit(ESCAPE), F.lit(f"{ESCAPE}c")), F.lit(CUT), F.lit(f"{ESCAPE}a")), F.lit(INNER), F.lit(f"{ESCAPE}b"))
+    return F.when(c.rlike(f"[{CUT}-{ESCAPE}]"), own).otherwise(c)
+
+
+def _restored(v: Column) -> Column:
+    own = F.replace(F.replace(F.replace(v, F.lit(f"{ESCAPE}a"), F.lit(CUT)), F.lit(f"{ESCAPE}b"), F.lit(INNER)), F.lit(f"{ESCAPE}c"), F.lit(ESCAPE))
+    return F.when(F.contains(v, F.lit(ESCAPE)), own).otherwise(v)
+
+
 def _outside(piece: Column, comma: bool, numbered: Column) -> Column:
     """A piece between quotes, with CUT for each delimiter. A comma on its own between two quoted values always parts them."""
     cut = F.regexp_replace(piece, rf"(?U){ALWAYS}" + ("|," if comma else ""), CUT)
@@ -32,7 +44,7 @@ def split_packed(c: Column, comma: bool) -> Column:
     between quoted values (whole sentences, which hold commas).
     A quote that is never closed stays in its value. Null and blank text give an empty array; blank pieces do not count, repeated values stay.
     """
-    plain = strip(F.regexp_replace(c, "\r\n?", "\n"))
+    plain = _escaped(strip(F.regexp_replace(c, "\r\n?", "\n")))
     return F.coalesce(_let(plain, lambda text: _let(_unwrapped(text), lambda t: _values(t, comma))), F.array().cast("array<string>"))
 
 
@@ -70,7 +82,7 @@ def _values(t: Column, comma: bool) -> Column:
 
     whole = F.aggregate(F.transform(pieces, mapped), F.lit(""), lambda done, piece: F.concat(done, piece))
     values = F.transform(F.split(whole, CUT), lambda v: strip(F.regexp_replace(strip(v), BULLET, "")))
-    return F.filter(F.transform(values, lambda v: F.replace(v, F.lit(INNER), quote)), lambda v: v != "")
+    return F.filter(F.transform(values, lambda v: _restored(F.replace(v, F.lit(INNER), quote))), lambda v: v != "")
 
 
 def explode_packed(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFrame:

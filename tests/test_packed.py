@@ -21,6 +21,7 @@ CASES = [
     ("; a;;；b || c、d\te", True, ["a", "b", "c", "d", "e"]),
     ('loại "mini", combo', True, ['loại "mini"', "combo"]),
     ("a, a, a", True, ["a", "a", "a"]),
+    ("a\ue010b\ue011, \ue012a; \ue012\ue010c", True, ["a\ue010b\ue011", "\ue012a", "\ue012\ue010c"]),
     ("Một, hai; ba", False, ["Một, hai", "ba"]),
     ('"x', True, ['"x']),
     ("", True, []),
