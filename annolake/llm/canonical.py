@@ -180,10 +180,14 @@ WORDLY = LOOKS | PHONETIC | INITIAL | FOREIGN
 def _machine():
     """What the transducer looks for at each place: sequences of emoji, words that hold something to look at, syllables of Hangul letters, and characters that any place may hold."""
     plain = table()
-    inner = rf"(?:[^\W\d_]|[{MARK}]|[{_class(c for c in plain if unicodedata.category(c) == 'Cf' or c == chr(0x34F))}])*"
+    hidden = _class(c for c in plain if unicodedata.category(c) == "Cf" or c == chr(0x34F))
+    seen = _class(WORDLY)
+    # A word is looked at from its beginning only, and never given back, so that a run of letters of any length is read once.
+    begin = rf"(?<![^\W\d_])(?<![{MARK}{_class(c for c in plain if unicodedata.category(c) == 'Cf' and c < chr(0xE0000))}])"
+    ordinary, any_ = rf"(?:[^\W\d_{seen}]|[{hidden}])*+", rf"(?:[^\W\d_]|[{MARK}{hidden}])*+"
     alternatives = {
         "emoji": rf"[{EMOJI}#*0-9](?:[︎️⃣\U0001f3fb-\U0001f3ff]|‍(?=[{EMOJI}]))+(?:[{EMOJI}](?:[︎️\U0001f3fb-\U0001f3ff]|‍(?=[{EMOJI}]))*)*(?:[\U000e0020-\U000e007f]+)?",
-        "word": rf"{inner}[{_class(WORDLY)}{MARK}]{inner}",
+        "word": rf"{begin}{ordinary}[{seen}{MARK}]{any_}",
         "jamo": "[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?",
         "plain": f"[{_class(plain)}]",
     }
