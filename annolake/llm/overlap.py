@@ -8,6 +8,9 @@ keys that hold a large share of the training side in slices. Candidates are rule
 rarity, and by a signature of their words; the longest common subsequence verifies the others.
 
 Texts that occur more than once are one class on either side: pairs are found between classes.
+
+Joins are hinted to merge: Spark plans sizes from the compressed files that rows are read from, and keys or texts made of them take up to some hundred times that, so
+that a side which counts as small enough to broadcast may fill the driver.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def members(rows: DataFrame, each: DataFrame) -> DataFrame:
     """Rows (id, class) of keyed rows and their classes; large classes are spread."""
-    return hot_join(rows.select("id", "key"), each.select("key", "class", "n"), ["key"], "n", "id").select("id", "class")
+    return hot_join(rows.select("id", "key"), each.select("key", "class", "n"), ["key"], "n", "id", merge=True).select("id", "class")
 
 
 def _sets(each: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def same_classes(left: DataFrame, right: DataFrame, most: int, share: float = 0.
     sets = [_sets(left), _sets(right)]
     table = shares(sets)
     a, b = (_postings(s, table, most, index) for s, index in zip(sets, (True, False)))
-    joined = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c != "key"}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c != "key"}), "key")
+    joined = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c != "key"}).join(b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c != "key"}).hint("merge"), "key")
     fact = lambda s, shift, bits: F.shiftright(f"{s}_facts", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     joined = joined.withColumns({f"{s}_{name}": fact(s, shift, bits) for s in "ab" for name, shift, bits in (("size", 40, 23), ("different", 16, 24), ("i", 8, 8), ("j", 0, 8))})
     longer = F.greatest("a_size", "b_size")
@@ -125,7 +128,7 @@ def same_classes(left: DataFrame, right: DataFrame, most: int, share: float = 0.
     marks = lambda x, y: lacking((f"{x}_low", f"{x}_high"), (f"{y}_low", f"{y}_high"))
     close = joined.filter((F.abs(F.col("a_size") - F.col("b_size")) <= may) & (marks("a", "b") <= may) & (marks("b", "a") <= may) & (lacks(*spans) <= may) & (lacks(*spans[::-1]) <= may))
     pairs = close.select(F.col("a_class").alias("class"), F.col("b_class").alias("other")).distinct()
-    texts = pairs.join(left.select("class", "text"), "class").join(right.select(F.col("class").alias("other"), F.col("text").alias("other_text")), "other")
+    texts = pairs.join(left.select("class", "text").hint("merge"), "class").join(right.select(F.col("class").alias("other"), F.col("text").alias("other_text")).hint("merge"), "other")
     return texts.select("class", "other", "text", "other_text").mapInArrow(_verified(most, share), "class bigint, other bigint")
 
 
@@ -138,5 +141,5 @@ def near_same(evaluation: DataFrame, training: DataFrame, most: int, share: floa
     rows, others = keyed(evaluation), keyed(training)
     left, right = classes(rows), classes(others)
     pairs = stored(same_classes(left, right, most, share), "pairs")
-    half = spread_join(pairs, members(rows, left), ["class"], "id").select("id", F.col("other").alias("class"))
-    return spread_join(half, members(others, right).withColumnRenamed("id", "other_id"), ["class"], "other_id").select("id", "other_id")
+    half = spread_join(pairs, members(rows, left), ["class"], "id", merge=True).select("id", F.col("other").alias("class"))
+    return spread_join(half, members(others, right).withColumnRenamed("id", "other_id"), ["class"], "other_id", merge=True).select("id", "other_id")

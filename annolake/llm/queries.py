@@ -34,7 +34,7 @@ def _rows(spark: SparkSession, d: str) -> list[DataFrame]:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     gold, train = _rows(spark, d)
     named = [df.select("key", F.col("id").alias(i)).filter("key is not null") for df, i in ((gold, "gold_id"), (train, "train_id"))]
-    by_id = spread_join(*named, ["key"], "train_id").select("gold_id", "train_id")
+    by_id = spread_join(*named, ["key"], "train_id", merge=True).select("gold_id", "train_id")
     by_text = near_same(gold.select("id", "text"), train.select("id", "text"), MOST_WORDS, STAYS).select(F.col("id").alias("gold_id"), F.col("other_id").alias("train_id"))
     return by_id.unionByName(by_text).distinct()
 
@@ -43,9 +43,9 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps by sentence between classes of rows with one wording: the classes' least ids, their rows, and the links of the gold class."""
     gold, train = (classes(keyed(df.select("id", "text"))) for df in _rows(spark, d))
     pairs = same_classes(gold, train, MOST_WORDS, STAYS)
-    sized = pairs.join(gold.select("class", F.col("n").alias("gold_rows")), "class").join(train.select(F.col("class").alias("other"), F.col("n").alias("train_rows")), "other")
+    sized = pairs.join(gold.select("class", F.col("n").alias("gold_rows")).hint("merge"), "class").join(train.select(F.col("class").alias("other"), F.col("n").alias("train_rows")).hint("merge"), "other")
     links = pairs.groupBy("class").agg(F.count("*").alias("links"))
-    return sized.join(links, "class").select(F.col("class").alias("gold_class"), F.col("other").alias("train_class"), "gold_rows", "train_rows", "links")
+    return sized.join(links.hint("merge"), "class").select(F.col("class").alias("gold_class"), F.col("other").alias("train_class"), "gold_rows", "train_rows", "links")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
@@ -57,15 +57,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     for df in _rows(spark, d):
         rows = keyed(df.select("id", "text"))
         each = classes(rows)
-        alike = df.select("id", "key", "part").join(members(rows, each), "id", "left").groupBy("key", "part", "class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        alike = df.select("id", "key", "part").join(members(rows, each).hint("merge"), "id", "left").groupBy("key", "part", "class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
         sides.append((each, alike))
     (gold, left), (train, right) = sides
     right = right.select("key", F.col("part").alias("label_source"), F.col("class").alias("other"), F.col("id").alias("train_group"), F.col("n").alias("m"))
     left = left.select("key", F.col("part").alias("split"), "class", F.col("id").alias("gold_group"), "n")
     shown = ("gold_group", "n", "split", "train_group", "m", "label_source")
-    by_id = spread_join(left.filter("key is not null"), right.filter("key is not null"), ["key"], "train_group").select(*shown)
-    linked = spread_join(same_classes(gold, train, MOST_WORDS, STAYS), left.drop("key"), ["class"], "gold_group")
-    by_text = spread_join(linked, right.drop("key"), ["other"], "train_group").select(*shown)
+    by_id = spread_join(left.filter("key is not null"), right.filter("key is not null"), ["key"], "train_group", merge=True).select(*shown)
+    linked = spread_join(same_classes(gold, train, MOST_WORDS, STAYS), left.drop("key"), ["class"], "gold_group", merge=True)
+    by_text = spread_join(linked, right.drop("key"), ["other"], "train_group", merge=True).select(*shown)
     pairs = by_id.unionByName(by_text).distinct()
     part = ["split", "label_source"]
     rows = [pairs.select(*part, F.struct(F.lit(g).alias("side"), F.col(g).alias("id")).alias("g"), F.col(c).alias("rows"), F.col("n") * F.col("m") * (1 if g == "gold_group" else 0)) for g, c in (("gold_group", "n"), ("train_group", "m"))]

@@ -78,3 +78,21 @@ def test_hot_texts(rows, monkeypatch):
     monkeypatch.setattr(skew, "HOT_LEAST", 5)
     left = rows([(i, f"a{i} b{i} c{i} d{i}") for i in range(7)] + [(100 + i, "một câu hay gặp") for i in range(40)], "id long, text string")
     assert o.near_same(left, left, 6, 0.5).count() == 7 + 40 * 40
+
+
+def broadcasts(node):
+    """Columns of each broadcast of a plan as it starts, without its subqueries."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return broadcasts(node.initialPlan())
+    below = [x for i in range(node.children().size()) for x in broadcasts(node.children().apply(i))]
+    return below + [[node.output().apply(i).name() for i in range(node.output().size())]] * (node.nodeName() == "BroadcastExchange")
+
+
+@pytest.mark.parametrize("name", ["p2_found", "p2_classes", "p2_report"])
+def test_only_hot_keys_are_broadcast(spark, name):
+    from conftest import SMALL
+
+    from annolake.llm.queries import QUERIES
+
+    sent = broadcasts(QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan())
+    assert bool(sent) == (name != "p2_classes") and all("_hot" in columns for columns in sent)
